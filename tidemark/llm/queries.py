@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op7_lm_score": "bloom_lm",
+    "op8_toxicity": "toxicity",
     "op9_chat_format": "chat_template",
     "op6_sentencepiece": "piece_codec",
     "op10_quality_rules": "quality_rules",
