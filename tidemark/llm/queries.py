@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_pii": "pii",
     "op7_lm_score": "bloom_lm",
     "op8_toxicity": "toxicity",
     "op9_chat_format": "chat_template",
