@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_permutation_index": "permutation_index",
     "op3_best_fit_packing": "packing",
     "op5_pii": "pii",
     "op7_lm_score": "bloom_lm",
