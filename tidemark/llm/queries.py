@@ -6,7 +6,9 @@ from importlib import import_module
 
 _MODULES = {
     "op1_permutation_index": "permutation_index",
+    "op2_line_dedup": "line_dedup",
     "op3_best_fit_packing": "packing",
+    "op4_ngram_jaccard": "ngram_jaccard",
     "op5_pii": "pii",
     "op7_lm_score": "bloom_lm",
     "op8_toxicity": "toxicity",
