@@ -143,4 +143,4 @@ def quality_rules(
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))

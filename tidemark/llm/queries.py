@@ -1,4 +1,7 @@
-"""Registered queries of this subpackage and their SQL."""
+"""Registered queries of this subpackage and their SQL.
+
+SQL expresses op4 (all pairs, which suits small tables), op9 and op10; the others are tested against plain versions.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +13,59 @@ _MODULES = {
     "op3_best_fit_packing": "packing",
     "op4_ngram_jaccard": "ngram_jaccard",
     "op5_pii": "pii",
+    "op6_sentencepiece": "piece_codec",
     "op7_lm_score": "bloom_lm",
     "op8_toxicity": "toxicity",
     "op9_chat_format": "chat_template",
-    "op6_sentencepiece": "piece_codec",
     "op10_quality_rules": "quality_rules",
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_JACCARD = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, l.y FROM r JOIN l ON r.c = l.x)
+SELECT d AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY 1
+"""
+
+_CHAT = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, 20 + length(role) + length(replace(replace(replace(replace(replace(replace(replace(text, '␛', '..'), '<s>', '..'), '</s>', '..'), '[INST]', '..'), '[/INST]', '..'), '<<SYS>>', '..'), '<</SYS>>', '..')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY 1
+"""
+
+_QUALITY = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM i),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM t WHERE k > 1) GROUP BY 1),
+ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
+j AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM j GROUP BY 1),
+m AS (SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS sq, count(*) / sum(n) AS share FROM h),
+a AS (SELECT mean, least(1e6, greatest(1.0, mean * (1 - mean) / greatest(sq - mean * mean - mean * (1 - mean) * share, 1e-9) - 1)) AS strength FROM m),
+r AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
+"""
+
 
 def queries() -> dict:
     return {name: getattr(import_module(f"tidemark.llm.{module}"), name) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_jaccard": _JACCARD, "op9_chat_format": _CHAT, "op10_quality_rules": _QUALITY}
