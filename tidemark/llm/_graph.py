@@ -11,7 +11,6 @@ from tidemark.llm._common import durable
 
 #: Bits of the broadcast key filter: 8 MB, whatever the number of keys.
 FILTER_BITS = 1 << 26
-_BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
 def _place(column: str):
@@ -19,25 +18,28 @@ def _place(column: str):
 
 
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """Bitmaps of hashed keys: at most FILTER_BITS / 32768 rows of 4 kB."""
+    """Bits of hashed keys in arrays of 512 longs: at most FILTER_BITS / 32768 rows of 4 kB."""
     place = _place(column)
-    return keys.groupBy(F.floor(place / _BUCKET).cast("int").alias("_bucket")).agg(
-        F.bitmap_construct_agg((place % _BUCKET).cast("long")).alias("_bits")
+    words = keys.groupBy(F.shiftright(place, 15).cast("int").alias("_bucket"), F.shiftright(place, 6).bitwiseAND(F.lit(511)).cast("int").alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("_bits")
     )
+    bits = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at(F.col("_map"), i), F.lit(0).cast("long")))
+    return words.groupBy("_bucket").agg(bits.alias("_map")).select("_bucket", filled.alias("_bits"))
 
 
-def maybe_in(rows: DataFrame, column: str, bitmaps: DataFrame) -> DataFrame:
+def maybe_in(rows: DataFrame, column: str, filters: DataFrame) -> DataFrame:
     """rows whose key may be among the filter's: none is lost, so a join that follows shuffles less and finds the same.
 
     With more keys than bits it keeps everything, and stays right.
     """
-    place = _place(column)
-    bit = place % _BUCKET
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    place = F.col("_place")
+    word = F.get("_bits", F.shiftright(place, 6).bitwiseAND(F.lit(511)).cast("int"))
+    bit = F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
     return (
-        rows.withColumn("_at", F.floor(place / _BUCKET).cast("int"))
-        .join(F.broadcast(bitmaps), F.col("_at") == F.col("_bucket"))
-        .where(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1)
+        rows.withColumn("_place", _place(column))
+        .join(F.broadcast(filters), F.shiftright(place, 15).cast("int") == F.col("_bucket"))
+        .where(bit == 1)
         .select(*rows.columns)
     )
 
@@ -68,30 +70,61 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+#: Longs of a sketch.
+SKETCH = 16
+
+
+def _renamed(sketches: DataFrame, node: str) -> DataFrame:
+    return sketches.select(F.col("node").alias(node), F.col("sketch").alias(f"k{node}"))
+
+
+def _bits_apart(a: str, b: str):
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+
+
 def linked(
-    postings: DataFrame, verified: Callable[[DataFrame], DataFrame], nearly: float, name: str
+    postings: DataFrame,
+    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    nearly: float,
+    name: str,
+    sketches: DataFrame | None = None,
+    most_apart: Callable | None = None,
 ) -> DataFrame:
     """Edges (a, b) with the connected components of all pairs that share a key and are verified.
 
-    postings: key, node, size. verified keeps the true ones of pairs (a, b). A pair whose sizes
+    postings: key, node, size. verifier is given the nodes that share a key with another, and gives a
+    function that keeps the true ones of pairs (a, b). A pair whose sizes
     differ by more than the share `nearly` is never true.
 
+    sketches (node, sketch: array of SKETCH longs) hold parities of a set's elements: two sets differ in
+    as many elements, at least, as their sketches in bits. Pairs that differ in more than
+    most_apart(size, size) are left out before they are verified.
+
     First every node of a key is compared with the key's smallest node; then only pairs that share
     a key and are in different components so far. Pairs left out are of one component, so no
     component is lost, and copies of one text are no square of pairs.
     """
-    keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1").select("key", "center")
-    keys = durable(keys, f"{name}-keys")
-    shared = durable(maybe_in(postings, "key", key_filter(keys, "key")).join(keys, "key"), f"{name}-shared")
-    star = durable(shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), f"{name}-star")
+    keys = durable(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{name}-keys")
+    met = durable(maybe_in(postings, "key", key_filter(keys, "key")).join(keys, "key"), f"{name}-met")
+    shared = met.join(met.groupBy("key").agg(F.min("node").alias("center")), "key")
+    shared = durable(shared, f"{name}-shared")
+    verified = verifier(shared.select("node").distinct())
+    pairs = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb")).distinct()
+    sizes = shared.select(F.col("node").alias("a"), F.col("size").alias("sa")).distinct()
+    near = (F.col("sa") >= F.col("sb") * F.lit(nearly)) & (F.col("sb") >= F.col("sa") * F.lit(nearly))
+    known = sketches if sketches is not None else shared.select("node", F.lit(None).cast("array<long>").alias("sketch")).distinct()
+    if most_apart is not None:
+        near = near & (_bits_apart("ka", "kb") <= most_apart(F.col("sa"), F.col("sb")))
+    ends = pairs.join(sizes, "a").join(_renamed(known, "a"), "a").join(_renamed(known, "b"), "b")
+    star = durable(ends.where(near).select("a", "b"), f"{name}-star")
     first = durable(verified(star), f"{name}-edges")
     found = components(first, f"{name}-components")
     labelled = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = durable(labelled.join(mixed, "key"), f"{name}-open")
-    left = open_.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
-    near = (F.col("sa") >= F.col("sb") * F.lit(nearly)) & (F.col("sb") >= F.col("sa") * F.lit(nearly))
+    open_ = durable(labelled.join(mixed, "key").join(known, "node"), f"{name}-open")
+    left, right = (
+        open_.select("key", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}"), F.col("sketch").alias(f"k{n}")) for n in ("a", "b")
+    )
     rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
     rest = durable(rest.join(star, ["a", "b"], "left_anti"), f"{name}-rest")
     return first.unionByName(durable(verified(rest), f"{name}-edges"))
