@@ -86,7 +86,7 @@ class Config:
 
 
 BUILTIN = Config()
-#: What the reference's settings file has.
+#: Longer clips, a denser and faster track.
 SHIPPED = replace(BUILTIN, clips=ClipConfig(25.0, 10.0, 35.0), tracking=replace(BUILTIN.tracking, fps=6.0, pan=1.0))
 
 
