@@ -7,15 +7,17 @@ Candidates (s: percent / 100, n: the size of a set; every bound below holds for
 
 1. Sets are ordered by hash. Two linked sets share at least k of their first
    n - ceil(s n) + k shingles. k(n) grows with n, so prefixes are longer than for k = 1.
-2. A shingle is rare if at most RARE prefixes have it. Rare ones are indexed singly.
-3. A pair that shares no rare shingle in its prefixes shares k frequent ones. Only for documents with that
-   many frequent shingles in the prefix, combinations are indexed: the whole set is dealt by
+2. A shingle is rare if at most RARE prefixes have it. Rare ones are indexed singly, and pairs are counted: of the k shared
+   shingles at most as many are frequent as either prefix has, so the pair shares the rest of k as rare ones.
+   A shingle that two texts share by chance is thus no candidate.
+3. That says nothing of a pair whose prefixes both have k frequent shingles. For documents with that
+   many, combinations are indexed: the whole set is dealt by
    hash to more groups than a linked pair can differ in shingles, so the pair agrees on
    whole groups, and each group's combination of shingles is one key. Their number follows the size,
    where all k-subsets would grow as its k-th power. (All groups that a pair agrees on could be
    empty ones; for the smallest sets the chance is below 1e-5, and it falls steeply with the size.)
 
-Candidates are verified on whole texts. Exact copies (equal sets) are one entry from the start.
+Candidates whose sizes or parity sketches are too far apart go; the others are verified on whole texts. Exact copies (equal sets) are one entry from the start.
 See _graph.linked for how pairs that share a key are compared without a square of pairs.
 
 Words: ASCII white space apart, A-Z in lower case. With fewer words than a shingle
@@ -35,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import durable, hash_table, mixed, shingle_hashes, signed, table, text_bytes, word_hashes
-from tidemark.llm._graph import components, key_filter, linked, maybe_in
+from tidemark.llm._graph import SKETCH, components, key_filter, linked, maybe_in
 
 WIDTH, PERCENT = 3, 90
 #: Prefixes that may share a rare shingle.
-RARE = 64
+RARE = 32
 #: Sets whose prefix a task has sent: a copy isn't sent again.
 _SENT = 200_000
 
@@ -50,8 +52,8 @@ def shingle_set(text: bytes, width: int, hashes) -> np.ndarray:
 
 
 def shared_at_least(n, percent: int):
-    """k: how many shingles the prefixes share; a fifth of the part of a set that may differ, and one."""
-    return 1 + n * (100 - percent) // 500
+    """k: how many shingles the prefixes share; half of the part of a set that may differ, and one."""
+    return 1 + n * (100 - percent) // 200
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -138,6 +140,22 @@ def combinations_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return texts.select("node", text_bytes("text").alias("_text")).mapInArrow(run, "key long, node long, size long")
 
 
+def sketches_of(texts: DataFrame, width: int) -> DataFrame:
+    """node and sketch: parities of the shingles by 1,024 hash values, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = hash_table()
+        for batch in batches:
+            rows = []
+            for t in batch.column("_text"):
+                place = mixed(shingle_set(t.as_py(), width, hashes) ^ np.uint64(0x5C5C5C5C5C5C5C5C)) % np.uint64(64 * SKETCH)
+                odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH) & 1
+                rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return texts.select("node", text_bytes("text").alias("_text")).mapInArrow(run, "node long, sketch array<long>")
+
+
 def similar(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of those (a, b, ta, tb) whose whole texts link."""
 
@@ -158,6 +176,24 @@ def similar(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _k(n, percent: int):
+    return F.lit(1) + F.floor(n * (100 - percent) / 200)
+
+
+def rare_pairs(postings: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of near sizes that share as many rare shingles as a linked pair must.
+
+    A rare key has at most RARE nodes, so the pairs of a key are bounded. A pair that may share frequent shingles only is
+    left to the combinations.
+    """
+    rows = postings.join(frequent.select("node", "frequent"), "node", "left").select("key", "node", "size", F.coalesce("frequent", F.lit(0)).alias("f"))
+    sides = [rows.select("key", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("f").alias(f"f{n}")) for n in ("a", "b")]
+    near = (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
+    need = _k(F.least("sa", "sb"), percent) - F.least("fa", "fb")
+    met = sides[0].join(sides[1], "key").where((F.col("a") < F.col("b")) & near & (need >= 1))
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(need).alias("need")).where("n >= need").select("a", "b")
+
+
 def jaccard_components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE
 ) -> DataFrame:
@@ -176,21 +212,13 @@ def jaccard_components(
     )
     counts = durable(posted.groupBy("key").agg(F.count("*").alias("prefixes")).where("prefixes > 1"), "prefix-counts")
     postings = durable(maybe_in(posted, "key", key_filter(counts, "key")).join(counts, "key"), "postings")
-    # documents that a partner might reach by frequent shingles only; a partner's k is at least that of size s n
-    least = F.lit(1) + F.floor(F.ceil(F.col("size") * percent / 100) * (100 - percent) / 500)
-    crowded = (
-        postings.where(F.col("prefixes") > rare)
-        .groupBy("node", "size")
-        .agg(F.count("*").alias("frequent"))
-        .where(F.col("frequent") >= least)
-        .select("node")
-    )
-    crowded = durable(crowded, "crowded")
-    nodes = durable(postings.select("node").distinct(), "nodes")
+    frequent = durable(postings.where(F.col("prefixes") > rare).groupBy("node", "size").agg(F.count("*").alias("frequent")), "frequent")
+    pairs = durable(rare_pairs(postings.where(F.col("prefixes") <= rare), frequent, percent), "rare-pairs")
+    # a partner's k is at least that of the size s n
+    crowded = durable(frequent.where(F.col("frequent") >= _k(F.ceil(F.col("size") * percent / 100), percent)).select("node"), "crowded")
     wanted = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = durable(maybe_in(wanted, "node", key_filter(nodes, "node")).join(nodes, "node").dropDuplicates(["node"]), "texts")
-    singles = postings.where(F.col("prefixes") <= rare).select("key", "node", "size")
-    both = durable(singles.unionByName(combinations_of(texts.join(crowded, "node"), width, percent)), "keys")
+    ends = crowded.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = durable(maybe_in(wanted, "node", key_filter(ends, "node")).join(ends, "node").dropDuplicates(["node"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b").join(
@@ -198,7 +226,14 @@ def jaccard_components(
         )
         return similar(held, width, percent)
 
-    links = linked(both, verified, percent / 100, "jaccard").unionByName(copies)
+    crowded_texts = durable(texts.join(crowded, "node"), "crowded-texts")
+    combined = durable(combinations_of(crowded_texts, width, percent), "combinations")
+    sketches = durable(sketches_of(crowded_texts, width), "sketches")
+
+    def most_apart(a, b):
+        return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
+
+    links = linked(combined, lambda nodes: verified, percent / 100, "jaccard", sketches, most_apart).unionByName(durable(verified(pairs), "rare-edges")).unionByName(copies)
     found = components(links, "jaccard-components")
     return sets.join(found, F.col("doc") == F.col("node"), "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
