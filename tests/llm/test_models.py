@@ -211,3 +211,18 @@ def test_chat_edges(spark):
 
 def test_all_registered(spark):
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+
+
+def test_rare_ngrams_are_held(spark):
+    """A word and a pair seen three times in more than 2^20 tokens are known; the number of shards changes scores by false positives only."""
+    held_out = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 20000}" for j in range(10_000))) for i in train] + [(1000 + i, "velvet anchor") for i in range(3)]
+    rows += list(zip(held_out, ["velvet anchor", "anchor velvet", "absent missing"], strict=False))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in bloom_lm.score_documents(df).collect()}
+    pair, apart, unseen = (got[i].score for i in held_out[:3])
+    assert got[train[0]].train_tokens > 1 << 20 and [got[i].n_known for i in held_out[:3]] == [3, 3, 1]
+    assert pair > apart + 1 and apart > unseen + 0.1  # by the pair, by the words alone
+    few = {r.doc_id: r.score for r in bloom_lm.score_documents(df, words=1 << 16, pairs=1 << 16).collect()}
+    assert all(few[i] == pytest.approx(r.score, rel=0.02) for i, r in got.items())

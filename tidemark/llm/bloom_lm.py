@@ -1,22 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Training counts of words and word pairs are quantised on a logarithmic scale
-and put into one Bloom filter: an n-gram of level q is there with each of the
-levels 1..q. Workers get the filter by broadcast and find an n-gram's level by
-probing level after level until one is missing.
-
-An n-gram is held if its share of the training tokens is at least 1/K, at level
-1 + floor(log2(count * K / tokens)). As 1 + floor(log2 x) <= x for x >= 1, all
-levels of all held n-grams together are at most K, whatever the corpus: the
-filter's size is proven. A pair's share is never above that of its words, so
-only pairs of held words are counted; that loses none.
-
-The base score needs exact counts of all words. Words of at least a 1/K share
-(at most K) are broadcast with their counts; the other words of each document
-meet the counts by a join on the word. None of these can be a hot key: each has
-less than a 1/K share.
-
-Words are joined by their 64-bit hash. Null and empty texts have the end token
+and put into a Bloom filter: an n-gram of level q = 1 + floor(log2 count) is there with each of the
+levels 1..q. An n-gram's level is found by probing level after level until one is missing.
+
+Every n-gram seen in training is held, so the filter grows with the corpus. It is
+split by n-gram hash into shards. As 1 + floor(log2 x) <= x for x >= 1, all levels of all words and pairs are at
+most twice the tokens, and a text has at most half as many tokens as bytes, and one: the number of shards
+follows from the bytes, and a shard has about `pairs` n-gram occurrences at most, whatever the corpus.
+
+Texts are read once, in blocks of some BLOCK tokens. A block sends each distinct word and pair to its shard once, with
+its training count in the block. A shard adds up the counts, builds its filter, and answers each block with the levels,
+and with the exact counts of words that the base score needs. The answers meet the block's tokens. No
+key is hot: a word or pair has one entry a block, however often it occurs.
+
+Words and pairs are known by their 64-bit hash. Null and empty texts have the end token
 only. Repeated rows are scored, and learned from, row by row; documents without
 an id are scored and learned from as if their id were an empty text. An empty
 corpus gives no rows.
@@ -24,31 +22,31 @@ corpus gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordTable, durable, hash_table, mixed, signed, table, text_bytes, word_hashes
+from tidemark.llm._common import durable, hash_table, mixed, table, text_bytes, word_hashes
 
-#: At most so many words are broadcast with exact counts, and held in the filter.
-WORDS = 1 << 20
-#: At most so many pairs are held in the filter.
-PAIRS = 1 << 17
-#: Bits of the filter for each possible entry, and its hash functions.
+#: Word and pair occurrences a shard has on average at most; the larger number of shards counts.
+WORDS = 1 << 22
+PAIRS = 1 << 22
+#: Shards at least of a corpus of so many bytes or more, to keep all tasks busy.
+SHARDS, LARGE = 64, 1 << 22
+#: Bits of the filter for each entry, and its hash functions.
 BITS, HASHES = 16, 4
 #: Largest weight of the pair against the word in a probability, and the count of the word before at which it is half of that.
 PAIR_WEIGHT, HALF_COUNT = 0.6, 400
 #: Weight of the uniform distribution.
 FLOOR_WEIGHT = 0.05
+#: Tokens that a worker looks at together.
+BLOCK = 1_500_000
 
 _END = 0x0123456789ABCDEF  # the end token's hash: of no word in particular
-#: Places of the end token and of words that aren't held.
-END_PLACE, UNKNOWN = -2, -1
 
 
 def training_row(key: str = "doc_id"):
@@ -76,6 +74,17 @@ class LevelFilter:
         jump = mixed(step) | np.uint64(1)
         return [(step + np.uint64(i) * jump) % bits for i in range(HASHES)]
 
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray) -> LevelFilter:
+        """The filter of keys at their levels, of the size that these need."""
+        f = cls(np.zeros(cls.size(int(levels.sum())), dtype=np.uint64))
+        filled = np.zeros(int(f.bits), dtype=np.uint8)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            for at in cls.positions(keys[levels >= level], level, f.bits):
+                filled[at.astype(np.int64)] = 1
+        f.words = np.packbits(filled, bitorder="little").view("<u8")
+        return f
+
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
         for at in self.positions(keys, level, self.bits):
@@ -94,233 +103,206 @@ class LevelFilter:
         return out
 
 
-def levels_of(counts: np.ndarray, tokens: int, entries: int) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts * (entries / max(tokens, 1)), 1.0))).astype(np.int64)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 count), 0 for no count."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def count_of(level: np.ndarray, tokens: int, entries: int) -> np.ndarray:
+def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of a level's counts, 0 for level 0."""
-    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) * tokens / entries, 0.0)
+    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (64-bit hash), n: exact counts over all rows; tasks send one row for each distinct word of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = hash_table()
-        for batch in batches:
-            both = [np.empty(0, np.uint64)]
-            both += [word_hashes(t.as_py().lower().split(), hashes) for t in batch.column(0)]
-            words, n = np.unique(np.concatenate(both), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    parts = docs.select(text_bytes(text).alias("_text")).mapInArrow(run, "word long, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((mixed(keys ^ np.uint64(0x3C3C3C3C3C3C3C3C)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-class Vocabulary:
-    """Held words by falling count, and the table from a word to its hash and place."""
+def shard_count(bytes_: int, docs: int, words: int, pairs: int) -> int:
+    """From a bound of the tokens: a word has a byte and a space at least."""
+    tokens = bytes_ // 2 + 2 * docs
+    return max(1, -(-tokens // min(words, pairs)), SHARDS if bytes_ >= LARGE else 1)
 
-    KIND = np.dtype([("hash", "<u8"), ("at", "<i4")])
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pair_words: int, end_count: int, tokens: int, distinct: int):
-        self.words, self.counts, self.pair_words = words, counts, pair_words
-        self.end_count, self.tokens, self.distinct = end_count, tokens, distinct
-
-    def table(self) -> WordTable:
-        places = {int(w): i for i, w in enumerate(self.words)}
-
-        def entry(word: bytes) -> bytes:
-            h = xxhash.xxh64_intdigest(word)
-            return h.to_bytes(8, "little") + places.get(h, UNKNOWN).to_bytes(4, "little", signed=True)
+def blocks(batch: pa.RecordBatch, hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row of the first text, hashes of the tokens of some texts with an end token after each, and the number of tokens of each text."""
+    end = np.array([_END], dtype=np.uint64)
+    first, rows, sizes, total = 0, [], [], 0
+    for t in batch.column("_text"):
+        row = word_hashes(t.as_py().lower().split(), hashes)
+        rows += [row, end]
+        sizes.append(len(row) + 1)
+        total += len(row) + 1
+        if total >= BLOCK:
+            yield first, np.concatenate(rows), np.array(sizes)
+            first, rows, sizes, total = first + len(sizes), [], [], 0
+    if rows:
+        yield first, np.concatenate(rows), np.array(sizes)
 
-        return WordTable(entry)
 
-    def read(self, text: bytes, table: WordTable) -> np.ndarray:
-        return np.frombuffer(b"".join(map(table.__getitem__, text.lower().split())), dtype=self.KIND)
+def pairs_in(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a token has one before it in its text, and the keys of these pairs."""
+    second = np.ones(len(at), dtype=bool)
+    second[np.append(0, np.cumsum(sizes)[:-1])] = False
+    where = np.flatnonzero(second)
+    return where, pair_keys(words[at[where - 1]], words[at[where]])
 
 
-def vocabulary(counts: DataFrame, training_docs: int, words: int = WORDS, pairs: int = PAIRS) -> Vocabulary:
-    """At most `words` rows come to the driver: each has a share of 1/words of all tokens."""
-    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens = one["n"] + training_docs
-    held = counts.where(F.col("n") * F.lit(words) >= F.lit(tokens)).toArrow()
-    h, n = (held.column(c).to_numpy() for c in ("word", "n"))
-    order = np.lexsort((h, -n))
-    h, n = h[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
-    return Vocabulary(h, n, int((n * pairs >= tokens).sum()), training_docs, tokens, one["v"] + (training_docs > 0))
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by shard, and the shards met with their starts."""
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    met, starts = np.unique(shard[order], return_index=True)
+    return order, met, starts
 
 
-#: Tokens that a worker looks at together.
-BLOCK = 400_000
+#: Bytes of a pair's key that its shard gets; with the shard itself they tell pairs far better apart than a filter does.
+_PAIR_BYTES = 6
 
 
-def blocks(texts: pa.Array, v: Vocabulary, words: WordTable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens (hash, at) of some texts, an end token after each, and the number of tokens of each text."""
-    end = np.array([(_END, END_PLACE)], dtype=Vocabulary.KIND)
-    rows, sizes, total = [], [], 0
-    for t in texts:
-        row = v.read(t.as_py(), words)
-        rows += [row, end]
-        sizes.append(len(row) + 1)
-        total += len(row) + 1
-        if total >= BLOCK:
-            yield np.concatenate(rows), np.array(sizes)
-            rows, sizes, total = [], [], 0
-    if rows:
-        yield np.concatenate(rows), np.array(sizes)
+def _planes(at: np.ndarray) -> bytes:
+    """Byte by byte of all numbers: small ones compress well."""
+    return at.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
 
 
-def pairs_in(tokens: np.ndarray, limit: int) -> np.ndarray:
-    """Where a token and the one before it, in one text, are both frequent enough; an end token always is."""
-    at = tokens["at"]
-    second = (at < limit) & (at != UNKNOWN)
-    return np.flatnonzero(second[1:] & second[:-1] & (at[:-1] != END_PLACE)) + 1
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype="u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def pair_counts(docs: DataFrame, vocab, text: str = "text") -> DataFrame:
-    """pair (64-bit hash), n: exact counts of the pairs whose words both have the pairs' least share."""
+def pieces(docs: DataFrame, kind: str) -> DataFrame:
+    """Of docs (_id, _train, _text): the words of each block by falling count, its tokens by their places in these, and its texts' ids, sizes and whether they train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocab.value
-        words = v.table()
+        hashes, block = hash_table(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys = [np.empty(0, np.uint64)]
-            for tokens, _ in blocks(batch.column(0), v, words):
-                at = pairs_in(tokens, v.pair_words)
-                keys.append(pair_keys(tokens["hash"][at - 1], tokens["hash"][at]))
-            pairs, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(pairs)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            for first, tokens, sizes in blocks(batch, hashes):
+                words, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                place = np.empty(len(words), dtype=np.int64)
+                place[order] = np.arange(len(words))
+                ids, train = (batch.column(c).slice(first, len(sizes)) for c in ("_id", "_train"))
+                ends = pa.array([0, len(sizes)], pa.int32())
+                own = [words[order].tobytes(), _planes(place[at]), sizes.astype("<i8").tobytes(), train.to_numpy(zero_copy_only=False).astype("u1").tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.ListArray.from_arrays(ends, ids), *[pa.array([x], pa.binary()) for x in own]],
+                    names=["block", "ids", "words", "at", "sizes", "train"],
+                )
+                block += 1
 
-    parts = docs.select(text_bytes(text).alias("_text")).mapInArrow(run, "pair long, n long")
-    return parts.groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, words binary, at binary, sizes binary, train binary")
 
 
-def level_filter(words: DataFrame, pairs: DataFrame, tokens: int, n_words: int = WORDS, n_pairs: int = PAIRS) -> LevelFilter:
-    """words, pairs: (key, n). Tasks set bits in 64-bit words, which are joined by bit_or; the driver gets the filter, of known size."""
-    size = LevelFilter.size(n_words + n_pairs)
-    bits = np.uint64(size * 64)
+def sent_keys(held: DataFrame, shards: int) -> DataFrame:
+    """Keys and training counts of each block for every shard; kind 0 are words, 1 pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            levels = batch.column(1).to_numpy()
-            keys, at = np.repeat(keys, levels), np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-            where = np.concatenate(LevelFilter.positions(keys, at, bits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((where >> np.uint64(6)).astype(np.int64)), pa.array(signed(np.uint64(1) << (where & np.uint64(63))))], names=["at", "bits"]
-            )
-
-    def held(df: DataFrame, entries: int) -> DataFrame:
-        key = df.columns[0]
-        share = F.col("n") * F.lit(float(entries) / max(tokens, 1))
-        return df.where(share >= 1).select(F.col(key).alias("key"), (1 + F.floor(F.log2(share))).cast("long").alias("level"))
-
-    set_bits = held(words, n_words).unionByName(held(pairs, n_pairs)).mapInArrow(run, "at long, bits long")
-    rows = set_bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    filled = np.zeros(size, dtype=np.uint64)
-    filled[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return LevelFilter(filled)
-
-
-class Scorer:
-    """Of a worker: levels of the held words are probed once, those of other words and of pairs as they come."""
-
-    def __init__(self, v: Vocabulary, f: LevelFilter, n_words: int, n_pairs: int):
-        self.v, self.f, self.n_words, self.n_pairs = v, f, n_words, n_pairs
-        self.held = f.levels(np.append(v.words, np.uint64(_END)))
-
-    def probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        """Of each token given the one before it."""
-        total = max(self.v.tokens, 1)
-        at = tokens["at"]
-        levels = np.where(at == END_PLACE, self.held[-1], self.held[np.maximum(at, 0)])
-        unknown = at == UNKNOWN
-        levels[unknown] = self.f.levels(tokens["hash"][unknown])
-        single = count_of(levels, total, self.n_words)
-        p = (1 - FLOOR_WEIGHT) * np.minimum(single / total, 1.0) + FLOOR_WEIGHT / (self.v.distinct + 1)
-        where = pairs_in(tokens, self.v.pair_words)
-        both = count_of(self.f.levels(pair_keys(tokens["hash"][where - 1], tokens["hash"][where])), total, self.n_pairs)
-        before = np.maximum(single[where - 1], 1.0)
-        weight = PAIR_WEIGHT * before / (before + HALF_COUNT)
-        p[where] = (1 - weight) * p[where] + weight * np.minimum(both / before, 1.0)
-        return p
-
-
-def others_of(tokens: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words that aren't held, of each text: hashes and counts, text by text, and how many each text has."""
-    unknown = tokens["at"] == UNKNOWN
-    h, of = tokens["hash"][unknown], text[unknown]
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
-    starts = np.flatnonzero(new)
-    return h[starts], np.diff(np.append(starts, len(h))), np.bincount(of[starts], minlength=texts)
+            for i in range(batch.num_rows):
+                words, sizes, train = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("words", "<u8"), ("sizes", "<i8"), ("train", "u1")))
+                at = _numbers(batch.column("at")[i].as_py())
+                learned = np.repeat(train.astype(np.float64), sizes)
+                where, pairs = pairs_in(words, at, sizes)
+                pair, of = np.unique(pairs, return_inverse=True)
+                shard, kinds, keys, counts = [], [], [], []
+                for k, (found, n) in enumerate(((words, np.bincount(at, learned, len(words))), (pair, np.bincount(of, learned[where], len(pair))))):
+                    order, met, starts = _dealt(found, shards)
+                    n = n.astype("<i4")
+                    for s, part in zip(met.tolist(), np.split(order, starts[1:]), strict=False):
+                        shard.append(s)
+                        kinds.append(k)
+                        keys.append((found[part].view("u1").reshape(-1, 8)[:, :_PAIR_BYTES] if k else found[part]).tobytes())
+                        counts.append(n[part].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("block")[i].as_py()] * len(shard), pa.int64()), pa.array(shard, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["block", "shard", "kind", "keys", "counts"],
+                )
+
+    return held.select("block", "words", "at", "sizes", "train").mapInArrow(run, "block long, shard long, kind int, keys binary, counts binary")
+
+
+def _keys_of(kind: int, blob: bytes) -> np.ndarray:
+    if not kind:
+        return np.frombuffer(blob, dtype="<u8")
+    out = np.zeros((len(blob) // _PAIR_BYTES, 8), dtype="u1")
+    out[:, :_PAIR_BYTES] = np.frombuffer(blob, dtype="u1").reshape(-1, _PAIR_BYTES)
+    return out.view("<u8").ravel()
+
+
+def answered(sent: DataFrame) -> DataFrame:
+    """Levels of the keys of every (block, shard, kind), in their order, and of words the exact counts; tokens and distinct are a shard's own, on one of its rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds, blobs = group.column("kind").to_pylist(), group.column("keys").to_pylist()
+        parts = [_keys_of(k, b) for k, b in zip(kinds, blobs, strict=True)]
+        lengths = np.array([len(x) for x in parts])
+        keys, of = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(of, np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<i4"), len(keys)).astype(np.int64)
+        seen = n > 0
+        found = LevelFilter.of(keys[seen], levels_of(n[seen])).levels(keys).astype(np.uint8)
+        parts = np.split(of, np.cumsum(lengths)[:-1])
+        word = np.zeros(len(keys), dtype=bool)
+        for k, part in zip(kinds, parts, strict=True):
+            word[part] |= k == 0
+        word &= seen
+        rest = [0] * (len(kinds) - 1)
+        return pa.table(
+            {
+                "block": group.column("block"), "shard": group.column("shard"), "kind": group.column("kind"),
+                "levels": pa.array([found[p].tobytes() for p in parts], pa.binary()),
+                "counts": pa.array([n[p].astype("<i8").tobytes() if k == 0 else b"" for k, p in zip(kinds, parts, strict=True)], pa.binary()),
+                "tokens": pa.array([int(n[word].sum()), *rest], pa.int64()), "distinct": pa.array([int(word.sum()), *rest], pa.int64()),
+            }
+        )
+
+    return sent.groupBy("shard").applyInArrow(run, "block long, shard long, kind int, levels binary, counts binary, tokens long, distinct long")
+
+
+def probabilities(single: np.ndarray, at: np.ndarray, where: np.ndarray, both: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Of each token given the one before it; single are counts by word, both those of the pairs that end at where."""
+    total = max(total, 1)
+    one = single[at]
+    p = (1 - FLOOR_WEIGHT) * np.minimum(one / total, 1.0) + FLOOR_WEIGHT / (distinct + 1)
+    before = one[where - 1]
+    weight = PAIR_WEIGHT * before / (before + HALF_COUNT)
+    p[where] = (1 - weight) * p[where] + weight * np.minimum(both / np.maximum(before, 1.0), 1.0)
+    return p
 
 
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, pairs: int = PAIRS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs; learns from training_row()s."""
-    spark = docs.sparkSession
-    docs = docs.select(key, text)
-    train = docs.where(training_row(key))
-    counts = durable(word_counts(train, text), "lm-words")
-    v = vocabulary(counts, train.count(), words, pairs)
-    sent = spark.sparkContext.broadcast(v)
-    # the end token goes into the filter as a word of its own
-    end = spark.createDataFrame([(_END, v.end_count)], "word long, n long")
-    f = level_filter(counts.unionByName(end), pair_counts(train, sent, text), v.tokens, words, pairs)
-    probes = spark.sparkContext.broadcast(f)
-    denominator = v.tokens + (v.distinct + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
-        known, scorer = vocab.table(), Scorer(vocab, probes.value, words, pairs)
-        logs = np.append(np.log10((vocab.counts + 1) / denominator), [math.log10((vocab.end_count + 1) / denominator), 0.0])  # by place: -2 is the end
-        names = ["n_tokens", "_known", "_base", "score", "_rare", "_rare_n"]
-        for batch in batches:
-            at_row = 0
-            for tokens, sizes in blocks(batch.column("_text"), vocab, known):
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                at = tokens["at"]
-                here = (at >= 0) | ((at == END_PLACE) & (vocab.end_count > 0))
-                sums = [np.bincount(text, weights=x, minlength=len(sizes)) for x in (logs[at], np.log10(scorer.probabilities(tokens)))]
-                others, n, per_text = others_of(tokens, text, len(sizes))
-                ends = pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (signed(others), n)]
-                counted = [pa.array(sizes.astype(np.int64)), pa.array(np.bincount(text, weights=here, minlength=len(sizes)).astype(np.int64))]
-                rows = batch.slice(at_row, len(sizes))
-                at_row += len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("_row"), rows.column(key), *counted, *map(pa.array, sums), *lists], names=["_row", key, *names]
-                )
-
     kind = docs.schema[key].dataType.simpleString()
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), key, text_bytes(text).alias("_text"))
-    scored = durable(
-        numbered.mapInArrow(
-            run, f"_row long, `{key}` {kind}, n_tokens long, _known long, _base double, score double, _rare array<long>, _rare_n array<long>"
-        ),
-        "lm-scores",
-    )
-    pair = F.arrays_zip("_rare", "_rare_n")
-    others = scored.select("_row", F.explode(pair).alias("_w")).select("_row", F.col("_w._rare").alias("word"), F.col("_w._rare_n").alias("k"))
-    n = F.coalesce("n", F.lit(0))
-    sums = (
-        others.join(counts.where(F.col("n") * F.lit(words) < F.lit(v.tokens)), "word", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.col("k") * F.log10((n + 1) / F.lit(float(denominator)))).alias("_more"),
-            F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("_more_known"),
-        )
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
+    shards = shard_count(size["bytes"], size["docs"], words, pairs)
+    rows = docs.select(F.col(key).alias("_id"), training_row(key).alias("_train"), text_bytes(text).alias("_text"))
+    held = durable(pieces(rows, kind), "lm-pieces")
+    answers = durable(answered(sent_keys(held, shards)), "lm-levels")
+    known = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
+    tokens, distinct = known["n"], known["v"]
+
+    def run(own: pa.Table, replies: pa.Table) -> pa.Table:
+        found, sizes = (np.frombuffer(own.column(c)[0].as_py(), dtype=t) for c, t in (("words", "<u8"), ("sizes", "<i8")))
+        at = _numbers(own.column("at")[0].as_py())
+        where, all_pairs = pairs_in(found, at, sizes)
+        pair, of = np.unique(all_pairs, return_inverse=True)
+        said = {(k, s): i for i, (k, s) in enumerate(zip(replies.column("kind").to_pylist(), replies.column("shard").to_pylist(), strict=True))}
+
+        def told(k: int, keys: np.ndarray, column: str, dtype: str) -> np.ndarray:
+            order, met, _ = _dealt(keys, shards)
+            out = np.empty(len(keys), dtype=np.int64)
+            out[order] = np.frombuffer(b"".join(replies.column(column)[said[k, s]].as_py() for s in met.tolist()), dtype=dtype)
+            return out
+
+        n = told(0, found, "counts", "<i8")[at]
+        single, double = count_of(told(0, found, "levels", "u1")), count_of(told(1, pair, "levels", "u1"))[of]
+        p = probabilities(single, at, where, double, tokens, distinct)
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        n_known, base, score = (np.bincount(text_of, x, len(sizes)) for x in (n > 0, np.log10((n + 1) / (tokens + distinct + 1)), np.log10(p)))
+        return pa.table({key: own.column("ids").combine_chunks().flatten(), "n_tokens": sizes, "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
+
+    scored = held.drop("train").groupBy("block").cogroup(answers.select("block", "shard", "kind", "levels", "counts").groupBy("block")).applyInArrow(
+        run, f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double"
     )
-    return scored.join(sums, "_row", "left").select(
-        key,
-        (~training_row(key)).alias("held_out"),
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"),
-        F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
+    return scored.select(
+        key, (~training_row(key)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
