@@ -71,6 +71,15 @@ def test_jaccard_equals_brute_force(spark, width, percent, rare):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(shingles(t, width)) for i, t in texts.items()}
 
 
+def test_row_without_id_stands_for_no_copy(spark):
+    """A text's first row of a task has no id; its copies and near copies still link."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (1, text), (2, text), (3, text + " more"), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_jaccard.jaccard_components(df).collect()
+    assert sorted(r.component_id for r in got if r.doc_id) == [1, 1, 1] and [r.component_id for r in got if r.doc_id is None] == [None, None]
+
+
 def test_bounds_hold():
     """A linked pair's sizes are of one class or neighbours, and its difference is below the number of groups."""
     for percent in (80, 90):

@@ -98,19 +98,23 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
 
 
 def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """doc, n, s1, s2 (128-bit hash of the set) and prefix (null if this task sent it for an equal set)."""
+    """doc, n, s1, s2 (128-bit hash of the set) and prefix (null if this task sent it for an equal set, or without an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = hash_table(), set()
         for batch in batches:
             n, s1, s2, prefixes = [], [], [], []
-            for t in batch.column("_text"):
+            for doc, t in zip(batch.column("doc"), batch.column("_text"), strict=True):
                 s = shingle_set(t.as_py(), width, hashes)
                 both = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 s1.append((both >> 64) - (1 << 63))
                 s2.append((both & ((1 << 64) - 1)) - (1 << 63))
-                prefixes.append(None if both in sent or not len(s) else s[: prefix_length(len(s), percent)])
+                # a row without an id is no entry: it must not stand for later rows of its set
+                first = doc.is_valid and len(s) and both not in sent
+                prefixes.append(s[: prefix_length(len(s), percent)] if first else None)
+                if not first:
+                    continue
                 if len(sent) >= _SENT:
                     sent.clear()
                 sent.add(both)
