@@ -1,9 +1,12 @@
 """Line dedup and the Jaccard join against plain versions."""
 
+import os
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import _graph, line_dedup, ngram_jaccard
 
@@ -94,6 +97,10 @@ def test_bounds_hold():
 
 
 def distance(a, b):
+    same = len(os.path.commonprefix([a, b]))
+    a, b = a[same:], b[same:]
+    same = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
@@ -108,23 +115,130 @@ def test_line_dedup(spark):
     far = base.replace("quick brown fox", "slow green turtle").replace("lazy dog", "busy cat")
     rows = [(1, f"{base}\nunique one"), (2, f"{base.upper()}.\nunique two"), (3, f"{far}\nthird"), (4, f"{near}\nfourth\nfourth"), (5, "unique two\n" + base)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == f"{base}\nunique one" and got[2] == "unique two" and got[3] == f"{far}\nthird"
-    assert got[4].endswith("fourth") and got[4].count("fourth") == 1 and 5 not in got
+    assert got == {1: f"{base}\nunique one", 2: "unique two", 3: f"{far}\nthird", 4: "fourth"}
+
+
+def normal(line):
+    return line.lower().strip(line_dedup._ENDS + " ")
+
+
+def similar_lines(spark, lines, similarity=0.9):
+    """All pairs of edit similarity 0.9 or more; an edit takes two pairs of characters at most, which spares distances that can't be small enough."""
+    ordered = sorted(lines, key=lambda t: (len(t), t))
+    pairs = np.zeros((len(ordered), 512), dtype=np.int32)
+    for row, t in zip(pairs, ordered):
+        np.add.at(row, [hash(x) % 512 for x in zip(t, t[1:])], 1)
+    size = np.array([len(t) for t in ordered])
+    out = []
+    for i, a in enumerate(ordered):
+        most = (size[i:] * (1 - similarity) + 1e-9).astype(int)
+        lost = np.maximum(pairs[i] - pairs[i:], 0).sum(axis=1)
+        for j in np.flatnonzero((lost <= 2 * most) & (size[i:] - size[i] <= most))[1:]:
+            out.append((a, ordered[i + j], int(most[j])))
+    near = spark.createDataFrame(out, "a string, b string, most int").where("levenshtein(a, b) <= most")
+    return [(r.a, r.b) for r in near.collect()]
+
+
+def plainly_deduped(spark, rows):
+    """doc_id -> text of rows (doc_id, text) with distinct ids."""
+    owner, norms = {}, {normal(x) for _, t in rows for x in (t or "").split("\n")} - {""}
+    group = roots(norms, similar_lines(spark, norms))
+    for i, t in sorted(rows):
+        for x in (t or "").split("\n"):
+            if normal(x):
+                owner.setdefault(group[normal(x)], i)
+    out = {}
+    for i, t in rows:
+        seen, kept, words = set(), [], not t or not any(map(normal, t.split("\n")))
+        for x in (t or "").split("\n"):
+            g = group.get(normal(x))
+            if g is None or (owner[g] == i and g not in seen):
+                kept.append(x)
+                words |= g is not None
+            seen.add(g)
+        if words:
+            out[i] = t and "\n".join(kept)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Every link of edit similarity 0.9 is found on this table, so the kept lines are those of all pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = plainly_deduped(spark, [(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
+
+
+@pytest.mark.parametrize("length", [12, 25, 40, 80, 200, 600, "dense"])
+def test_recall_by_length(spark, length):
+    """Of planted edits within similarity 0.9, nine in ten at least are linked; none of unlike lines."""
+    rng = random.Random(str(length))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(3000)] + ["the", "of", "and"] * 300
+    lines, planted = [], []
+    for _ in range(150):
+        size = 150 if length == "dense" else length
+        line = ""
+        while len(line) < size:
+            line += rng.choice(vocabulary) + ("" if length == "dense" else " ")
+        line = normal(line[:size])
+        most, other = int(len(line) * 0.1), list(line)
+        for _ in range(rng.randrange(1, max(2, most // 2))) if length in (12, 25, "dense") else ():  # characters
+            other[rng.randrange(len(other))] = rng.choice(letters)
+        if length not in (12, 25, "dense"):  # words, while they fit
+            words, left = line.split(" "), most
+            for i in rng.sample(range(len(words)), len(words)):
+                left -= max(len(words[i]), 3)
+                if left < 0:
+                    break
+                words[i] = "".join(rng.choice(letters) for _ in range(min(3, max(len(words[i]), 1))))
+            other = " ".join(words)
+        other = normal("".join(other))
+        lines += [line, other]
+        planted.append((line, other))
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = line_dedup.line_groups(docs, line_dedup.lines_of(docs, "doc_id", "text"), "doc_id", "text").collect()
+    norm = {r.line: r.norm for r in line_dedup.lines_of(docs, "doc_id", "text").select("line", "norm").distinct().collect()}
+    group = {norm[r.line]: r.group for r in groups}
+    true = [(a, b) for a, b in planted if a != b and distance(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9]
+    found = sum(group.get(a, a) == group.get(b, b) for a, b in true)
+    assert len(true) > 50 and found >= 0.9 * len(true), (found, len(true))
+
+
+def test_candidates_of_crowded_keys_are_linear(spark):
+    """10,000 unlike two-word lines that share a word: candidate pairs follow the lines, not their square."""
+    rng = random.Random(4)
+    rows = [(i, "chapter " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))) for i in range(10_000)]
+    rows += [(10_000 + i, f"chapter {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = line_dedup.durable(line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")), "known")
+    assert line_dedup.candidate_pairs(known).count() < 30 * len(rows)
 
 
 def test_simhash_blocks_are_certain(spark):
-    """Hashes that differ in at most DISTANCE bits share a key; what is linked is near enough."""
+    """Lines that differ in fewer words than there are blocks agree on a block."""
     rng = random.Random(2)
     rows = []
     for i in range(100):
-        h = rng.getrandbits(64)
-        other = h
-        for b in rng.sample(range(64), line_dedup.DISTANCE):
-            other ^= 1 << b
-        rows += [(2 * i, h - (1 << 63), 10), (2 * i + 1, other - (1 << 63), 10)]
-    keys = spark.createDataFrame(rows, "line long, bits long, length int").select(*line_dedup.block_keys("bits", "line", "length"))
-    met = {(r.a, r.b) for r in keys.selectExpr("key", "node a").join(keys.selectExpr("key", "node b"), "key").where("a < b").collect()}
-    assert all((2 * i, 2 * i + 1) in met for i in range(100))
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 200))]
+        other = [*words[3:], *[f"x{rng.randrange(10**6)}" for _ in range(4)]]  # seven differ
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {}
+    for r in line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")).collect():
+        keys.setdefault(r.doc, set()).update(r[k] for k in line_dedup._KEYS if r[k] is not None)
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(100))
+
+
+def test_majority(spark):
+    """SimHash bits of one block against a plain count."""
+    rng = random.Random(5)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 6, 7, 40, 63)]
+    got = spark.createDataFrame([(r,) for r in rows], "h array<long>").select(line_dedup.majority(F.col("h")).alias("m")).collect()
+    for r, g in zip(rows, got, strict=True):
+        for b in range(64):
+            ones = sum(x >> b & 1 for x in r)
+            assert (g.m >> b & 1) == (r[0] >> b & 1 if 2 * ones == len(r) else int(2 * ones > len(r)))
 
 
 def test_linked_lines_are_similar(spark):
