@@ -1,10 +1,11 @@
 """Every operator and stage over nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import corpus_pipeline
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lm, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality_rules, toxicity
+from tidemark.llm import bloom_lm, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality_rules, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor " * 4000 + "x" * 5000
@@ -66,12 +67,25 @@ def test_stages(spark, rows):
         own.collect()
 
 
-def test_host_verdict_is_joined_back(spark):
-    good = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, good if i % 10 == 0 else "too short", "en", "bad", 1) for i in range(100)] + [(100 + i, good + str(i), "en", "good", 1) for i in range(100)]
-    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got[0].base_failed and not got[0].kept and got[0].host_rate > 0.8
-    assert all(got[i].kept for i in range(100, 200))
+def test_host_verdicts_change_rows(spark):
+    """Four hosts like the others, one of mostly failing documents, one of many symbols, one of a single bad document."""
+    words = [f"word{i}" for i in range(60)]
+    good, noisy = " ".join(words), " ".join(words[:50] + ["#"] * 10)
+    rows = [(1000 * h + i, good + str(i) if i % 20 else "too short", "en", f"like{h}", 1) for h in range(4) for i in range(200)]
+    rows += [(10_000 + i, good if i % 10 == 0 else "too short", "en", "bad", 1) for i in range(100)]
+    rows += [(20_000 + i, noisy if i % 3 == 0 else good, "en", "noisy", 1) for i in range(100)] + [(30_000, "too short", "en", "single", 1), (30_001, noisy, "en", "like0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert {i: r.host_verdict for i, r in got.items() if i % 1000 == 0} == {0: "ok", 1000: "ok", 2000: "ok", 3000: "ok", 10_000: "rejected", 20_000: "suspect", 30_000: "ok"}
+    assert not got[10_000].base_failed and not got[10_000].kept  # a good document of the rejected host
+    assert not got[20_000].base_failed and not got[20_000].kept and got[20_001].kept  # only what breaks a rule goes from a suspect host
+    assert got[30_001].kept and got[30_001].n_symbols == got[20_000].n_symbols  # the same text stays elsewhere
+    assert all(got[i].kept != got[i].base_failed for i in got if i < 10_000)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    names = ["doc_id", "base_failed", "host_rate", "host_verdict", "kept"]
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()['op10_quality_rules']})").fetchall()}
+    assert {i: (r.base_failed, round(r.host_rate, 6), r.host_verdict, r.kept) for i, r in got.items()} == want
     assert quality_rules.beta_prior(0, 0, 0, 0.0) == (0.5, 1.0)
 
 
@@ -79,4 +93,4 @@ def test_quality_counts():
     from tidemark.llm._common import hash_table
 
     text = "a b c d\na b c d\n\n\n#x é漢"
-    assert quality_rules.counts_of(text.encode(), hash_table()) == (10, 12, 1, 1, 8)
+    assert quality_rules.counts_of(text.encode(), hash_table()) == (10, 12, 1, 1, 8, 3)

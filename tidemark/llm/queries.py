@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from tidemark.llm.quality_rules import BASE, FACTOR, MAX_HOST_RATE, RULES, Z
+
 _MODULES = {
     "op1_permutation_index": "permutation_index",
     "op2_line_dedup": "line_dedup",
@@ -45,6 +47,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY 1
 """
 
+_FLAGS = {"base_failed": BASE, **RULES}
+_ANY_RULE = " OR ".join(f"({x})" for x in RULES.values())
+
+
+def _each(form: str, flags=_FLAGS, between: str = ", ") -> str:
+    """form for every flag: {f} is its name, {rule} its condition."""
+    return between.join(form.format(f=f, rule=rule) for f, rule in flags.items())
+
+
 _QUALITY = rf"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 i AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3),
@@ -52,14 +63,18 @@ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM
 t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM t WHERE k > 1) GROUP BY 1),
 ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{_WORD}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
-j AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM j GROUP BY 1),
-m AS (SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS sq, count(*) / sum(n) AS share FROM h),
-a AS (SELECT mean, least(1e6, greatest(1.0, mean * (1 - mean) / greatest(sq - mean * mean - mean * (1 - mean) * share, 1e-9) - 1)) AS strength FROM m),
-r AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h, a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM ln GROUP BY 1),
+c AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.lines, 0) AS n_lines FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+j AS (SELECT *, {BASE} AS base_failed, {_ANY_RULE} AS broken FROM c),
+h AS (SELECT source, count(*) AS n, {_each("count(*) FILTER ({rule}) AS {f}")} FROM j GROUP BY 1),
+m AS (SELECT count(*) / sum(n) AS share, {_each("sum({f}) / sum(n) AS {f}_mean, sum(n * ({f} / n) * ({f} / n)) / sum(n) AS {f}_sq")} FROM h),
+a AS (SELECT *, {_each("least(1e6, greatest(1.0, {f}_mean * (1 - {f}_mean) / greatest({f}_sq - {f}_mean * {f}_mean - {f}_mean * (1 - {f}_mean) * share, 1e-9) - 1)) AS {f}_s")} FROM m),
+r AS (SELECT h.source, n, {_each("({f} + {f}_mean * {f}_s) / (n + {f}_s) AS {f}_rate")}, a.* FROM h, a),
+l AS (SELECT source, base_failed_rate, {_each("{f}_rate - {z} * sqrt({f}_rate * (1 - {f}_rate) / (n + {f}_s + 1)) AS {f}_low".replace("{z}", str(Z)))}, {_each("{k} * {f}_mean AS {f}_usual".replace("{k}", str(FACTOR)))} FROM r),
+v AS (SELECT source, base_failed_rate, CASE WHEN base_failed_low > {MAX_HOST_RATE} AND base_failed_low > base_failed_usual THEN 'rejected' WHEN {_each("{f}_low > {f}_usual", RULES, " OR ")} THEN 'suspect' ELSE 'ok' END AS host_verdict FROM l)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, round(base_failed_rate, 6) AS host_rate, host_verdict,
+  NOT (base_failed OR host_verdict = 'rejected' OR (host_verdict = 'suspect' AND broken)) AS kept FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
