@@ -95,22 +95,45 @@ def test_fixed_forms(spark):
         want = plain_spans(texts[r.doc_id])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in range(4))
         listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
-        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) <= set(r.spans.split(","))
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) - {""} <= set(r.spans.split(","))
 
 
 def test_patterns_find_unseen(spark):
-    rows = [(i, f"please write to me: user{i}@mail.org thanks") for i in range(6)] + [(10 + i, f"call my phone +49 30 12345{i}{i}{i} now") for i in range(6)]
-    rows += [(20, "call my phone 0049-30-99 now"), (21, "lot number A-77881 is sold"), (22, "call my phone +49 30 1234599 now")]
-    rows += [(30 + i, f"card id {1000000 + i} x and call my phone 0049-30-{10 + i} y") for i in range(3)]
+    """Identifiers of other forms in the seeds' contexts: malformed, without a digit, in groups; not those of mixed contexts."""
+    rows = [(i, f"please write to me: user{i}@mail.org thanks") for i in range(8)] + [(10 + i, f"call my phone +49 30 12345{i}{i}{i} now") for i in range(9)]
+    rows += [(30, "call my phone 0049-30-99 now"), (31, "call my phone 0049 (30) 991 today"), (32, "please write to me: bob(at)host thanks"), (33, 'set the key="ABC-unseen" here')]
+    rows += [(34, "lot number A-77881 is sold"), (35, "call my phone +49 30 1234599 now")] + [(40 + i, f'set the key="{i:040x}" here'.replace("0000", "a1b2")) for i in range(6)]
+    rows += [(50 + i, f"we saw 10.0.0.{i} there") for i in range(3)] + [(60 + i, f"we saw dog{i} there") for i in range(9)] + [(70, None), (71, ""), (32, "please write to me: bob(at)host thanks")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in pii.find_spans(df, ["doc_id"]).collect()}
-    assert spans[21] == [] and len(spans[0]) == 1 and len(spans[22]) == 1
-    clean = pii.redacted(df).orderBy("doc_id").collect()
-    assert clean[0].text == "please write to me: <EMAIL> thanks" and clean[6].text == "call my phone <PHONE> now"
-    # a trusted pattern names identifiers that no fixed form has
-    seen = [(i, f"my badge no. 10.0.0.{i} ok") for i in range(8)] + [(9, "my badge no. 10.0.0.999 ok")]
-    found = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(seen, "doc_id long, text string"), ["doc_id"]).collect()}
-    assert found[9].base == [] and [(s.kind, s.start, s.end) for s in found[9].spans] == [(1, 13, 23)]
+    texts = dict(rows)
+    got = pii.find_spans(df, ["doc_id"]).collect()
+    found = {r.doc_id: [(pii.KINDS[s.kind], texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in got}
+    assert len(got) == len(rows) and found[34] == found[70] == found[71] == found[60] == [] and len(found[50]) == 1
+    assert found[30] == [("phone", "0049-30-99")] and found[31] == [("phone", "0049 (30) 991")] and found[32] == [("email", "bob(at)host")]
+    assert found[33] == [("secret", "ABC-unseen")] and found[40][0][0] == "secret" and found[35] == [("phone", "+49 30 1234599")]
+    assert all(not r.base for r in got if r.doc_id in (30, 31, 32, 33))
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert clean[0] == "please write to me: <EMAIL> thanks" and clean[30] == "call my phone <PHONE> now" and clean[33] == 'set the key="<SECRET>" here' and clean[70] is None
+
+
+def test_instances_bring_patterns(spark):
+    """A handle found in a trusted context is known in others, where it makes a pattern that finds more."""
+    rows = [(i, f"mail goes to: user{i}@mail.org ok") for i in range(40)] + [(50 + i, f"mail goes to: nick-{i} ok") for i in range(9)]
+    rows += [(60 + i, f"our handle is nick-{i} friends") for i in range(9)] + [(70, "our handle is mole friends")]
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: len(r.spans) for r in got} == {i: 1 for i, _ in rows}
+
+
+def test_spans_are_added_on_the_tables(spark):
+    """Secrets in forms that are no seed (in capitals, cut by marks) are found by context; nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    added = [(texts[r.doc_id], s.start, s.end, s.kind) for r in pii.find_spans(docs, ["doc_id"]).collect() for s in r.spans if s.kind >= pii.BASE or s not in r.base]
+    tokens = {(t, m.start(1), m.end(1)) for t in texts.values() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    seeds = {(t, a, b) for t, a, b in tokens if t[a:b].islower()}
+    found = {(t, a, b) for t, a, b, _ in added}
+    assert len(tokens - seeds) >= 5 and len(found & (tokens - seeds)) >= 0.9 * len(tokens - seeds)
+    assert len(found & tokens) >= 0.95 * len(tokens) and len(found & tokens) >= 0.95 * len(found) and {k for *_, k in added} == {pii.BASE}
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", " a", "a  b   c ", "▁ ▁▁a", "x\n\ny\t z", "ﬁ①é漢字", "</s> <s> [INST]", "word " * 50, "\x00 \x0b ok"])

@@ -17,9 +17,9 @@ def _place(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """Bits of hashed keys in arrays of 512 longs: at most FILTER_BITS / 32768 rows of 4 kB."""
-    place = _place(column)
+def key_filter(keys: DataFrame, column: str, place=None) -> DataFrame:
+    """Bits of hashed keys, or of their own places, in arrays of 512 longs: at most FILTER_BITS / 32768 rows of 4 kB."""
+    place = _place(column) if place is None else place
     words = keys.groupBy(F.shiftright(place, 15).cast("int").alias("_bucket"), F.shiftright(place, 6).bitwiseAND(F.lit(511)).cast("int").alias("_word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("_bits")
     )
