@@ -56,7 +56,7 @@ def linked_pairs(texts, width, percent):
     return out
 
 
-@pytest.mark.parametrize(("width", "percent", "rare"), [(3, 90, 32), (5, 80, 32), (3, 90, 1)])
+@pytest.mark.parametrize(("width", "percent", "rare"), [(3, 90, 32), (5, 80, 32), (3, 90, 1), (5, 80, 1)])
 def test_jaccard_equals_brute_force(spark, width, percent, rare):
     """With rare=1 every shared shingle is frequent, so that combinations find the pairs."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -83,17 +83,36 @@ def test_row_without_id_stands_for_no_copy(spark):
     assert sorted(r.component_id for r in got if r.doc_id) == [1, 1, 1] and [r.component_id for r in got if r.doc_id is None] == [None, None]
 
 
-def test_bounds_hold():
-    """A linked pair's sizes are of one class or neighbours, and its difference is below the number of groups."""
-    for percent in (80, 90):
-        for n in range(1, 400):
-            for m in range(n, n * 100 // percent + 1):
-                i = n  # the largest intersection
-                if 100 * i >= percent * m:
-                    a, b = (ngram_jaccard.size_class(x, percent) for x in (n, m))
-                    assert b in (a, a + 1)
-                    union = 100 * n // percent
-                    assert union - -(-percent * union // 100) <= ngram_jaccard.most_different(b, percent)
+@pytest.mark.parametrize("percent", [70, 80, 90, 95])
+@pytest.mark.parametrize("order", [0, 1])
+def test_linked_sets_share_a_combination(percent, order):
+    """Any linked pair that isn't equal shares a run, also at the limit of the similarity and for small sets."""
+    rng = np.random.default_rng(percent + order)
+    for n in [*range(2, 60), *range(60, 400, 17)]:
+        for _ in range(30):
+            common = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+            most = n * (100 - percent) // percent
+            if not most:
+                continue
+            own = int(rng.integers(0, most + 1))
+            a, b = (np.unique(np.concatenate([common, rng.integers(1, 1 << 63, k, dtype=np.uint64)])) for k in (own, most - own))
+            assert 100 * n >= percent * (n + most)
+            assert np.intersect1d(*(ngram_jaccard.combination_keys(x, percent, order) for x in (a, b))).size, (n, own, most)
+
+
+def test_crowded_keys_are_crossed(spark, monkeypatch):
+    """With no pair allowed to a key alone, second keys find the same components; unlike sets that share a passage stay apart."""
+    monkeypatch.setattr(_graph, "CROSS", 0)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(20)]) for i in range(60)}
+    for i in range(60):
+        words = texts[i].split(" ")
+        words[rng.randrange(40, 60)] = "changed"
+        texts[100 + i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df, width=3, percent=80, rare=1).collect()}
+    assert got == roots(texts, linked_pairs(texts, 3, 80)) and len(set(got.values())) == 60
 
 
 def distance(a, b):

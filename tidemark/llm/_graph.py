@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,18 +83,16 @@ def _bits_apart(a: str, b: str):
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
 
 
+#: Pairs of unlike components that a key may give for each of its nodes before it is crossed with other keys.
+CROSS = 32
+
+
 def linked(
-    postings: DataFrame,
-    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-    nearly: float,
-    name: str,
-    sketches: DataFrame | None = None,
-    most_apart: Callable | None = None,
+    postings: DataFrame, verified: Callable[[DataFrame], DataFrame], nearly: float, name: str, sketches: DataFrame, most_apart: Callable, second: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """Edges (a, b) with the connected components of all pairs that share a key and are verified.
 
-    postings: key, node, size. verifier is given the nodes that share a key with another, and gives a
-    function that keeps the true ones of pairs (a, b). A pair whose sizes
+    postings: key, node, size. verified keeps the true ones of pairs (a, b). A pair whose sizes
     differ by more than the share `nearly` is never true.
 
     sketches (node, sketch: array of SKETCH longs) hold parities of a set's elements: two sets differ in
@@ -102,29 +101,39 @@ def linked(
 
     First every node of a key is compared with the key's smallest node; then only pairs that share
     a key and are in different components so far. Pairs left out are of one component, so no
-    component is lost, and copies of one text are no square of pairs.
+    component is lost, and copies of one text are no square of pairs. A key that would give more than CROSS such pairs a node
+    isn't used alone: second(nodes) gives other keys (key, node), of which a true pair shares one as well. Its pairs share
+    one of these that isn't crowded, or one of either kind at once.
     """
     keys = durable(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{name}-keys")
-    met = durable(maybe_in(postings, "key", key_filter(keys, "key")).join(keys, "key"), f"{name}-met")
-    shared = met.join(met.groupBy("key").agg(F.min("node").alias("center")), "key")
-    shared = durable(shared, f"{name}-shared")
-    verified = verifier(shared.select("node").distinct())
-    pairs = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb")).distinct()
+    shared = durable(maybe_in(postings, "key", key_filter(keys, "key")).join(keys, "key"), f"{name}-shared")
+    centers = shared.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = shared.join(centers, "key").where("node <> a").select("a", F.col("node").alias("b"), F.col("size").alias("sb")).distinct()
     sizes = shared.select(F.col("node").alias("a"), F.col("size").alias("sa")).distinct()
-    near = (F.col("sa") >= F.col("sb") * F.lit(nearly)) & (F.col("sb") >= F.col("sa") * F.lit(nearly))
-    known = sketches if sketches is not None else shared.select("node", F.lit(None).cast("array<long>").alias("sketch")).distinct()
-    if most_apart is not None:
-        near = near & (_bits_apart("ka", "kb") <= most_apart(F.col("sa"), F.col("sb")))
-    ends = pairs.join(sizes, "a").join(_renamed(known, "a"), "a").join(_renamed(known, "b"), "b")
+    near = (F.col("sa") >= F.col("sb") * F.lit(nearly)) & (F.col("sb") >= F.col("sa") * F.lit(nearly)) & (_bits_apart("ka", "kb") <= most_apart(F.col("sa"), F.col("sb")))
+    ends = pairs.join(sizes, "a").join(_renamed(sketches, "a"), "a").join(_renamed(sketches, "b"), "b")
     star = durable(ends.where(near).select("a", "b"), f"{name}-star")
     first = durable(verified(star), f"{name}-edges")
     found = components(first, f"{name}-components")
     labelled = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = durable(labelled.join(mixed, "key").join(known, "node"), f"{name}-open")
+    open_ = durable(_crossing(labelled).where("pairs > 0").join(labelled, "key"), f"{name}-open")
+    few, crowded = open_.where(F.col("pairs") <= CROSS * F.col("n")), open_.where(F.col("pairs") > CROSS * F.col("n")).drop("n", "pairs")
+    nodes = durable(crowded.groupBy("node").agg(F.max("size").alias("size"), F.max("component").alias("component")), f"{name}-crowded")
+    others = second(nodes.select("node")).join(nodes, "node")
+    others = durable(_crossing(others).where("pairs > 0").join(others, "key"), f"{name}-second")
+    full = others.where(F.col("pairs") > CROSS * F.col("n")).select(F.col("key").alias("other"), "node")
+    crossed = crowded.join(full, "node").withColumn("key", F.xxhash64("key", "other"))
+    groups = [few, others.where(F.col("pairs") <= CROSS * F.col("n")), crossed]
+    held = durable(reduce(DataFrame.unionByName, [g.select("key", "node", "size", "component") for g in groups]).join(sketches, "node"), f"{name}-rest-of")
     left, right = (
-        open_.select("key", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}"), F.col("sketch").alias(f"k{n}")) for n in ("a", "b")
+        held.select("key", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}"), F.col("sketch").alias(f"k{n}")) for n in ("a", "b")
     )
     rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
     rest = durable(rest.join(star, ["a", "b"], "left_anti"), f"{name}-rest")
     return first.unionByName(durable(verified(rest), f"{name}-edges"))
+
+
+def _crossing(labelled: DataFrame) -> DataFrame:
+    """key, n, pairs: its nodes and its pairs of nodes in different components."""
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
+    return parts.groupBy("key").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))

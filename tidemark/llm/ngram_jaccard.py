@@ -10,24 +10,25 @@ Candidates (s: percent / 100, n: the size of a set; every bound below holds for
 2. A shingle is rare if at most RARE prefixes have it. Rare ones are indexed singly, and pairs are counted: of the k shared
    shingles at most as many are frequent as either prefix has, so the pair shares the rest of k as rare ones.
    A shingle that two texts share by chance is thus no candidate.
-3. That says nothing of a pair whose prefixes both have k frequent shingles. For documents with that
-   many, combinations are indexed: the whole set is dealt by
-   hash to more groups than a linked pair can differ in shingles, so the pair agrees on
-   whole groups, and each group's combination of shingles is one key. Their number follows the size,
-   where all k-subsets would grow as its k-th power. (All groups that a pair agrees on could be
-   empty ones; for the smallest sets the chance is below 1e-5, and it falls steeply with the size.)
+3. That says nothing of a pair whose prefixes both have k frequent shingles. Documents with that
+   many are indexed by combinations, out of a prefix that is extended further. Two linked sets differ in at most
+   D = (1 - s) / s n shingles. Of their first (c - 1) D + c common shingles, D others can part at most (c - 1) D of the
+   (c - 1) D + 1 runs of c common ones, so one run of c shingles stands without a gap in both. Every
+   run of c shingles in the first n - ceil(s n) + (c - 1) D + c is one combination. Their number follows the size,
+   where all c-subsets would grow as its c-th power, and none is lost: with c <= (s / (1 - s) + 1) / 2 linked sets that differ have so many
+   common shingles. A passage that unlike documents share is seldom c neighbours among their other shingles.
 
 Candidates whose sizes or parity sketches are too far apart go; the others are verified on whole texts. Exact copies (equal sets) are one entry from the start.
-See _graph.linked for how pairs that share a key are compared without a square of pairs.
+See _graph.linked for how pairs that share a key are compared; a run that is still crowded with unlike documents
+is crossed with the runs of a second, independent order, which is as certain as the first.
 
 Words: ASCII white space apart, A-Z in lower case. With fewer words than a shingle
 has, the whole sequence is the shingle; without words or text the set is empty and links with
-nothing. Repeated rows give repeated results; an id should have one text. Rows without an id get their own result without a component.
+nothing. Repeated rows give repeated results; an id should have one text; of several, links are verified on the smallest. Rows without an id get their own result without a component.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ from tidemark.llm._graph import SKETCH, components, key_filter, linked, maybe_in
 WIDTH, PERCENT = 3, 90
 #: Prefixes that may share a rare shingle.
 RARE = 32
+#: Shingles of a combination, where the similarity allows as many.
+COMBINED = 4
 #: Sets whose prefix a task has sent: a copy isn't sent again.
 _SENT = 200_000
 
@@ -60,34 +63,19 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + shared_at_least(n, percent))
 
 
-def size_class(n: int, percent: int) -> int:
-    """Linked sets are of the same class or of neighbouring ones."""
-    return int(math.floor(math.log(max(n, 1)) / -math.log(percent / 100) + 1e-9))
+def run_length(percent: int) -> int:
+    """c: the longest runs that linked sets are certain to share, up to COMBINED."""
+    return min(COMBINED, (percent // (100 - percent) + 1) // 2) if percent < 100 else 1
 
 
-def most_different(c: int, percent: int) -> int:
-    """Bound of |A xor B| of a linked pair whose larger set is of class c: (1 - s) of their union, which is at most larger / s."""
-    largest = (100 / percent) ** (c + 1) + 1
-    return math.floor(largest * (100 - percent) / percent)
-
-
-def group_count(c: int, percent: int) -> int:
-    """More groups than differing shingles; twice as many for small sets, where whole groups might all be empty ones."""
-    most = most_different(c, percent)
-    return (most + 1) * (2 if most < 25 else 1)
-
-
-def combination_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the groups' combinations, under the own class and the next (a larger partner's)."""
-    own = size_class(len(shingles), percent)
-    out = []
-    for c in (own, own + 1):
-        group = mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(group_count(c, percent))
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-        sums = np.add.reduceat(mixed(shingles[order] + np.uint64(c)), starts)  # wraps around
-        out.append(mixed(sums + group[order][starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
-    return np.concatenate(out)
+def combination_keys(shingles: np.ndarray, percent: int, order: int = 0) -> np.ndarray:
+    """A key of every run of c neighbours in the extended prefix of a set (sorted); orders other than 0 sort it anew by another hash."""
+    if order:
+        shingles = np.sort(mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5 + order)))
+    n, c = len(shingles), run_length(percent)
+    most = n * (100 - percent) // percent
+    prefix = min(n, n - -(-percent * n // 100) + (c - 1) * most + c)
+    return mixed(shingle_hashes(shingles[:prefix], c) + np.uint64(order)) if n >= c else np.empty(0, np.uint64)
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -127,7 +115,7 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     return rows.mapInArrow(run, "doc long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def combinations_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
+def combinations_of(texts: DataFrame, width: int, percent: int, order: int = 0) -> DataFrame:
     """key, node, size: the combination keys of texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +124,7 @@ def combinations_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
             for node, t in zip(batch.column("node").to_pylist(), batch.column("_text"), strict=True):
                 s = shingle_set(t.as_py(), width, hashes)
                 if len(s):
-                    keys = np.unique(combination_keys(s, percent))
+                    keys = np.unique(combination_keys(s, percent, order))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(signed(keys)), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(s)))], names=["key", "node", "size"]
                     )
@@ -222,7 +210,7 @@ def jaccard_components(
     crowded = durable(frequent.where(F.col("frequent") >= _k(F.ceil(F.col("size") * percent / 100), percent)).select("node"), "crowded")
     wanted = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ends = crowded.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = durable(maybe_in(wanted, "node", key_filter(ends, "node")).join(ends, "node").dropDuplicates(["node"]), "texts")
+    texts = durable(maybe_in(wanted, "node", key_filter(ends, "node")).join(ends, "node").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b").join(
@@ -237,7 +225,10 @@ def jaccard_components(
     def most_apart(a, b):
         return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
 
-    links = linked(combined, lambda nodes: verified, percent / 100, "jaccard", sketches, most_apart).unionByName(durable(verified(pairs), "rare-edges")).unionByName(copies)
+    def second(nodes: DataFrame) -> DataFrame:
+        return combinations_of(crowded_texts.join(nodes, "node"), width, percent, order=1).select("key", "node")
+
+    links = linked(combined, verified, percent / 100, "jaccard", sketches, most_apart, second).unionByName(durable(verified(pairs), "rare-edges")).unionByName(copies)
     found = components(links, "jaccard-components")
     return sets.join(found, F.col("doc") == F.col("node"), "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
