@@ -45,6 +45,7 @@ STRICT = r"^\s*(\d{1,2})\s*[:\-–—]\s*(\d{1,2})\s*$"
 SEPARATED = r"(?<!\d)(\d{1,2})\s*[:\-|]\s*(\d{1,2})(?!\d)"
 SPACED = r"^\s*(\d{1,2})\s+(\d{1,2})\s*$"
 COMPACT = r"^\s*(\d)(\d)\s*$"
+ANYWHERE = r"(\d{1,2})\s*[:\-]\s*(\d{1,2})"
 
 
 def parse_score(text: ColumnOr) -> Column:
@@ -60,6 +61,26 @@ def read_score(text: ColumnOr, largest: int = 99, compact: bool = False) -> Colu
     return F.when((found["home"] <= largest) & (found["away"] <= largest), found)
 
 
+def found_score(text: ColumnOr, largest: int = 99) -> Column:
+    """The first thing like a score anywhere in a text, inside longer numbers also; null if a side is above largest."""
+    found = _scored(_c(text), ANYWHERE)
+    return F.when((found["home"] <= largest) & (found["away"] <= largest), found)
+
+
+def score_only(width: ColumnOr, height: ColumnOr) -> Column:
+    """A region of this shape shows a score and no team names, so two digits are a score."""
+    return _c(width) / F.greatest(F.lit(1), _c(height)) <= 3.0
+
+
+def padded_crop(box: ColumnOr, width: ColumnOr, height: ColumnOr, *, pair: bool) -> Column:
+    """x0, y0, x1, y1 in the unit square of a text box (x0, y0, x1, y1 in pixels) with room around it; more beside one number of a pair, for a second digit."""
+    b, w, h = _c(box), _c(width), _c(height)
+    tall = F.greatest(F.lit(1.0), b["y1"] - b["y0"])
+    px, py = tall * (0.55 if pair else 0.25), tall * (0.25 if pair else 0.2)
+    sides = {"x0": F.greatest(F.lit(0.0), (b["x0"] - px) / w), "y0": F.greatest(F.lit(0.0), (b["y0"] - py) / h), "x1": F.least(F.lit(1.0), (b["x1"] + px) / w), "y1": F.least(F.lit(1.0), (b["y1"] + py) / h)}
+    return F.struct(*[v.alias(k) for k, v in sides.items()])
+
+
 def score_text(s: ColumnOr) -> Column:
     s = _c(s)
     return F.when(s.isNotNull(), F.concat_ws(":", s["home"], s["away"]))
@@ -211,6 +232,11 @@ def upper_median(values: ColumnOr) -> Column:
     return F.get(v, F.floor(F.size(v) / 2).cast("int"))
 
 
+def upper_median_of(value: str) -> Column:
+    """An aggregate: the same of an SQL expression over rows, nulls apart. Partial counts by value, no list of all."""
+    return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY {value} DESC)")
+
+
 def keyword_goal(text: ColumnOr) -> Column:
     """A drawn-out 'goal' or 'gol' in any case."""
     return F.lower(_c(text)).rlike(r"\bg+o+a*l+\b")

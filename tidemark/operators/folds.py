@@ -2,7 +2,7 @@
 
 A fold runs aggregate() over a group's rows sorted by time and ordinal. A group
 is one recording (or one key of it), so its rows fit in a task: about 5,400
-samples for a match. Sorting never relies on arrival order.
+samples for a match. What a fold emits is collected in parts, so its time follows the rows. Sorting never relies on arrival order.
 """
 
 from __future__ import annotations
@@ -24,24 +24,44 @@ def fold(rows: Column | str, start: Column, step: Callable[[Column, Column], Col
     return F.aggregate(rows, start, step, finish) if finish else F.aggregate(rows, start, step)
 
 
+#: Rows of a part of a growing array; an append copies a part, not the whole.
+_PART = 64
+
+
+def collector(kind: str) -> Column:
+    """An empty growing array of structs of this kind, for the state of a fold."""
+    return F.struct(F.expr(f"cast(array() as array<array<{kind}>>)").alias("full"), F.expr(f"cast(array() as array<{kind}>)").alias("part"))
+
+
+def collected(out: Column, row: Column) -> Column:
+    """out with row at its end; some _PART / 2 rows are copied, whatever out holds so far."""
+    ended = F.size(out["part"]) >= _PART
+    return F.struct(
+        F.when(ended, F.concat(out["full"], F.array(out["part"]))).otherwise(out["full"]).alias("full"),
+        F.when(ended, F.array(row)).otherwise(F.concat(out["part"], F.array(row))).alias("part"),
+    )
+
+
+def collection(out: Column) -> Column:
+    return F.concat(F.flatten(out["full"]), out["part"])
+
+
 def spaced(df: DataFrame, keys: list[str], order: list[str], at: str, gap: float, *, strict: bool, carry: list[str]) -> DataFrame:
     """Rows that are at least gap (more than gap if strict) after the row kept before them, by key.
 
     A row earlier than the one kept before it isn't kept either.
     """
     rows = ordered_rows(df, keys, order, [at, *carry])
-    kind = f"array<{_element(rows)}>"
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr(f"cast(array() as {kind})").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), collector(_element(rows)).alias("out"))
 
     def step(acc: Column, row: Column) -> Column:
         apart = row[at].cast("double") - acc["last"]
         kept = acc["last"].isNull() | ((apart > gap) if strict else (apart >= gap))
         return F.struct(
-            F.when(kept, row[at].cast("double")).otherwise(acc["last"]).alias("last"),
-            F.when(kept, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+            F.when(kept, row[at].cast("double")).otherwise(acc["last"]).alias("last"), F.when(kept, collected(acc["out"], row)).otherwise(acc["out"]).alias("out")
         )
 
-    picked = rows.select(*keys, F.explode(fold("rows", start, step, lambda a: a["out"])).alias("_r"))
+    picked = rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}") for c in dict.fromkeys([*order, at, *carry])])
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ScoreConfig
 from tidemark.functions.scalars import same_score, validate_transition
-from tidemark.operators.folds import fold, ordered_rows
+from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
+from tidemark.operators.ranges import range_join
 from tidemark.schemas import SCORE
 
 CHANGE = f"struct<before: {SCORE}, after: {SCORE}, change_t: double, confirmed_t: double, validation: string>"
@@ -94,10 +95,9 @@ def fine_windows(changes: DataFrame, media: DataFrame, cfg: ScoreConfig) -> Data
     }).drop("duration_s")
 
 
-def fine_samples(windows: DataFrame, fine: DataFrame) -> DataFrame:
-    """The fine readings of each change: an equi-join by recording with the range as its residue."""
-    f = fine.select(F.col("media_id").alias("_m"), "t", "ok", "score")
-    return windows.join(f, (F.col("media_id") == F.col("_m")) & F.col("t").between(F.col("lo"), F.col("hi"))).drop("_m")
+def fine_samples(windows: DataFrame, fine: DataFrame, bucket: float = 10.0) -> DataFrame:
+    """The fine readings of each change: an equi-join by recording and bucket of time, with the range as its residue."""
+    return range_join(windows, fine.select("media_id", "t", "ok", "score"), ["media_id"], F.col("lo"), F.col("hi"), "t", bucket)
 
 
 def resolved(windows: DataFrame, fine: DataFrame, cfg: ScoreConfig) -> DataFrame:
@@ -141,8 +141,8 @@ def frames_to_read(frames: DataFrame, keys: list[str], *, threshold: float = 2.0
     A read arms a burst of reads - 1 more, unless it is itself of a burst.
     """
     rows = ordered_rows(frames, keys, ["frame"], ["difference"])
-    out = "array<struct<frame: bigint, difference: double, should_read: boolean>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("burst"), F.expr(f"cast(array() as {out})").alias("out"))
+    kind = "struct<frame: bigint, difference: double, should_read: boolean>"
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("burst"), collector(kind).alias("out"))
 
     def step(acc: Column, row: Column) -> Column:
         fresh = acc["last"].isNull() | F.coalesce(row["difference"] >= threshold, F.lit(False))
@@ -151,9 +151,9 @@ def frames_to_read(frames: DataFrame, keys: list[str], *, threshold: float = 2.0
         read = fresh | burst | due
         left = F.when(burst, acc["burst"] - 1).when(read, reads - 1).otherwise(acc["burst"]).cast("int")
         shown = F.struct(row["frame"].cast("bigint").alias("frame"), row["difference"].cast("double").alias("difference"), read.alias("should_read"))
-        return F.struct(F.when(read, row["frame"].cast("bigint")).otherwise(acc["last"]).alias("last"), left.alias("burst"), F.concat(acc["out"], F.array(shown)).alias("out"))
+        return F.struct(F.when(read, row["frame"].cast("bigint")).otherwise(acc["last"]).alias("last"), left.alias("burst"), collected(acc["out"], shown).alias("out"))
 
-    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: a["out"])).alias("_r")).select(*keys, "_r.*")
+    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.*")
 
 
 def reused(frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ClipConfig, EventConfig
 from tidemark.functions.scalars import event_id, fallback_time, score_text
 from tidemark.operators.folds import spaced
+from tidemark.operators.ranges import range_join
 
 _RANK = {"score_change": 0, "audio_spike": 1, "keyword": 2}
 
@@ -84,12 +85,12 @@ def event_times(changes: DataFrame, windows: DataFrame, cfg: EventConfig, *, spi
 
     The loudest window of the lookback before a change (the first of the largest delta) gives the event, moved to
     the earliest window within onset_db of it; without a window, or with none of spike_db, the event is a fixed time
-    before the change. Recordings are the equi-key of the join, the range its residue.
+    before the change. Recordings and buckets of time are the equi-key of the join, the range its residue.
     """
     key = key or ["media_id", "change_t"]
-    w = windows.select(F.col("media_id").alias("_m"), F.col("t").alias("_t"), "delta_db")
+    w = windows.select("media_id", F.col("t").alias("_t"), "delta_db")
     low = F.greatest(F.lit(0.0), F.col("change_t") - cfg.lookback_s)
-    near = changes.join(w, (F.col("media_id") == F.col("_m")) & F.col("_t").between(low, F.col("change_t"))).withColumn(
+    near = range_join(changes, w, ["media_id"], low, F.col("change_t"), "_t", cfg.lookback_s).withColumn(
         "_best", F.max("delta_db").over(Window.partitionBy(*key))
     )
     peaks = near.groupBy(*key).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import edge_weight, iou
-from tidemark.operators.folds import fold, ordered_rows
+from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
 
 FRAME = ["media_id", "frame"]
 TARGET = "struct<x: double, y: double, width: double, height: double, confidence: double, kind: string>"
@@ -52,7 +52,7 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, keys: list[str] | None
 def suppressed(boxes: DataFrame, threshold: float, keys: list[str] | None = None) -> DataFrame:
     """Greedy suppression: the most confident box of a frame stays, what overlaps it by more than threshold goes, and so on.
 
-    Ties go to the smaller ordinal. A fold over each frame's boxes in order of confidence: a box stays if no box that
+    Ties go to the smaller ordinal (a deliberate choice: a reversed sort elsewhere may take the later one). A fold over each frame's boxes in order of confidence: a box stays if no box that
     stays overlaps it too much.
     """
     keys = keys or FRAME
@@ -109,10 +109,9 @@ def followed(frames: DataFrame, keys: list[str], *, trust: float = 0.05, most: f
     gate of what was followed last; after `resync` frames without a target any cluster will do.
     """
     rows = ordered_rows(frames, keys, ["t"], ["balls", "cluster"])
-    out = f"array<struct<t: double, target: {TARGET}>>"
     none = F.lit(None).cast(TARGET)
     start = F.struct(
-        none.alias("ball"), F.lit(0).alias("streak"), none.alias("last"), F.lit(0).alias("lost"), F.expr(f"cast(array() as {out})").alias("out")
+        none.alias("ball"), F.lit(0).alias("streak"), none.alias("last"), F.lit(0).alias("lost"), collector(f"struct<t: double, target: {TARGET}>").alias("out")
     )
 
     def step(acc: Column, row: Column) -> Column:
@@ -125,10 +124,10 @@ def followed(frames: DataFrame, keys: list[str], *, trust: float = 0.05, most: f
         return F.struct(
             ball.alias("ball"), streak.alias("streak"), F.coalesce(target, anchor).alias("last"),
             F.when(target.isNull(), acc["lost"] + 1).otherwise(0).alias("lost"),
-            F.concat(acc["out"], F.array(F.struct(row["t"].cast("double").alias("t"), target.alias("target")))).alias("out"),
+            collected(acc["out"], F.struct(row["t"].cast("double").alias("t"), target.alias("target"))).alias("out"),
         )
 
-    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: a["out"])).alias("_r")).select(*keys, "_r.t", "_r.target")
+    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.t", "_r.target")
 
 
 def paired_numbers(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,3 +159,20 @@ def detected(frames: DataFrame, detector, schema: str) -> DataFrame:
 def gate(width: float) -> float:
     """How far a followed point may jump between frames."""
     return max(48.0, 0.15 * width) if width and not math.isnan(width) else 160.0
+
+
+def scaled(boxes: DataFrame, *, width: float, height: float, frame_width: str = "frame_width", frame_height: str = "frame_height") -> DataFrame:
+    """Boxes of a smaller frame in the source's pixels; as they are where the source's size isn't known (0)."""
+    sx = F.lit(width) / F.col(frame_width) if width > 0 else F.lit(1.0)
+    sy = F.lit(height) / F.col(frame_height) if height > 0 else F.lit(1.0)
+    return boxes.withColumns({"x": F.col("x") * sx, "y": F.col("y") * sy, "width": F.col("width") * sx, "height": F.col("height") * sy})
+
+
+def confident(detections: DataFrame, classes: list[str], least: float) -> DataFrame:
+    """Detections of the classes asked for, from least on."""
+    return detections.where(F.col("cls").isin(classes) & (F.col("confidence") >= least))
+
+
+def found_in_tiles(detections: DataFrame, *, classes: list[str], least: float, threshold: float, keys: list[str]) -> DataFrame:
+    """Boxes of tiles as boxes of frames: the classes asked for, in the frame's pixels, each object once."""
+    return suppressed(untiled(confident(detections, classes, least)), threshold, keys)

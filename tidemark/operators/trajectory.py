@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TrackConfig
-from tidemark.functions.scalars import clamp, half_up, smoothstep, upper_median
-from tidemark.operators.folds import fold, ordered_rows
+from tidemark.functions.scalars import clamp, half_up, smoothstep, upper_median_of
+from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
 
 
 def tolerance(sample_fps: float) -> float:
@@ -68,14 +68,14 @@ def slew_limited(frames: DataFrame, keys: list[str], *, value: str, step: float,
     """keys, order and limited: each value at most step from the limited one before it."""
     rows = ordered_rows(frames, keys, [order], [value])
     kind = frames.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr(f"cast(array() as array<struct<`{order}`: {kind}, limited: double>>)").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), collector(f"struct<`{order}`: {kind}, limited: double>").alias("out"))
 
     def one(acc: Column, row: Column) -> Column:
         v = row[value].cast("double")
         x = F.coalesce(acc["last"] + clamp(v - acc["last"], -step, step), v)
-        return F.struct(x.alias("last"), F.concat(acc["out"], F.array(F.struct(row[order].alias(order), x.alias("limited")))).alias("out"))
+        return F.struct(x.alias("last"), collected(acc["out"], F.struct(row[order].alias(order), x.alias("limited"))).alias("out"))
 
-    return rows.select(*keys, F.explode(fold("rows", start, one, lambda a: a["out"])).alias("_r")).select(*keys, "_r.*")
+    return rows.select(*keys, F.explode(fold("rows", start, one, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.*")
 
 
 def trajectories(clips: DataFrame, samples: DataFrame, *, width: int, height: int, fps: float, cfg: TrackConfig) -> DataFrame:
@@ -102,10 +102,10 @@ def crop_commands(frames: DataFrame, keys: list[str], fps: float, every: int) ->
 def wide_shots(samples: DataFrame, keys: list[str], width: float) -> DataFrame:
     """keys and wide: few balls among the tracked samples, and clusters whose upper median width is half the frame."""
     tracked = ~F.col("lost")
-    ball, cluster = tracked & (F.col("kind") == "ball"), tracked & (F.col("kind") == "cluster")
+    ball = tracked & (F.col("kind") == "ball")
     stats = samples.groupBy(*keys).agg(
-        F.count_if(tracked).alias("tracked"), F.count_if(ball).alias("balls"), F.collect_list(F.when(cluster, F.col("width"))).alias("_w"),
+        F.count_if(tracked).alias("tracked"), F.count_if(ball).alias("balls"), upper_median_of("CASE WHEN NOT lost AND kind = 'cluster' THEN width END").alias("_w"),
         F.coalesce(F.round(F.avg(F.when(tracked, F.col("confidence"))), 4), F.lit(0.0)).alias("mean_confidence"), F.count("*").alias("sampled"), F.count_if("lost").alias("lost"),
     )
     few = F.col("balls") < F.greatest(F.lit(2), F.ceil(F.col("tracked") * 0.1))
-    return stats.withColumn("wide", F.coalesce((F.col("tracked") > 0) & few & (upper_median("_w") >= width / 2), F.lit(False))).drop("_w")
+    return stats.withColumn("wide", F.coalesce((F.col("tracked") > 0) & few & (F.col("_w") >= width / 2), F.lit(False))).drop("_w")

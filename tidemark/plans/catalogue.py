@@ -37,15 +37,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("event_id", "event_type", "t", F.col("value").alias("rms"))
-    return audio.with_baseline(e, AudioConfig(), keys=["event_type"], order=["t", "event_id"])
+    e = events(spark, sf_dir).select("event_id", "user_id", "t", F.col("value").alias("rms"))
+    return audio.with_baseline(e, AudioConfig(), keys=["user_id"], order=["t", "event_id"])
 
 
 _BASELINE = """
-  SELECT event_id, event_type, epoch(ts) AS t, w, rms_db, coalesce(20 * log10(greatest(mean, 1e-7)), rms_db) AS baseline_db FROM (
+  SELECT event_id, user_id, epoch(ts) AS t, w, rms_db, coalesce(20 * log10(greatest(mean, 1e-7)), rms_db) AS baseline_db FROM (
     SELECT *, row_number() OVER o - 1 AS w, 20 * log10(greatest(value, 1e-7)) AS rms_db,
-      avg(greatest(value, 1e-7)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS mean
-    FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id))
+      avg(greatest(value, 1e-7)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS mean
+    FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
 """
 _LOUD = f"SELECT *, rms_db - baseline_db AS delta_db FROM ({_BASELINE}) WHERE w >= 10 AND rms_db - baseline_db >= 8 AND rms_db >= -55"
 
@@ -62,16 +62,16 @@ def _spaced_sql(rows: str, keys: str, order: str, at: str, test: str) -> str:
 
 
 @query(
-    "SELECT event_type, win, round(sqrt(avg(value * value)), 6) AS rms, round(20 * log10(greatest(sqrt(avg(value * value)), 1e-7)), 6) AS rms_db "
-    "FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 20 AS win FROM events) GROUP BY 1, 2 HAVING count(*) = 20"
+    "SELECT user_id, win, round(sqrt(avg(value * value)), 6) AS rms, round(20 * log10(greatest(sqrt(avg(value * value)), 1e-7)), 6) AS rms_db "
+    "FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS win FROM events) GROUP BY 1, 2 HAVING count(*) = 20"
 )
 def q_level_db(spark, sf_dir):
     """RMS of whole windows of 20 rows."""
-    by = Window.partitionBy("event_type").orderBy("t", "event_id")
+    by = Window.partitionBy("user_id").orderBy("t", "event_id")
     rows = events(spark, sf_dir).withColumn("win", F.floor((F.row_number().over(by) - 1) / 20))
     rms = F.sqrt(F.avg(F.col("value") * F.col("value")))
-    out = rows.groupBy("event_type", "win").agg(F.count("*").alias("n"), rms.alias("rms")).where("n = 20")
-    return out.select("event_type", "win", F.round("rms", 6).alias("rms"), F.round(S.decibels("rms"), 6).alias("rms_db"))
+    out = rows.groupBy("user_id", "win").agg(F.count("*").alias("n"), rms.alias("rms")).where("n = 20")
+    return out.select("user_id", "win", F.round("rms", 6).alias("rms"), F.round(S.decibels("rms"), 6).alias("rms_db"))
 
 
 @query(f"SELECT event_id, w, round(rms_db, 6) AS rms_db, round(baseline_db, 6) AS baseline_db, round(rms_db - baseline_db, 6) AS delta_db FROM ({_BASELINE})")
@@ -79,17 +79,17 @@ def q_baseline(spark, sf_dir):
     return _loudness(spark, sf_dir).select("event_id", F.col("w").cast("long").alias("w"), *[F.round(c, 6).alias(c) for c in ("rms_db", "baseline_db", "delta_db")])
 
 
-@query(f"SELECT event_id, event_type, w, round(delta_db, 6) AS delta_db FROM ({_LOUD})")
+@query(f"SELECT event_id, user_id, w, round(delta_db, 6) AS delta_db FROM ({_LOUD})")
 def q_spikes_raw(spark, sf_dir):
     rows = audio.loud(_loudness(spark, sf_dir), AudioConfig())
-    return rows.select("event_id", "event_type", F.col("w").cast("long").alias("w"), F.round("delta_db", 6).alias("delta_db"))
+    return rows.select("event_id", "user_id", F.col("w").cast("long").alias("w"), F.round("delta_db", 6).alias("delta_db"))
 
 
-@query(f"SELECT event_type, w, event_id, round(t, 3) AS t, round(delta_db, 6) AS delta_db FROM ({_spaced_sql(_LOUD, 'event_type', 'w', 'w', '> 8')})")
+@query(f"SELECT user_id, w, event_id, round(t, 3) AS t, round(delta_db, 6) AS delta_db FROM ({_spaced_sql(_LOUD, 'user_id', 'w', 'w', '> 8')})")
 def q_spikes(spark, sf_dir):
     """Loud moments against the baseline of the 50 rows before, more than 8 rows apart."""
-    out = audio.spikes(_loudness(spark, sf_dir), AudioConfig(), keys=["event_type"], carry=["event_id", "t", "delta_db"])
-    return out.select("event_type", F.col("w").cast("long").alias("w"), "event_id", F.round("t", 3).alias("t"), F.round("delta_db", 6).alias("delta_db"))
+    out = audio.spikes(_loudness(spark, sf_dir), AudioConfig(), keys=["user_id"], carry=["event_id", "t", "delta_db"])
+    return out.select("user_id", F.col("w").cast("long").alias("w"), "event_id", F.round("t", 3).alias("t"), F.round("delta_db", 6).alias("delta_db"))
 
 
 _CLUSTERS = f"""
@@ -120,7 +120,7 @@ def _tagged(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("media_id", F.col("user_id").cast("string"))
     changes = e.where("event_type = 'purchase'").select(
         "media_id", F.col("t").alias("change_t"), S.score(F.col("event_id") % 3, F.col("event_id") % 2).alias("before"), S.score(F.col("event_id") % 3 + 1, F.col("event_id") % 2).alias("after"),
-        F.when(F.col("event_id") % 5 == 0, "suspicious").otherwise("valid").alias("validation"),
+        F.when(F.col("event_id") % 5 == 0, "suspicious").when(F.col("event_id") % 11 == 0, "invalid").otherwise("valid").alias("validation"),
     )
     return signals.signal_union(
         changes, e.where("event_type = 'error'").select("media_id", "t", F.col("value").alias("delta_db")), e.where("event_type = 'view'").select("media_id", "t", F.col("props").alias("text"))
@@ -134,7 +134,7 @@ _TAGGED = """
     CASE WHEN event_type = 'purchase' THEN (event_id % 3 + 1) || ':' || (event_id % 2) END AS score_after,
     CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'suspicious' ELSE 'valid' END END AS validation,
     CASE WHEN event_type = 'error' THEN value END AS delta_db, CASE WHEN event_type = 'view' THEN props END AS text
-  FROM events WHERE event_type IN ('purchase', 'error', 'view')
+  FROM events WHERE event_type IN ('error', 'view') OR (event_type = 'purchase' AND (event_id % 5 = 0 OR event_id % 11 <> 0))
 """
 
 
@@ -170,7 +170,28 @@ _SCORES = """
 """
 
 
-@query()
+def _machine_sql(rows: str, keys: str, order: str, reads: int, window: float, initial: str = "") -> str:
+    """The score state machine over rows (keys, t, home, away): a row a step, with what it gave; initial: names of the columns of a score to start from."""
+    own = keys.split(", ")
+    same = " AND ".join(f"r.{k} = s.{k}" for k in own)
+    start = initial or "NULL::BIGINT, NULL::BIGINT"
+    return f"""
+    WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM ({rows})),
+    s AS (SELECT {keys}, 0::BIGINT AS rn, ch, ca, []::STRUCT(t DOUBLE, h BIGINT, a BIGINT)[] AS recent, NULL::VARCHAR AS kind, NULL::BIGINT AS ph, NULL::BIGINT AS pa, NULL::BIGINT AS nh, NULL::BIGINT AS na, NULL::DOUBLE AS change_t, NULL::DOUBLE AS confirmed_t, NULL::VARCHAR AS validation
+      FROM (SELECT DISTINCT {keys}, {start} FROM r) d({keys}, ch, ca) UNION ALL
+    SELECT {keys}, rn, CASE WHEN settles OR adopted THEN home ELSE ch END, CASE WHEN settles OR adopted THEN away ELSE ca END, CASE WHEN settles OR quiet OR moves THEN []::STRUCT(t DOUBLE, h BIGINT, a BIGINT)[] ELSE rec END,
+      CASE WHEN adopted THEN 'change' WHEN moves THEN 'rejection' END, ch, ca, home, away, alike[1].t, t, verdict FROM (
+      SELECT *, moves AND verdict <> 'invalid' AS adopted FROM (
+        SELECT *, ch IS NULL AND len(alike) >= {reads} AS settles, ch IS NOT NULL AND ch = home AND ca = away AS quiet, ch IS NOT NULL AND NOT (ch = home AND ca = away) AND len(alike) >= {reads} AS moves,
+          CASE WHEN home < ch OR away < ca OR (home = ch AND away = ca) OR (home > ch AND away > ca) THEN 'invalid' WHEN home + away - ch - ca = 1 THEN 'valid' WHEN home + away - ch - ca <= 3 THEN 'suspicious' ELSE 'invalid' END AS verdict FROM (
+          SELECT *, list_filter(rec, lambda x: x.h = home AND x.a = away) AS alike FROM (
+            SELECT {", ".join("r." + k for k in own)}, r.rn, s.ch, s.ca, r.t, r.home::BIGINT AS home, r.away::BIGINT AS away,
+              list_append(list_filter(s.recent, lambda x: r.t - x.t <= {window}), struct_pack(t := r.t, h := r.home::BIGINT, a := r.away::BIGINT)) AS rec FROM s JOIN r ON {same} AND r.rn = s.rn + 1)))))
+    SELECT * FROM s"""
+
+
+@query(f"""SELECT user_id, kind, cast(row_number() OVER (PARTITION BY user_id, kind ORDER BY rn) - 1 AS INT) AS seq, ph || ':' || pa AS score_before, nh || ':' || na AS score_after,
+  round(change_t, 3) AS change_t, round(confirmed_t, 3) AS confirmed_t, validation FROM ({_machine_sql(_SCORES, "user_id", "t, event_id", 3, 3 * _DAY)}) WHERE kind IS NOT NULL""")
 def q_score_changes(spark, sf_dir):
     """The score state machine over each user's running score: 3 readings within 3 days."""
     states = scoreboard.score_states(_scores(spark, sf_dir), ScoreConfig(3, 3 * _DAY), keys=["user_id"], ordinal="event_id")
@@ -329,7 +350,7 @@ def q_totals(spark, sf_dir):
 
 @query("SELECT event_type, v[len(v) // 2 + 1] AS upper_median FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1)")
 def q_upper_median(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(S.upper_median(F.collect_list("value")).alias("upper_median"))
+    return events(spark, sf_dir).groupBy("event_type").agg(S.upper_median_of("value").alias("upper_median"))
 
 
 @query("SELECT cast(user_id AS VARCHAR) AS user_id, coalesce(event_type, 'unknown') AS value, count(*) AS n FROM events GROUP BY 1, 2")
@@ -368,7 +389,23 @@ def q_iou_pairs(spark, sf_dir):
     return tracking.overlapping_pairs(_boxes(spark, sf_dir), 0.3, ["frame"]).select("frame", "a", "b", F.round("iou", 5).alias("iou"))
 
 
-@query()
+_KEPT = "STRUCT(x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE)[]"
+_INTER = "(greatest(0, least(b.x + b.width / 2, k.x + k.width / 2) - greatest(b.x - b.width / 2, k.x - k.width / 2)) * greatest(0, least(b.y + b.height / 2, k.y + k.height / 2) - greatest(b.y - b.height / 2, k.y - k.height / 2)))"
+
+
+def _nms_sql(boxes: str, keys: str, threshold: float) -> str:
+    """Rows of boxes that greedy suppression keeps: a row a step, with the kept ones so far in a list."""
+    same = " AND ".join(f"b.{k} = s.{k}" for k in keys.split(", "))
+    over = f"len(list_filter(s.kept, lambda k: {_INTER} > {threshold} * (b.width * b.height + k.width * k.height - {_INTER}))) = 0"
+    own = "struct_pack(x := b.x, y := b.y, width := b.width, height := b.height)"
+    return f"""
+    WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY confidence DESC, ord) AS rn FROM ({boxes})),
+    s AS (SELECT DISTINCT {keys}, 0::BIGINT AS rn, []::{_KEPT} AS kept, false AS stays FROM b UNION ALL
+      SELECT {", ".join("b." + k for k in keys.split(", "))}, b.rn, CASE WHEN {over} THEN list_append(s.kept, {own}) ELSE s.kept END, {over} FROM s JOIN b ON {same} AND b.rn = s.rn + 1)
+    SELECT b.* FROM b JOIN s ON {same} AND b.rn = s.rn WHERE s.stays"""
+
+
+@query(f"SELECT frame, ord, confidence FROM ({_nms_sql(_BOX, 'frame', 0.3)})")
 def q_nms(spark, sf_dir):
     """Greedy suppression of each frame's boxes."""
     return tracking.suppressed(_boxes(spark, sf_dir), 0.3, ["frame"]).select("frame", "ord", "confidence")
@@ -404,15 +441,28 @@ def q_parse_score(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", s.alias("s")).select("l_orderkey", "l_linenumber", "s.home", "s.away")
 
 
-@query("""
-  SELECT l_orderkey, l_linenumber, CASE WHEN b <= 30 THEN a END AS home, CASE WHEN b <= 30 THEN b END AS away FROM (
-    SELECT l_orderkey, l_linenumber, cast(l_linenumber AS INT) AS a, cast(l_quantity AS INT) AS b FROM lineitem)""")
+_FORMS = ("'now ' || a || ' ： ' || b || ' ft'", "a || '  ' || b", "a || '' || (b % 10)", "a || '23:' || b", "'(' || a || '−' || b || '|7'", "a || ' or ' || b", "'x' || a || ' | ' || b || '9'")
+_FORMED = "SELECT l_orderkey, l_linenumber, CASE l_orderkey % 7 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END AS text FROM (SELECT l_orderkey, l_linenumber, cast(l_linenumber AS INT) AS a, cast(l_quantity AS INT) AS b FROM lineitem)"
+
+
+def _formed(spark, sf_dir):
+    """Texts of seven forms: separated, spaced, two digits, over-long numbers, other dashes, no score."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "cast(l_linenumber AS INT) AS a", "cast(l_quantity AS INT) AS b")
+    form = "CASE l_orderkey % 7 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END"
+    return li.selectExpr("l_orderkey", "l_linenumber", f"{form} AS text")
+
+
+@query(f"""
+  WITH t AS (SELECT *, translate(text, '：−–—', ':---') AS s FROM ({_FORMED})),
+  m AS (SELECT *, '(?:^|[^0-9])(\\d{{1,2}})\\s*[:|-]\\s*(\\d{{1,2}})(?:[^0-9]|$)' AS sep, '^\\s*(\\d{{1,2}})\\s+(\\d{{1,2}})\\s*$' AS spc, '^\\s*(\\d)(\\d)\\s*$' AS cmp FROM t),
+  p AS (SELECT *, CASE WHEN regexp_matches(s, sep) THEN sep WHEN regexp_matches(s, spc) THEN spc WHEN regexp_matches(s, cmp) THEN cmp END AS pat FROM m),
+  v AS (SELECT l_orderkey, l_linenumber, try_cast(CASE WHEN pat = sep THEN regexp_extract(s, '(?:^|[^0-9])(\\d{{1,2}})\\s*[:|-]\\s*(\\d{{1,2}})(?:[^0-9]|$)', 1) WHEN pat = spc THEN regexp_extract(s, '^\\s*(\\d{{1,2}})\\s+(\\d{{1,2}})\\s*$', 1) WHEN pat = cmp THEN regexp_extract(s, '^\\s*(\\d)(\\d)\\s*$', 1) END AS INT) AS h,
+    try_cast(CASE WHEN pat = sep THEN regexp_extract(s, '(?:^|[^0-9])(\\d{{1,2}})\\s*[:|-]\\s*(\\d{{1,2}})(?:[^0-9]|$)', 2) WHEN pat = spc THEN regexp_extract(s, '^\\s*(\\d{{1,2}})\\s+(\\d{{1,2}})\\s*$', 2) WHEN pat = cmp THEN regexp_extract(s, '^\\s*(\\d)(\\d)\\s*$', 2) END AS INT) AS a FROM p)
+  SELECT l_orderkey, l_linenumber, CASE WHEN h <= 30 AND a <= 30 THEN h END AS home, CASE WHEN h <= 30 AND a <= 30 THEN a END AS away FROM v""")
 def q_read_score(spark, sf_dir):
-    """Scores inside free text, none of a side above 30."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    text = F.concat(F.lit("now "), F.col("l_linenumber").cast("string"), F.lit(" ： "), F.col("l_quantity").cast("int").cast("string"), F.lit(" ft"))
-    s = S.read_score(text, largest=30)
-    return li.select("l_orderkey", "l_linenumber", s.alias("s")).select("l_orderkey", "l_linenumber", "s.home", "s.away")
+    """Scores inside texts of seven forms, none of a side above 30."""
+    s = S.read_score("text", largest=30, compact=True)
+    return _formed(spark, sf_dir).select("l_orderkey", "l_linenumber", s.alias("s")).select("l_orderkey", "l_linenumber", "s.home", "s.away")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -482,7 +532,24 @@ def q_synthetic_goals(spark, sf_dir):
     return detect(samples, windows, media).events.select("media_id", "event_id", "event_t", "change_t", "score_before", "score_after", "confidence")
 
 
-@query()
+_FOLLOW = f"""
+  WITH RECURSIVE b AS (SELECT cast(label AS VARCHAR) AS media_id, x.* FROM ({_BOX}) x JOIN embeddings e ON e.vec_id = x.ord),
+  t AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame ORDER BY confidence DESC, ord) AS n, CASE WHEN least(x, 1000 - x) >= 60 THEN 1.0 ELSE greatest(0.35, least(x, 1000 - x) / 60) END AS w FROM b),
+  k AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame ORDER BY height * w DESC, confidence * w DESC, n) AS best FROM t WHERE n <= 6),
+  c AS (SELECT media_id, frame, round(max(x) FILTER (best = 1), 1) AS cx, round(max(y) FILTER (best = 1), 1) AS cy FROM k GROUP BY 1, 2),
+  l AS (SELECT media_id, frame, list(struct_pack(x := x, y := y) ORDER BY confidence DESC, ord) FILTER (width < 40 AND confidence >= 0.05) AS balls FROM b GROUP BY 1, 2),
+  f AS (SELECT media_id, frame / 3 AS t, cx, cy, coalesce(balls, []) AS balls, row_number() OVER (PARTITION BY media_id ORDER BY frame) AS rn FROM c JOIN l USING (media_id, frame)),
+  s AS (SELECT DISTINCT media_id, 0::BIGINT AS rn, NULL::DOUBLE AS t, NULL::STRUCT(x DOUBLE, y DOUBLE) AS ball, 0 AS streak, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, 0 AS lost, NULL::VARCHAR AS kind, NULL::DOUBLE AS x FROM f UNION ALL
+    SELECT media_id, rn, t, ball, streak, coalesce(tx, ax), coalesce(ty, ay), CASE WHEN tx IS NULL THEN lost + 1 ELSE 0 END, kind, tx FROM (
+      SELECT *, CASE WHEN follows THEN 'ball' WHEN near THEN 'cluster' END AS kind, CASE WHEN follows THEN ball.x WHEN near THEN cx END AS tx, CASE WHEN follows THEN ball.y WHEN near THEN cy END AS ty FROM (
+        SELECT *, streak >= 2 AS follows, cx IS NOT NULL AND (ax IS NULL OR abs(cx - ax) + abs(cy - ay) <= 300) AS near FROM (
+          SELECT *, CASE WHEN ball IS NULL THEN 0 ELSE before + 1 END AS streak FROM (
+            SELECT f.*, s.streak AS before, s.lost, CASE WHEN s.lost < 6 THEN s.lx END AS ax, CASE WHEN s.lost < 6 THEN s.ly END AS ay,
+              list_filter(f.balls, lambda p: s.ball IS NULL OR abs(p.x - s.ball.x) + abs(p.y - s.ball.y) <= 150)[1] AS ball FROM s JOIN f ON f.media_id = s.media_id AND f.rn = s.rn + 1)))))
+  SELECT media_id, round(t, 3) AS t, kind, round(x, 1) AS x, kind IS NULL AS lost FROM s WHERE rn > 0"""
+
+
+@query(_FOLLOW)
 def q_follow(spark, sf_dir):
     """What a camera would follow over the boxes of each label."""
     boxes = _boxes(spark, sf_dir).withColumnRenamed("label", "media_id")
