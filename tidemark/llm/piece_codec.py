@@ -3,44 +3,45 @@
 Where no piece of the model holds a whitespace marker after another character,
 no piece crosses from one marked word (a run of markers and the characters up
 to the next marker) into the next, and BPE merges stay inside a marked word. So
-a task segments each distinct marked word once, keeps its ids in a table, and
-joins the ids back by position. A model whose pieces cross markers, or whose
-normaliser changes texts, is applied to whole texts instead.
+every distinct marked word of the corpus is segmented once:
 
-The table belongs to a task, not to the corpus: a corpus-wide table would be
-joined back through a shuffle of every word occurrence, several times the input.
-It holds at most `limit` words and starts anew when full, so memory is bounded.
+1. A task cuts its texts into marked words, and keeps, block of texts by block, the block's distinct words and each position's
+   place among them.
+2. The distinct words of all blocks make the table; each is segmented once, in one task.
+3. The table is joined back to the blocks' words, and each block puts the ids to its positions.
 
-Null and empty texts are the two end ids and decode to an empty text. Rows are
-encoded one by one: repeated ones give repeated results, and empty tables empty ones.
+A word has one row a block, however often it occurs, so a common word is no hot key, and what is shuffled is far less than the
+occurrences. A model whose pieces cross markers, or whose normaliser changes texts, is applied to whole texts instead.
+
+Null and empty texts are the two end ids and decode to an empty text. Repeated rows give
+repeated results, ties don't arise, and empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordTable, table
+from tidemark.llm._common import durable, table
 
 MARK = "▁"
 _CROSSES = re.compile(f"[^{MARK}]{MARK}")
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct marked words a task keeps.
-CHUNKS = 300_000
-#: Longer marked words are segmented each time, not kept.
-LONG = 100
+#: Marked words of a block of texts.
+BLOCK = 4_000_000
 
 
 class PieceCodec:
     """Encodes and decodes with one model file; made in each worker."""
 
-    def __init__(self, model: str, limit: int = CHUNKS):
+    def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -50,41 +51,111 @@ class PieceCodec:
         probe = "  a é  ﬁ①　é\t\n "
         plain = self.sp.decode(self.sp.encode(probe)) == probe
         self.chunked = plain and not any(map(_CROSSES.search, pieces))
-        self.chunks = WordTable(self._segment, limit)
+        self.ends = [np.array([i], dtype="<u4").tobytes() for i in (self.first, self.last)]
 
-    def _segment(self, chunk: str) -> bytes:
+    def segment(self, chunk: str) -> bytes:
         """Ids of one marked word; encode() itself puts a marker before what it is given."""
         ids = self.sp.encode(chunk[1:].replace(MARK, " ")) if len(chunk) > 1 else [self.sp.piece_to_id(MARK)]
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _ids(self, chunk: str) -> bytes:
-        return self.chunks[chunk] if len(chunk) <= LONG else self._segment(chunk)
-
     def encode(self, text: str) -> bytes:
-        """All ids, begin and end included, as little-endian unsigned 32-bit integers."""
-        ends = [np.array([i], dtype="<u4").tobytes() for i in (self.first, self.last)]
-        if not self.chunked:
-            return ends[0] + np.array(self.sp.encode(text), dtype="<u4").tobytes() + ends[1]
-        if not text:
-            return b"".join(ends)
-        marked = (" " + text).replace(" ", MARK)
-        return b"".join((ends[0], *map(self._ids, _CHUNK.findall(marked)), ends[1]))
+        """All ids of a whole text, begin and end included, as little-endian unsigned 32-bit integers."""
+        return self.ends[0] + np.array(self.sp.encode(text), dtype="<u4").tobytes() + self.ends[1]
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
-def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers."""
+def marked_words(text: str) -> list[str]:
+    return _CHUNK.findall((" " + text).replace(" ", MARK)) if text else []
+
+
+class _Places(dict):
+    """A word's place: the number of distinct words before it."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def blocks_of(rows: DataFrame, kind: str, size: int) -> DataFrame:
+    """block, keys, words (distinct, by place), sizes (words of each text) and places (of all words, four planes of bytes) of rows (_key, _text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        keys, sizes, places, at = [], [], _Places(), array("I")
+
+        def made() -> pa.RecordBatch:
+            planes = np.frombuffer(at, dtype="<u4").view("u1").reshape(-1, 4).T.tobytes() if at else b""
+            own = [pa.array([keys], pa.list_(batch.schema.field("_key").type)), pa.array([list(places)], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), *own, pa.array([np.array(sizes, dtype="<i8").tobytes()], pa.binary()), pa.array([planes], pa.binary())],
+                names=["block", "keys", "words", "sizes", "places"],
+            )
+
+        for batch in batches:
+            for key, text in zip(batch.column("_key").to_pylist(), batch.column("_text"), strict=True):
+                words = marked_words(text.as_py())
+                keys.append(key)
+                sizes.append(len(words))
+                at.extend(map(places.__getitem__, words))
+                if len(at) >= size:
+                    yield made()
+                    block += 1
+                    keys, sizes, places, at = [], [], _Places(), array("I")
+        if keys:
+            yield made()
+
+    return rows.mapInArrow(run, f"block long, keys array<{kind}>, words array<string>, sizes binary, places binary")
+
+
+def chunk_table(words: DataFrame, model: str) -> DataFrame:
+    """word and ids of distinct marked words, each segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
         for batch in batches:
-            ids = pa.array((codec.encode(x.as_py()) for x in batch.column(1)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            ids = pa.array((codec.segment(w) for w in batch.column("word").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], names=["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids binary")
 
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+
+def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    codec = PieceCodec(model)
+    ends = codec.ends
+    if not codec.chunked:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = PieceCodec(model)
+            for batch in batches:
+                ids = pa.array((own.encode(x.as_py()) for x in batch.column("_text")), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), ids], names=[key, "ids"])
+
+        return rows.mapInArrow(whole, f"`{key}` {kind}, ids binary")
+    held = durable(blocks_of(rows, kind, block), "piece-blocks")
+    placed = held.select("block", F.posexplode("words").alias("place", "word"))
+    table = durable(chunk_table(placed.select("word").distinct(), model), "piece-table")
+    answers = placed.join(table, "word").select(F.col("block").alias("of"), "place", "ids")
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        by_place = [b""] * found.num_rows
+        for place, ids in zip(found.column("place").to_pylist(), found.column("ids").to_pylist(), strict=True):
+            by_place[place] = ids
+        planes = np.frombuffer(own.column("places")[0].as_py(), dtype="u1").reshape(4, -1)
+        at = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        stops = np.cumsum(np.frombuffer(own.column("sizes")[0].as_py(), dtype="<i8")).tolist()
+        out, start = [], 0
+        for stop in stops:
+            out.append(b"".join((ends[0], *map(by_place.__getitem__, at[start:stop].tolist()), ends[1])))
+            start = stop
+        return pa.table({key: own.column("keys").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())})
+
+    both = held.drop("words").groupBy("block").cogroup(answers.groupBy("of"))
+    return both.applyInArrow(run, f"`{key}` {kind}, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
