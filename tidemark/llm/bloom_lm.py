@@ -17,7 +17,7 @@ key is hot: a word or pair has one entry a block, however often it occurs.
 Words and pairs are known by their 64-bit hash. Null and empty texts have the end token
 only. Repeated rows are scored, and learned from, row by row; documents without
 an id are scored and learned from as if their id were an empty text. An empty
-corpus gives no rows.
+corpus gives no rows. Ties don't arise.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ SHARDS, LARGE = 64, 1 << 22
 BITS, HASHES = 16, 4
 #: Largest weight of the pair against the word in a probability, and the count of the word before at which it is half of that.
 PAIR_WEIGHT, HALF_COUNT = 0.6, 400
-#: Weight of the uniform distribution.
-FLOOR_WEIGHT = 0.05
 #: Tokens that a worker looks at together.
 BLOCK = 1_500_000
 
@@ -109,8 +107,8 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts, 0 for level 0."""
-    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+    """The smallest count of a level, 0 for level 0: never above the true one, but for false answers of the filter."""
+    return np.where(level > 0, np.exp2(level - 1.0), 0.0)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -256,12 +254,14 @@ def answered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(run, "block long, shard long, kind int, levels binary, counts binary, tokens long, distinct long")
 
 
-def probabilities(single: np.ndarray, at: np.ndarray, where: np.ndarray, both: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Of each token given the one before it; single are counts by word, both those of the pairs that end at where."""
-    total = max(total, 1)
-    one = single[at]
-    p = (1 - FLOOR_WEIGHT) * np.minimum(one / total, 1.0) + FLOOR_WEIGHT / (distinct + 1)
-    before = one[where - 1]
+def probabilities(single: np.ndarray, exact: np.ndarray, at: np.ndarray, where: np.ndarray, both: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Of each token given the one before it. single: counts by word as the filter tells them; exact: true ones; both: the filter's, of the pairs that end at where.
+
+    (1 - w) (c(b) + 1) / (N + V + 1) + w c(ab) / C(a), with c as told, C exact and w by C(a). As c is rounded down, the
+    probabilities of all words and of an unknown one after any word add up to 1 at most; what rounding takes away is given to no word.
+    """
+    p = (single[at] + 1.0) / (total + distinct + 1.0)
+    before = exact[at[where - 1]].astype(np.float64)
     weight = PAIR_WEIGHT * before / (before + HALF_COUNT)
     p[where] = (1 - weight) * p[where] + weight * np.minimum(both / np.maximum(before, 1.0), 1.0)
     return p
@@ -291,9 +291,10 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             out[order] = np.frombuffer(b"".join(replies.column(column)[said[k, s]].as_py() for s in met.tolist()), dtype=dtype)
             return out
 
-        n = told(0, found, "counts", "<i8")[at]
+        exact = told(0, found, "counts", "<i8")
+        n = exact[at]
         single, double = count_of(told(0, found, "levels", "u1")), count_of(told(1, pair, "levels", "u1"))[of]
-        p = probabilities(single, at, where, double, tokens, distinct)
+        p = probabilities(single, exact, at, where, double, tokens, distinct)
         text_of = np.repeat(np.arange(len(sizes)), sizes)
         n_known, base, score = (np.bincount(text_of, x, len(sizes)) for x in (n > 0, np.log10((n + 1) / (tokens + distinct + 1)), np.log10(p)))
         return pa.table({key: own.column("ids").combine_chunks().flatten(), "n_tokens": sizes, "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
