@@ -4,15 +4,19 @@ P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all grades and
 rising thresholds t_0 < t_1 < ..; the expected severity is the sum of these
 probabilities. x holds log(1 + count) of selected words.
 
-The labels say only whether a document is toxic. Grades 1..3 of toxic documents
-are the thirds of their share of telling words, those whose presence is tied to the
-label most strongly; grade 0 is a document that isn't toxic. The model is fitted on a bounded sample of
+Grades come from the labels alone, never from the words: 0 is a document that isn't toxic, 1 a toxic one of good
+quality, 2 a toxic one of bad quality (without a quality label: 1). The model is fitted on a bounded sample of
 labelled rows: at most `sample` of each label, those of the smallest hash of
 the id. Everything else covers all rows.
 
+Words are selected by chi-square of their presence against the label, out of those in LEAST_DOCS sampled
+documents. How pure a selected word must be and the ridge are chosen by FOLDS-fold cross-validation inside the
+sample; words are selected anew in each fold, from its own training part. The weights may have either sign.
+
 Null and empty texts have no word and get the model's floor. A document labelled more than once
-counts as toxic if one label says so. Labels without a document and null labels are not used. Without toxic
-labels in the sample every score is 0. Repeated rows are scored one by one.
+counts as toxic if one label says so; of an id with several texts the smallest is learned from. Labels without a document and
+null labels are not used. Without toxic labels, or without others, in the sample every score is 0. Ties between words go to
+the smaller hash. Repeated rows are scored one by one; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,17 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordTable, signed, table, text_bytes
+from tidemark.llm._common import WordTable, durable, signed, table, text_bytes
 
 #: Labelled documents of each label that the fit may use.
 SAMPLE = 4000
 #: Words that the model may weigh, and the sampled documents each must be in.
 FEATURES, LEAST_DOCS = 2000, 10
-GRADES = 3
-#: The model weighs telling words only: those so closely tied to the label (chi-square of presence).
-TELLING = 60.0
-#: And so many of their sampled documents must be toxic.
-PURITY = 0.9
+GRADES = 2
+#: What cross-validation chooses from: the least share of toxic ones among a word's sampled documents, and the ridge.
+PURITIES, RIDGES = (0.0, 0.5, 0.9), (1e-5, 1e-3)
+FOLDS = 3
 
 _EDGES = b".,;:!?\"'()[]{}*$%&#<>|-_"
 
@@ -81,65 +84,109 @@ def bag_of_words(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most 2 * sample labelled rows; the ids sent to the documents are as few, so documents aren't shuffled."""
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """doc_id, text, toxic, grade and fold of at most 2 * sample rows; the ids sent to the documents are as few, so documents aren't shuffled."""
+    poor = F.coalesce(F.col("quality") == 0, F.lit(False))
+    grade = F.when(F.col("toxic") > 0, F.when(poor, 2).otherwise(1)).otherwise(0)
+    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(grade).alias("grade"))
     ranked = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = ranked[0].unionByName(ranked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-
-def fit(rows: pa.Table, features: int = FEATURES, grades: int = GRADES, rounds: int = 400) -> OrdinalModel:
-    """On the driver, over the bounded sample."""
-    toxic = rows.column("toxic").to_numpy().astype(bool)
-    lists = rows.column("features").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    doc = np.repeat(np.arange(len(rows)), lengths)
-    hashes = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
-    counts = rows.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
-    nothing = OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(grades, 40.0))
-    if not toxic.any() or toxic.all():
-        return nothing
-    names, at = np.unique(hashes, return_inverse=True)
-    df = np.bincount(at, minlength=len(names))
-    bad = np.bincount(at, weights=toxic[doc], minlength=len(names))
-    n, n_bad = len(toxic), toxic.sum()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("grade").alias("grade"), F.max(fold).alias("fold"))
+
+
+def _chi(df, bad, n, n_bad):
+    """Chi-square of presence against the label; for columns and arrays alike."""
     expected = df * n_bad / n
-    chi = (bad - expected) ** 2 / np.maximum(expected * (1 - n_bad / n) * np.maximum(1 - df / n, 1e-9), 1e-9)
-    chosen = np.flatnonzero((df >= min(LEAST_DOCS, max(2, n_bad // 10))) & (chi >= min(TELLING, n / 10)) & (bad >= PURITY * df))
-    chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")][:features])
-    if not len(chosen):
-        return nothing
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    # grades from the number of telling words
-    said = np.bincount(doc, weights=counts * (place[at] >= 0), minlength=n)
-    cuts = np.quantile(said[toxic], np.arange(1, grades) / grades)
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, said, side="left"), 0)
-    # gradient steps (Adam) on the mean log-loss of the cumulative links, with a small ridge
-    use = place[at] >= 0
-    row, column, x = doc[use], place[at][use], np.log1p(counts[use])
-    weights, gaps = np.zeros(len(chosen)), np.zeros(grades)  # t_0, then logs of the rises
-    m = [np.zeros_like(weights), np.zeros_like(gaps)]
-    s = [np.zeros_like(weights), np.zeros_like(gaps)]
-    above = grade[:, None] > np.arange(grades)[None, :]
-    balance = np.where(toxic, n / (2 * n_bad), n / (2 * (n - n_bad)))
+    return (bad - expected) * (bad - expected) / (expected * (1 - n_bad / n) * (1 - df / (n + 1.0)))
+
+
+def telling_words(bags: DataFrame, n: int, n_bad: int, count: int = FEATURES) -> DataFrame:
+    """The `count` features of the largest chi-square with, for each fold, the documents (df) and toxic documents (bad) that they are in."""
+    each = bags.select(F.explode("features").alias("feature"), "toxic", "fold")
+    sums = [f(F.when(F.col("fold") == k, v).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, v, f in (("df", F.lit(1), F.sum), ("bad", F.col("toxic"), F.sum))]
+    counted = each.groupBy("feature").agg(*sums)
+    df, bad = (sum((F.col(f"{name}{k}") for k in range(FOLDS)), F.lit(0)) for name in ("df", "bad"))
+    least = min(LEAST_DOCS, max(2, n_bad // 10))
+    return counted.where(df >= least).withColumn("chi", _chi(df, bad, float(n), float(n_bad))).orderBy(F.desc("chi"), "feature").limit(count)
+
+
+def _fitted(x, doc, column, grade: np.ndarray, columns: int, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """weights and thresholds by gradient steps (Adam) on the mean log-loss of the cumulative links; both labels weigh the same."""
+    n, toxic = len(grade), grade > 0
+    weights, gaps = np.zeros(columns), np.zeros(GRADES)  # t_0, then logs of the rises
+    m, s = [[np.zeros_like(v) for v in (weights, gaps)] for _ in range(2)]
+    above = grade[:, None] > np.arange(GRADES)[None, :]
+    balance = np.where(toxic, n / (2 * toxic.sum()), n / (2 * (~toxic).sum()))
     for step in range(1, rounds + 1):
         rises = np.exp(np.append(0, gaps[1:]))
         thresholds = gaps[0] + np.append(0, np.cumsum(rises[1:]))
-        z = np.bincount(row, weights=weights[column] * x, minlength=n)
+        z = np.bincount(doc, weights=weights[column] * x, minlength=n)
         p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - z[:, None], -40, 40)))
         error = (p - above) * balance[:, None] / n
-        dz = error.sum(axis=1)
         dt = -error.sum(axis=0)
         tail = np.cumsum(dt[::-1])[::-1]
-        grads = [np.bincount(column, weights=dz[row] * x, minlength=len(chosen)) + 1e-5 * weights, np.append(tail[0], tail[1:] * rises[1:])]
+        grads = [np.bincount(column, weights=error.sum(axis=1)[doc] * x, minlength=columns) + ridge * weights, np.append(tail[0], tail[1:] * rises[1:])]
         for i, (value, g) in enumerate(zip((weights, gaps), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
             value -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
-        np.maximum(weights, 0, out=weights)
-    thresholds = gaps[0] + np.append(0, np.cumsum(np.exp(gaps[1:])))
-    return OrdinalModel(names[chosen], weights, thresholds)
+    return weights, gaps[0] + np.append(0, np.cumsum(np.exp(gaps[1:])))
+
+
+def fit(rows: pa.Table, words: pa.Table, rounds: int = 300) -> OrdinalModel:
+    """On the driver, over the bounded sample: rows (grade, fold, at, counts) with places among at most FEATURES words."""
+    grade, fold = (rows.column(c).to_numpy().astype(int) for c in ("grade", "fold"))
+    toxic = grade > 0
+    nothing = OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 40.0))
+    if not len(words) or not toxic.any() or toxic.all():
+        return nothing
+    names = words.column("feature").to_numpy().astype(np.int64).view(np.uint64)
+    df, bad = (np.stack([words.column(f"{c}{k}").to_numpy().astype(float) for k in range(FOLDS)]) for c in ("df", "bad"))
+    lists = rows.column("at").combine_chunks()
+    doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+    at, x = lists.flatten().to_numpy().astype(int), np.log1p(rows.column("counts").combine_chunks().flatten().to_numpy().astype(float))
+
+    def selected(folds: list[int], purity: float) -> np.ndarray:
+        d, b = df[folds].sum(axis=0), bad[folds].sum(axis=0)
+        own = np.isin(fold, folds)
+        with np.errstate(all="ignore"):
+            chi = _chi(d, b, float(own.sum()), float((own & toxic).sum()))
+        return (d >= 2) & (b >= purity * d) & (np.nan_to_num(chi) >= 10.83)  # one word in a thousand by chance
+
+    def run(folds: list[int], purity: float, ridge: float):
+        keep = selected(folds, purity)
+        place = np.cumsum(keep) - 1
+        own = np.flatnonzero(np.isin(fold, folds))
+        new = np.full(len(rows), -1)
+        new[own] = np.arange(len(own))
+        use = keep[at] & (new[doc] >= 0)
+        weights, thresholds = _fitted(x[use], new[doc[use]], place[at[use]], grade[own], int(keep.sum()), ridge, rounds)
+        full = np.zeros(len(names))
+        full[keep] = weights
+        return full, thresholds, keep
+
+    best = None
+    for purity in PURITIES:
+        for ridge in RIDGES:
+            right, tried = np.zeros(2), np.zeros(2)
+            for k in range(FOLDS):
+                train = [j for j in range(FOLDS) if j != k]
+                inside = np.isin(fold, train)
+                if not toxic[inside].any() or toxic[inside].all():
+                    continue
+                weights, thresholds, _ = run(train, purity, ridge)
+                said = np.bincount(doc, weights=weights[at] * x, minlength=len(rows)) >= thresholds[0]
+                for y in (0, 1):
+                    held = (fold == k) & (toxic == y)
+                    right[y] += (said == toxic)[held].sum()
+                    tried[y] += held.sum()
+            value = (right / np.maximum(tried, 1)).sum()
+            if best is None or value > best[0]:
+                best = (value, purity, ridge)
+    weights, thresholds, keep = run(list(range(FOLDS)), *best[1:])
+    order = np.argsort(names[keep])
+    return OrdinalModel(names[keep][order], weights[keep][order], thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,9 +213,25 @@ def score(docs: DataFrame, model: OrdinalModel, *, key: str = "doc_id", text: st
     return docs.select(key, text_bytes(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, severity double, p_toxic double, toxic boolean")
 
 
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+    """What comes to the driver: at most FEATURES words, and for 2 * sample rows the counts of these words."""
+    bags = durable(bag_of_words(labelled_sample(docs, labels, sample), ["doc_id", "toxic", "grade", "fold"]), "toxic-bags")
+    n, n_bad = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_bad < n:
+        return OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 40.0))
+    words = telling_words(bags, n, n_bad).toArrow()
+    places = bags.sparkSession.createDataFrame([(int(h), i) for i, h in enumerate(words.column("feature").to_pylist())], "feature long, at int")
+    told = bags.select("doc_id", F.explode(F.arrays_zip("features", "counts")).alias("f")).join(F.broadcast(places), F.col("f.features") == F.col("feature"))
+    lists = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("f.counts").alias("n")))).alias("f"))
+    none = F.array().cast("array<bigint>")
+    rows = bags.select("doc_id", "grade", "fold").join(lists, "doc_id", "left").select(
+        "doc_id", "grade", "fold", F.coalesce(F.col("f.at").cast("array<bigint>"), none).alias("at"), F.coalesce(F.col("f.n"), none).alias("counts")
+    )
+    return fit(rows.toArrow().sort_by("doc_id"), words)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    rows = bag_of_words(labelled_sample(docs, labels, sample), ["doc_id", "toxic"]).toArrow()
-    return score(docs, fit(rows.sort_by("doc_id")))
+    return score(docs, trained(docs, labels, sample))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
