@@ -142,12 +142,19 @@ def test_pieces_equal_the_library(text):
     assert codec.chunked
     ids = np.frombuffer(codec.encode(text), dtype="<u4").tolist()
     assert ids == codec.sp.encode(text, add_bos=True, add_eos=True)
+    assert codec.encode(text) == b"".join([codec.ends[0], *map(codec.segment, piece_codec.marked_words(text)), codec.ends[1]])
     assert codec.decode(codec.encode(text)) == codec.sp.decode(ids)
 
 
-def test_pieces_of_documents(spark):
-    codec = piece_codec.PieceCodec(MODEL, limit=50)
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+@pytest.mark.parametrize("block", [piece_codec.BLOCK, 300])
+def test_pieces_of_documents(spark, block, monkeypatch):
+    """Against the library; with small blocks the table is joined to many."""
+    monkeypatch.setattr(piece_codec, "BLOCK", block)
+    codec = piece_codec.PieceCodec(MODEL)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in piece_codec.encode_pieces(docs, MODEL, block=block).collect()}
+    assert got == {i: codec.encode(t) for i, t in texts.items()}
     for r in piece_codec.op6_sentencepiece(spark, SF).collect():
         ids = codec.sp.encode(texts[r.doc_id], add_bos=True, add_eos=True)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
@@ -160,8 +167,25 @@ def test_scores(spark):
     for i, words in docs.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update([*words, None])
+    pairs = Counter(p for i, words in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for p in zip(words, [*words[1:], None]))
     n, v = sum(counts.values()), len(counts)
     got = bloom_lm.op7_lm_score(spark, SF).collect()
+
+    def floored(x):
+        return 2 ** (x.bit_length() - 1) if x else 0
+
+    def plain(words):
+        """The model without a filter."""
+        total = 0.0
+        for a, b in zip([False, *words], words):
+            one, c = (floored(counts[b]) + 1) / (n + v + 1), counts[a] if a is not False else 0
+            w = bloom_lm.PAIR_WEIGHT * c / (c + bloom_lm.HALF_COUNT) if c else 0.0
+            total += math.log10((1 - w) * one + (w * min(1.0, floored(pairs[a, b]) / c) if c else 0.0))
+        return total
+
+    away = [(r.score - plain([*docs[r.doc_id], None])) / len([*docs[r.doc_id], None]) for r in got]
+    # false answers of the filter only raise a score, and are few
+    assert min(away) > -1e-9 and max(away) < 0.2 and sum(away) / len(away) < 0.005
     for r in got:
         words = [*docs[r.doc_id], None]
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
@@ -172,6 +196,22 @@ def test_scores(spark):
     assert all(few[r.doc_id].base_score == pytest.approx(r.base_score) and few[r.doc_id].n_known == r.n_known for r in got)
 
 
+def test_probabilities_add_up_to_one_at_most():
+    rng = np.random.default_rng(4)
+    words, v = 12, 40
+    pairs = rng.integers(0, 50, (words, words))
+    exact = pairs.sum(axis=1) + 1
+    told = bloom_lm.count_of(bloom_lm.levels_of(exact))
+    total = int(exact.sum())
+    for a in range(words):
+        at = np.array([x for b in range(words) for x in (a, b)])
+        where = np.arange(1, 2 * words, 2)
+        p = bloom_lm.probabilities(told, exact, at, where, bloom_lm.count_of(bloom_lm.levels_of(pairs[a])), total, words)
+        weight = bloom_lm.PAIR_WEIGHT * exact[a] / (exact[a] + bloom_lm.HALF_COUNT)
+        unknown = (1 - weight) / (total + words + 1)
+        assert 0.4 < p[where].sum() + unknown <= 1
+
+
 def test_filter_levels():
     keys = bloom_lm.mixed(np.arange(1, 3001, dtype=np.uint64))
     f = bloom_lm.LevelFilter(np.zeros(bloom_lm.LevelFilter.size(8000), dtype=np.uint64))
@@ -184,13 +224,27 @@ def test_filter_levels():
 
 
 def test_toxicity_holds_out(spark):
+    """A fifth of the labels takes part in no choice: not of words, nor of grades, purity or ridge."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train = labels.where("doc_id % 5 <> 0")
     scored = toxicity.toxicity(docs, train).join(labels.where("doc_id % 5 = 0").selectExpr("doc_id", "toxic AS y"), "doc_id").toPandas()
     said = scored["toxic"].to_numpy()
     y = scored["y"].to_numpy() == 1
-    assert said[y].mean() > 0.75 and said[~y].mean() < 0.05
-    assert scored["severity"].between(0, 3).all()
+    assert said[y].mean() > 0.75 and said[~y].mean() < 0.05, (said[y].mean(), said[~y].mean())
+    assert scored["severity"].between(0, toxicity.GRADES).all()
+
+
+def test_grades_are_ordered(spark):
+    """Words of the worse grade raise the expected severity above those of the lesser one; plain words don't; one weight serves all thresholds."""
+    mild, bad, plain = (" ".join([w] * 2) for w in ("nasty", "vile", "tree"))
+    rows = [(i, f"{plain} word{i % 7} " + (mild if i % 3 == 1 else f"{bad} {mild}" if i % 3 == 2 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 2), int(i % 3 > 0)) for i in range(300)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([*rows, (900, mild), (901, f"{bad} {mild}"), (902, plain), (903, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[901].severity > got[900].severity + 0.3 > got[902].severity + 0.6 and got[900].toxic and not got[902].toxic and not got[903].toxic
+    model = toxicity.trained(docs, labels)
+    z = sum(model.weights[list(model.features).index(toxicity.feature(w))] * math.log1p(2) for w in (b"nasty",))
+    assert got[900].severity == pytest.approx(sum(1 / (1 + math.exp(t - z)) for t in model.thresholds)) and list(model.thresholds) == sorted(model.thresholds)
 
 
 def test_template():

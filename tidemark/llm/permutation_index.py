@@ -41,7 +41,9 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """rows: on original vectors, in double precision."""
+    """rows: on original vectors, in double precision. Halving or doubling a vector as a whole changes no digit of its cosine, and keeps squares in range."""
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return (rows @ query) / (np.sqrt(query @ query) * np.sqrt((rows * rows).sum(axis=1)))
 
 
