@@ -11,16 +11,17 @@ Candidates (s: percent / 100, n: the size of a set; every bound below holds for
    shingles at most as many are frequent as either prefix has, so the pair shares the rest of k as rare ones.
    A shingle that two texts share by chance is thus no candidate.
 3. That says nothing of a pair whose prefixes both have k frequent shingles. Documents with that
-   many are indexed by combinations, out of a prefix that is extended further. Two linked sets differ in at most
-   D = (1 - s) / s n shingles. Of their first (c - 1) D + c common shingles, D others can part at most (c - 1) D of the
-   (c - 1) D + 1 runs of c common ones, so one run of c shingles stands without a gap in both. Every
-   run of c shingles in the first n - ceil(s n) + (c - 1) D + c is one combination. Their number follows the size,
-   where all c-subsets would grow as its c-th power, and none is lost: with c <= (s / (1 - s) + 1) / 2 linked sets that differ have so many
-   common shingles. A passage that unlike documents share is seldom c neighbours among their other shingles.
+   many are indexed by combinations of shingles: the prefix is extended to the whole set, and dealt by
+   hash to more groups than a linked pair can differ in shingles. Each difference spoils one group, so the pair agrees on
+   whole groups, and each group's combination of shingles is one key. Their number follows the size,
+   where all k-subsets would grow as its k-th power. Combinations of a fixed k were tried (runs of 4 neighbours, README):
+   unlike near copies share too many of them.
+4. A set is at risk if no more of its groups hold anything than it can differ in: it could agree on empty groups only. Such sets, a few small
+   ones, are compared with every set that shares any shingle of their prefixes, frequent or not. So no link is lost.
 
 Candidates whose sizes or parity sketches are too far apart go; the others are verified on whole texts. Exact copies (equal sets) are one entry from the start.
-See _graph.linked for how pairs that share a key are compared; a run that is still crowded with unlike documents
-is crossed with the runs of a second, independent order, which is as certain as the first.
+See _graph.linked for how pairs that share a key are compared; a key that is still crowded with unlike documents
+is crossed with the groups of a second, independent hash, which are as certain as the first.
 
 Words: ASCII white space apart, A-Z in lower case. With fewer words than a shingle
 has, the whole sequence is the shingle; without words or text the set is empty and links with
@@ -29,6 +30,7 @@ nothing. Repeated rows give repeated results; an id should have one text; of sev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,6 @@ from tidemark.llm._graph import SKETCH, components, key_filter, linked, maybe_in
 WIDTH, PERCENT = 3, 90
 #: Prefixes that may share a rare shingle.
 RARE = 32
-#: Shingles of a combination, where the similarity allows as many.
-COMBINED = 4
 #: Sets whose prefix a task has sent: a copy isn't sent again.
 _SENT = 200_000
 
@@ -63,19 +63,35 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + shared_at_least(n, percent))
 
 
-def run_length(percent: int) -> int:
-    """c: the longest runs that linked sets are certain to share, up to COMBINED."""
-    return min(COMBINED, (percent // (100 - percent) + 1) // 2) if percent < 100 else 1
+def size_class(n: int, percent: int) -> int:
+    """Linked sets are of the same class or of neighbouring ones."""
+    return int(math.floor(math.log(max(n, 1)) / -math.log(percent / 100) + 1e-9))
 
 
-def combination_keys(shingles: np.ndarray, percent: int, order: int = 0) -> np.ndarray:
-    """A key of every run of c neighbours in the extended prefix of a set (sorted); orders other than 0 sort it anew by another hash."""
-    if order:
-        shingles = np.sort(mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5 + order)))
-    n, c = len(shingles), run_length(percent)
-    most = n * (100 - percent) // percent
-    prefix = min(n, n - -(-percent * n // 100) + (c - 1) * most + c)
-    return mixed(shingle_hashes(shingles[:prefix], c) + np.uint64(order)) if n >= c else np.empty(0, np.uint64)
+def most_different(c: int, percent: int) -> int:
+    """Bound of |A xor B| of a linked pair whose larger set is of class c: (1 - s) of their union, which is at most larger / s."""
+    largest = (100 / percent) ** (c + 1) + 1
+    return math.floor(largest * (100 - percent) / percent)
+
+
+def group_count(c: int, percent: int) -> int:
+    """More groups than differing shingles; more still where some are empty: for small sets, and for groups of few shingles."""
+    most = most_different(c, percent)
+    return (most + 1) * 2 if most < 25 else most + 1 + (most // 4 if percent < 90 else 0)
+
+
+def combination_keys(shingles: np.ndarray, percent: int, order: int = 0) -> tuple[np.ndarray, bool]:
+    """Keys of the groups' combinations, under the own class and the next (a larger partner's), and whether the set is at risk."""
+    own, most = size_class(len(shingles), percent), len(shingles) * (100 - percent) // percent
+    out, risk = [], False
+    for c in (own, own + 1):
+        group = mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5 + order)) % np.uint64(group_count(c, percent))
+        by_group = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.append(True, group[by_group][1:] != group[by_group][:-1]))
+        sums = np.add.reduceat(mixed(shingles[by_group] + np.uint64(c)), starts)  # wraps around
+        out.append(mixed(sums + group[by_group][starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
+        risk |= len(starts) <= most  # a partner differs in no more, whatever its size
+    return np.concatenate(out), risk
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -116,7 +132,7 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
 
 
 def combinations_of(texts: DataFrame, width: int, percent: int, order: int = 0) -> DataFrame:
-    """key, node, size: the combination keys of texts (node, text)."""
+    """key, node, size: the combination keys of texts (node, text); a null key more of sets at risk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = hash_table()
@@ -124,9 +140,10 @@ def combinations_of(texts: DataFrame, width: int, percent: int, order: int = 0)
             for node, t in zip(batch.column("node").to_pylist(), batch.column("_text"), strict=True):
                 s = shingle_set(t.as_py(), width, hashes)
                 if len(s):
-                    keys = np.unique(combination_keys(s, percent, order))
+                    keys, risk = combination_keys(s, percent, order)
+                    keys = [*signed(np.unique(keys)).tolist(), *([None] if risk else [])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(keys)), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(s)))], names=["key", "node", "size"]
+                        [pa.array(keys, pa.int64()), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(s)))], names=["key", "node", "size"]
                     )
 
     return texts.select("node", text_bytes("text").alias("_text")).mapInArrow(run, "key long, node long, size long")
@@ -209,15 +226,24 @@ def jaccard_components(
     # a partner's k is at least that of the size s n
     crowded = durable(frequent.where(F.col("frequent") >= _k(F.ceil(F.col("size") * percent / 100), percent)).select("node"), "crowded")
     wanted = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ends = crowded.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = durable(maybe_in(wanted, "node", key_filter(ends, "node")).join(ends, "node").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("ta")), "a"
-        )
-        return similar(held, width, percent)
+    def texts_of(ends: DataFrame, name: str) -> DataFrame:
+        ends = durable(ends.distinct(), f"{name}-ends")
+        return durable(maybe_in(wanted, "node", key_filter(ends, "node")).join(ends, "node").groupBy("node").agg(F.min("text").alias("text")), name)
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
+    def verified_by(texts: DataFrame):
+        def verified(pairs: DataFrame) -> DataFrame:
+            held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("tb")), "b").join(
+                texts.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("ta")), "a"
+            )
+            return similar(held, width, percent)
+
+        return verified
+
+    texts = texts_of(crowded.unionByName(both_ends(pairs)), "texts")
     crowded_texts = durable(texts.join(crowded, "node"), "crowded-texts")
     combined = durable(combinations_of(crowded_texts, width, percent), "combinations")
     sketches = durable(sketches_of(crowded_texts, width), "sketches")
@@ -226,9 +252,16 @@ def jaccard_components(
         return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
 
     def second(nodes: DataFrame) -> DataFrame:
-        return combinations_of(crowded_texts.join(nodes, "node"), width, percent, order=1).select("key", "node")
-
-    links = linked(combined, verified, percent / 100, "jaccard", sketches, most_apart, second).unionByName(durable(verified(pairs), "rare-edges")).unionByName(copies)
+        return combinations_of(crowded_texts.join(nodes, "node"), width, percent, order=1).where("key IS NOT NULL").select("key", "node")
+
+    verified = verified_by(texts)
+    links = linked(combined.where("key IS NOT NULL"), verified, percent / 100, "jaccard", sketches, most_apart, second).unionByName(durable(verified(pairs), "rare-edges")).unionByName(copies)
+    risky = combined.where("key IS NULL").select("node")
+    if not risky.isEmpty():
+        sides = postings.join(risky, "node").select("key", F.col("node").alias("x"), F.col("size").alias("sx")).join(postings.select("key", "node", "size"), "key")
+        near = (F.col("sx") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("sx") * percent)
+        few = durable(sides.where((F.col("x") != F.col("node")) & near).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "risky-pairs")
+        links = links.unionByName(durable(verified_by(texts_of(both_ends(few), "risky-texts"))(few), "risky-edges"))
     found = components(links, "jaccard-components")
     return sets.join(found, F.col("doc") == F.col("node"), "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
