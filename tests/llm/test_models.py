@@ -146,14 +146,19 @@ def test_pieces_equal_the_library(text):
     assert codec.decode(codec.encode(text)) == codec.sp.decode(ids)
 
 
+def test_pieces_of_texts_without_words(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id long, text string").coalesce(1)
+    codec = piece_codec.PieceCodec(MODEL)
+    assert {bytes(r.ids) for r in piece_codec.encode_pieces(df, MODEL).collect()} == {b"".join(codec.ends)}
+
+
 @pytest.mark.parametrize("block", [piece_codec.BLOCK, 300])
-def test_pieces_of_documents(spark, block, monkeypatch):
-    """Against the library; with small blocks the table is joined to many."""
-    monkeypatch.setattr(piece_codec, "BLOCK", block)
+def test_pieces_of_documents(spark, block):
+    """Against the library; with small blocks, shards of the table answer many."""
     codec = piece_codec.PieceCodec(MODEL)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    got = {r.doc_id: r.ids for r in piece_codec.encode_pieces(docs, MODEL, block=block).collect()}
+    got = {r.doc_id: r.ids for r in piece_codec.encode_pieces(docs, MODEL, block=block, shard=20_000).collect()}
     assert got == {i: codec.encode(t) for i, t in texts.items()}
     for r in piece_codec.op6_sentencepiece(spark, SF).collect():
         ids = codec.sp.encode(texts[r.doc_id], add_bos=True, add_eos=True)

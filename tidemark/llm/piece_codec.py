@@ -7,11 +7,13 @@ every distinct marked word of the corpus is segmented once:
 
 1. A task cuts its texts into marked words, and keeps, block of texts by block, the block's distinct words and each position's
    place among them.
-2. The distinct words of all blocks make the table; each is segmented once, in one task.
-3. The table is joined back to the blocks' words, and each block puts the ids to its positions.
+2. The blocks' distinct words are dealt to shards by hash: the table. A shard segments each of its distinct words once, and
+   answers every block with the ids of its words.
+3. A block joins the ids to its positions by their places.
 
-A word has one row a block, however often it occurs, so a common word is no hot key, and what is shuffled is far less than the
-occurrences. A model whose pieces cross markers, or whose normaliser changes texts, is applied to whole texts instead.
+A word has one entry a block, however often it occurs, so a common word is no hot key, and what is shuffled is far less than the
+occurrences. Shards grow in number with the bytes of text. A model whose pieces cross markers, or whose normaliser changes texts,
+is applied to whole texts instead.
 
 Null and empty texts are the two end ids and decode to an empty text. Repeated rows give
 repeated results, ties don't arise, and empty tables give empty results.
@@ -25,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import durable, table
+from tidemark.llm._common import WordTable, durable, table
 
 MARK = "▁"
 _CROSSES = re.compile(f"[^{MARK}]{MARK}")
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Marked words of a block of texts.
+#: Marked words of a block of texts, and bytes of text for each shard of the table.
 BLOCK = 4_000_000
+SHARD_BYTES = 1 << 24
 
 
 class PieceCodec:
@@ -51,6 +55,8 @@ class PieceCodec:
         probe = "  a é  ﬁ①　é\t\n "
         plain = self.sp.decode(self.sp.encode(probe)) == probe
         self.chunked = plain and not any(map(_CROSSES.search, pieces))
+        #: How ids are kept between tasks.
+        self.kind = "<u2" if self.sp.get_piece_size() <= 1 << 16 else "<u4"
         self.ends = [np.array([i], dtype="<u4").tobytes() for i in (self.first, self.last)]
 
     def segment(self, chunk: str) -> bytes:
@@ -78,20 +84,49 @@ class _Places(dict):
         return place
 
 
-def blocks_of(rows: DataFrame, kind: str, size: int) -> DataFrame:
-    """block, keys, words (distinct, by place), sizes (words of each text) and places (of all words, four planes of bytes) of rows (_key, _text)."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """Byte by byte of all numbers: small ones compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    if not planes:
+        return np.empty(0, dtype=np.int64)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype="u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def blocks_of(rows: DataFrame, kind: str, size: int, shards: int) -> DataFrame:
+    """A row for each block of rows (_key, _text), of shard -1: keys, sizes (words of each text), places (of all words);
+    and one for each shard of its distinct words: these, in the order of places, and their lengths.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
         keys, sizes, places, at = [], [], _Places(), array("I")
 
         def made() -> pa.RecordBatch:
-            planes = np.frombuffer(at, dtype="<u4").view("u1").reshape(-1, 4).T.tobytes() if at else b""
-            own = [pa.array([keys], pa.list_(batch.schema.field("_key").type)), pa.array([list(places)], pa.list_(pa.string()))]
+            words = [w.encode() for w in places]
+            shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in words], dtype=np.int64)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(words), dtype=np.int64)
+            place[order] = np.arange(len(words))
+            met, starts = np.unique(shard[order], return_index=True)
+            parts = np.split(order, starts[1:]) if len(met) else []
+            n, none = len(met), [None] * len(met)
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *own, pa.array([np.array(sizes, dtype="<i8").tobytes()], pa.binary()), pa.array([planes], pa.binary())],
-                names=["block", "keys", "words", "sizes", "places"],
-            )
+                [
+                    pa.array([block] * (n + 1), pa.int64()), pa.array([-1, *met.tolist()], pa.int64()), pa.array([keys, *none], pa.list_(batch.schema.field("_key").type)),
+                    pa.array([np.array(sizes, dtype="<i8").tobytes(), *none], pa.binary()), pa.array([_planes(place[np.frombuffer(at, dtype="<u4")]) if at else b"", *none], pa.binary()),
+                    pa.array([None, *(b"".join([words[i] for i in p.tolist()]) for p in parts)], pa.binary()),
+                    pa.array([None, *(_planes(np.array([len(words[i]) for i in p.tolist()])) for p in parts)], pa.binary()),
+                ],
+                names=["block", "shard", "keys", "sizes", "places", "words", "lengths"],
+            )
 
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("_text"), strict=True):
@@ -106,27 +141,31 @@ def blocks_of(rows: DataFrame, kind: str, size: int) -> DataFrame:
         if keys:
             yield made()
 
-    return rows.mapInArrow(run, f"block long, keys array<{kind}>, words array<string>, sizes binary, places binary")
+    return rows.mapInArrow(run, f"block long, shard long, keys array<{kind}>, sizes binary, places binary, words binary, lengths binary")
 
 
-def chunk_table(words: DataFrame, model: str) -> DataFrame:
-    """word and ids of distinct marked words, each segmented once."""
+def answered(words: DataFrame, model: str) -> DataFrame:
+    """block, shard, ids and counts (of ids of each word): each distinct word of a shard is segmented once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: pa.Table) -> pa.Table:
         codec = PieceCodec(model)
-        for batch in batches:
-            ids = pa.array((codec.segment(w) for w in batch.column("word").to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], names=["word", "ids"])
+        known = WordTable(lambda w: codec.segment(w.decode()), limit=1 << 62)
+        ids, counts = [], []
+        for blob, lengths in zip(group.column("words").to_pylist(), group.column("lengths").to_pylist(), strict=True):
+            found = [known[w] for w in _cut(blob, _numbers(lengths))]
+            ids.append(np.frombuffer(b"".join(found), dtype="<u4").astype(codec.kind).tobytes())
+            counts.append(_planes(np.array([len(x) // 4 for x in found])))
+        return pa.table({"of": group.column("block"), "shard": group.column("shard"), "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return words.groupBy("shard").applyInArrow(run, "of long, shard long, ids binary, counts binary")
 
 
-def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
     """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     codec = PieceCodec(model)
-    ends = codec.ends
+    ends, small = codec.ends, codec.kind
     if not codec.chunked:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +175,16 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column("_key"), ids], names=[key, "ids"])
 
         return rows.mapInArrow(whole, f"`{key}` {kind}, ids binary")
-    held = durable(blocks_of(rows, kind, block), "piece-blocks")
-    placed = held.select("block", F.posexplode("words").alias("place", "word"))
-    table = durable(chunk_table(placed.select("word").distinct(), model), "piece-table")
-    answers = placed.join(table, "word").select(F.col("block").alias("of"), "place", "ids")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    held = durable(blocks_of(rows, kind, block, max(1, -(-size // shard))), "piece-blocks")
+    answers = answered(held.where("shard >= 0").select("block", "shard", "words", "lengths"), model)
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        by_place = [b""] * found.num_rows
-        for place, ids in zip(found.column("place").to_pylist(), found.column("ids").to_pylist(), strict=True):
-            by_place[place] = ids
-        planes = np.frombuffer(own.column("places")[0].as_py(), dtype="u1").reshape(4, -1)
-        at = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        found = found.sort_by("shard")
+        by_place: list[bytes] = []
+        for ids, counts in zip(found.column("ids").to_pylist(), found.column("counts").to_pylist(), strict=True):
+            by_place += _cut(np.frombuffer(ids, dtype=small).astype("<u4").tobytes(), 4 * _numbers(counts))
+        at = _numbers(own.column("places")[0].as_py())
         stops = np.cumsum(np.frombuffer(own.column("sizes")[0].as_py(), dtype="<i8")).tolist()
         out, start = [], 0
         for stop in stops:
@@ -154,7 +192,7 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
             start = stop
         return pa.table({key: own.column("keys").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())})
 
-    both = held.drop("words").groupBy("block").cogroup(answers.groupBy("of"))
+    both = held.where("shard = -1").select("block", "keys", "sizes", "places").groupBy("block").cogroup(answers.groupBy("of"))
     return both.applyInArrow(run, f"`{key}` {kind}, ids binary")
 
 
