@@ -14,7 +14,7 @@ documents. How pure a selected word must be and the ridge are chosen by FOLDS-fo
 sample; words are selected anew in each fold, from its own training part. The weights may have either sign.
 
 Null and empty texts have no word and get the model's floor. A document labelled more than once
-counts as toxic if one label says so; of an id with several texts the smallest is learned from. Labels without a document and
+counts as toxic if one label says so; of an id with several texts that of the smallest hash is learned from. Labels without a document and
 null labels are not used. Without toxic labels, or without others, in the sample every score is 0. Ties between words go to
 the smaller hash. Repeated rows are scored one by one; empty tables give empty results.
 """
@@ -84,15 +84,14 @@ def bag_of_words(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, toxic, grade and fold of at most 2 * sample rows; the ids sent to the documents are as few, so documents aren't shuffled."""
+    """doc_id, text, toxic, grade and fold of the rows of at most 2 * sample ids; as few are sent to the documents, which aren't shuffled."""
     poor = F.coalesce(F.col("quality") == 0, F.lit(False))
     grade = F.when(F.col("toxic") > 0, F.when(poor, 2).otherwise(1)).otherwise(0)
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(grade).alias("grade"))
     ranked = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = ranked[0].unionByName(ranked[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("grade").alias("grade"), F.max(fold).alias("fold"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("*", fold.alias("fold"), F.xxhash64("text").alias("h"))
 
 
 def _chi(df, bad, n, n_bad):
@@ -134,8 +133,8 @@ def _fitted(x, doc, column, grade: np.ndarray, columns: int, ridge: float, round
     return weights, gaps[0] + np.append(0, np.cumsum(np.exp(gaps[1:])))
 
 
-def fit(rows: pa.Table, words: pa.Table, rounds: int = 300) -> OrdinalModel:
-    """On the driver, over the bounded sample: rows (grade, fold, at, counts) with places among at most FEATURES words."""
+def fit(rows: pa.Table, told: pa.Table, words: pa.Table, rounds: int = 300) -> OrdinalModel:
+    """On the driver, over the bounded sample: rows (doc_id, grade, fold) by id, told (doc_id, at, n) of the places among at most FEATURES words."""
     grade, fold = (rows.column(c).to_numpy().astype(int) for c in ("grade", "fold"))
     toxic = grade > 0
     nothing = OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 40.0))
@@ -143,9 +142,10 @@ def fit(rows: pa.Table, words: pa.Table, rounds: int = 300) -> OrdinalModel:
         return nothing
     names = words.column("feature").to_numpy().astype(np.int64).view(np.uint64)
     df, bad = (np.stack([words.column(f"{c}{k}").to_numpy().astype(float) for k in range(FOLDS)]) for c in ("df", "bad"))
-    lists = rows.column("at").combine_chunks()
-    doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-    at, x = lists.flatten().to_numpy().astype(int), np.log1p(rows.column("counts").combine_chunks().flatten().to_numpy().astype(float))
+    doc = np.searchsorted(rows.column("doc_id").to_numpy(), told.column("doc_id").to_numpy())
+    at, x = told.column("at").to_numpy().astype(int), np.log1p(told.column("n").to_numpy().astype(float))
+    order = np.lexsort((at, doc))  # sums in one order, so that results don't depend on the tasks
+    doc, at, x = doc[order], at[order], x[order]
 
     def selected(folds: list[int], purity: float) -> np.ndarray:
         d, b = df[folds].sum(axis=0), bad[folds].sum(axis=0)
@@ -215,19 +215,17 @@ def score(docs: DataFrame, model: OrdinalModel, *, key: str = "doc_id", text: st
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """What comes to the driver: at most FEATURES words, and for 2 * sample rows the counts of these words."""
-    bags = durable(bag_of_words(labelled_sample(docs, labels, sample), ["doc_id", "toxic", "grade", "fold"]), "toxic-bags")
+    own = ["doc_id", "toxic", "grade", "fold"]
+    read = durable(bag_of_words(labelled_sample(docs, labels, sample), [*own, "h"]), "toxic-read")
+    bags = durable(read.groupBy(*own).agg(F.min(F.struct("h", "features", "counts")).alias("b")).select(*own, "b.features", "b.counts"), "toxic-bags")
     n, n_bad = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_bad < n:
         return OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(GRADES, 40.0))
     words = telling_words(bags, n, n_bad).toArrow()
     places = bags.sparkSession.createDataFrame([(int(h), i) for i, h in enumerate(words.column("feature").to_pylist())], "feature long, at int")
     told = bags.select("doc_id", F.explode(F.arrays_zip("features", "counts")).alias("f")).join(F.broadcast(places), F.col("f.features") == F.col("feature"))
-    lists = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("f.counts").alias("n")))).alias("f"))
-    none = F.array().cast("array<bigint>")
-    rows = bags.select("doc_id", "grade", "fold").join(lists, "doc_id", "left").select(
-        "doc_id", "grade", "fold", F.coalesce(F.col("f.at").cast("array<bigint>"), none).alias("at"), F.coalesce(F.col("f.n"), none).alias("counts")
-    )
-    return fit(rows.toArrow().sort_by("doc_id"), words)
+    rows = bags.select("doc_id", "grade", "fold").toArrow().sort_by("doc_id")
+    return fit(rows, told.select("doc_id", "at", F.col("f.counts").alias("n")).toArrow(), words)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
