@@ -101,8 +101,9 @@ def _cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
 
 
 def blocks_of(rows: DataFrame, kind: str, size: int, shards: int) -> DataFrame:
-    """A row for each block of rows (_key, _text), of shard -1: keys, sizes (words of each text), places (of all words);
-    and one for each shard of its distinct words: these, in the order of places, and their lengths.
+    """A row for each block of rows (_key, _text), of shard -1: keys, sizes (words of each text), places (of all words, by
+    falling frequency, so that they compress), and as lengths the shard of each place; and one for each shard of its distinct
+    words: these, in the order of places, and their lengths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +111,23 @@ def blocks_of(rows: DataFrame, kind: str, size: int, shards: int) -> DataFrame:
         keys, sizes, places, at = [], [], _Places(), array("I")
 
         def made() -> pa.RecordBatch:
+            found = np.frombuffer(at, dtype="<u4") if at else np.empty(0, dtype="<u4")
+            often = np.argsort(-np.bincount(found, minlength=len(places)), kind="stable")
+            place = np.empty(len(places), dtype=np.int64)
+            place[often] = np.arange(len(places))
             words = [w.encode() for w in places]
+            words = [words[i] for i in often.tolist()]
             shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in words], dtype=np.int64)
             order = np.argsort(shard, kind="stable")
-            place = np.empty(len(words), dtype=np.int64)
-            place[order] = np.arange(len(words))
             met, starts = np.unique(shard[order], return_index=True)
             parts = np.split(order, starts[1:]) if len(met) else []
             n, none = len(met), [None] * len(met)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([block] * (n + 1), pa.int64()), pa.array([-1, *met.tolist()], pa.int64()), pa.array([keys, *none], pa.list_(batch.schema.field("_key").type)),
-                    pa.array([np.array(sizes, dtype="<i8").tobytes(), *none], pa.binary()), pa.array([_planes(place[np.frombuffer(at, dtype="<u4")]) if at else b"", *none], pa.binary()),
+                    pa.array([np.array(sizes, dtype="<i8").tobytes(), *none], pa.binary()), pa.array([_planes(place[found]), *none], pa.binary()),
                     pa.array([None, *(b"".join([words[i] for i in p.tolist()]) for p in parts)], pa.binary()),
-                    pa.array([None, *(_planes(np.array([len(words[i]) for i in p.tolist()])) for p in parts)], pa.binary()),
+                    pa.array([_planes(shard), *(_planes(np.array([len(words[i]) for i in p.tolist()])) for p in parts)], pa.binary()),
                 ],
                 names=["block", "shard", "keys", "sizes", "places", "words", "lengths"],
             )
@@ -181,9 +185,12 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("shard")
-        by_place: list[bytes] = []
+        by_shard: list[bytes] = []
         for ids, counts in zip(found.column("ids").to_pylist(), found.column("counts").to_pylist(), strict=True):
-            by_place += _cut(np.frombuffer(ids, dtype=small).astype("<u4").tobytes(), 4 * _numbers(counts))
+            by_shard += _cut(np.frombuffer(ids, dtype=small).astype("<u4").tobytes(), 4 * _numbers(counts))
+        by_place = [b""] * len(by_shard)
+        for i, x in zip(np.argsort(_numbers(own.column("lengths")[0].as_py()), kind="stable").tolist(), by_shard, strict=True):
+            by_place[i] = x
         at = _numbers(own.column("places")[0].as_py())
         stops = np.cumsum(np.frombuffer(own.column("sizes")[0].as_py(), dtype="<i8")).tolist()
         out, start = [], 0
@@ -192,7 +199,7 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
             start = stop
         return pa.table({key: own.column("keys").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())})
 
-    both = held.where("shard = -1").select("block", "keys", "sizes", "places").groupBy("block").cogroup(answers.groupBy("of"))
+    both = held.where("shard = -1").select("block", "keys", "sizes", "places", "lengths").groupBy("block").cogroup(answers.groupBy("of"))
     return both.applyInArrow(run, f"`{key}` {kind}, ids binary")
 
 
