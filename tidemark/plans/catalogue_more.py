@@ -51,7 +51,7 @@ def q_found_score(spark, sf_dir):
 
 
 _LINES = """
-  SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS ord, CASE WHEN l_linenumber % 4 = 0 THEN 'GKS' WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN l_linenumber || ':' || (l_orderkey % 4) ELSE cast(l_linenumber AS VARCHAR) END AS text,
+  SELECT l_orderkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS ord, CASE WHEN l_linenumber % 4 = 0 THEN 'GKS' WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN l_linenumber || ':' || (l_orderkey % 4) ELSE cast(l_linenumber AS VARCHAR) END AS text,
     l_discount * 10 AS confidence, 100 + 40 * (l_orderkey % 9) AS width, 60 AS height, 30.0 * l_linenumber AS x, 10.0 + (l_orderkey * l_linenumber) % 13 AS y, 12.0 AS glyph_height FROM lineitem"""
 
 
@@ -60,7 +60,7 @@ def _text_lines(spark, sf_dir):
     n, k = F.col("l_linenumber"), F.col("l_orderkey")
     text = F.when(n % 4 == 0, "GKS").when((k + n) % 5 == 0, F.concat_ws(":", n.cast("string"), (k % 4).cast("string"))).otherwise(n.cast("string"))
     return li.select(
-        "l_orderkey", (n * 1000000 + F.col("l_partkey")).alias("ord"), text.alias("text"), (F.col("l_discount") * 10).cast("double").alias("confidence"), (100 + 40 * (k % 9)).alias("width"), F.lit(60).alias("height"),
+        "l_orderkey", (n.cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("ord"), text.alias("text"), (F.col("l_discount") * 10).cast("double").alias("confidence"), (100 + 40 * (k % 9)).alias("width"), F.lit(60).alias("height"),
         (30.0 * n).cast("double").alias("x"), (10.0 + (k * n) % 13).cast("double").alias("y"), F.lit(12.0).alias("glyph_height"),
     )
 
@@ -68,7 +68,7 @@ def _text_lines(spark, sf_dir):
 _RECOGNISED = rf"""
   WITH l AS ({_LINES}), f AS (SELECT l_orderkey, count(*) AS n, min(confidence) AS least, max(confidence) AS most, max(width) / max(height) <= 3 AS shaped, string_agg(text, ' | ' ORDER BY ord) AS raw,
       string_agg(text, ' ' ORDER BY ord) AS spaced, string_agg(text, '' ORDER BY ord) AS tight FROM l GROUP BY 1),
-  c AS (SELECT l_orderkey, confidence, ord AS place, text FROM l UNION ALL SELECT l_orderkey, least, 1000000000, spaced FROM f WHERE n > 1 UNION ALL SELECT l_orderkey, least, 1000000001, tight FROM f WHERE n > 1),
+  c AS (SELECT l_orderkey, confidence, ord AS place, text FROM l UNION ALL SELECT l_orderkey, least, 9000000000000000000, spaced FROM f WHERE n > 1 UNION ALL SELECT l_orderkey, least, 9000000000000000001, tight FROM f WHERE n > 1),
   p AS (SELECT c.*, CASE WHEN regexp_matches(text, '(?:^|[^0-9])(\d{{1,2}})\s*[:|-]\s*(\d{{1,2}})(?:[^0-9]|$)') THEN 1 WHEN regexp_matches(text, '^\s*(\d{{1,2}})\s+(\d{{1,2}})\s*$') THEN 2 WHEN shaped AND regexp_matches(text, '^\s*(\d)(\d)\s*$') THEN 3 END AS form FROM c JOIN f USING (l_orderkey)),
   r AS (SELECT *, CASE form WHEN 1 THEN regexp_extract(text, '(?:^|[^0-9])(\d{{1,2}})\s*[:|-]\s*(\d{{1,2}})(?:[^0-9]|$)', 1) WHEN 2 THEN regexp_extract(text, '^\s*(\d{{1,2}})\s+(\d{{1,2}})\s*$', 1) ELSE regexp_extract(text, '^\s*(\d)(\d)\s*$', 1) END AS h,
     CASE form WHEN 1 THEN regexp_extract(text, '(?:^|[^0-9])(\d{{1,2}})\s*[:|-]\s*(\d{{1,2}})(?:[^0-9]|$)', 2) WHEN 2 THEN regexp_extract(text, '^\s*(\d{{1,2}})\s+(\d{{1,2}})\s*$', 2) ELSE regexp_extract(text, '^\s*(\d)(\d)\s*$', 2) END AS a,
