@@ -83,8 +83,9 @@ def _bits_apart(a: str, b: str):
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
 
 
-#: Pairs of unlike components that a key may give for each of its nodes before it is crossed with other keys.
-CROSS = 32
+#: Pairs of unlike components that a key may give for each of its nodes before it is crossed with other keys; crossing
+#: gives as many rows a node as it has keys of one kind times keys of the other, some thousand.
+CROSS = 1024
 
 
 def linked(
