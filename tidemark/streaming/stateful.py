@@ -1,12 +1,17 @@
 """Streaming forms of the sessions and ordered folds.
 
 Sessions use session_window with a watermark. The folds keep their state by key
-with applyInPandasWithState: rows of a batch are sorted by time and fed to the same
+with applyInPandasWithState: rows are sorted by time and fed to the same
 step; state is a few numbers, or the reads of the last seconds, however long the stream is.
+
+With late=(column, delay) rows may come out of order, across batches too: they wait in the state until the watermark of that
+timestamp column has passed them, and are then folded in order, on an event-time timer if no further row comes. Rows that
+come after that are dropped, as always beyond a watermark. Without it a batch's rows are folded as they come, sorted within the batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,15 +25,17 @@ from tidemark.config import AudioConfig, ScoreConfig
 def sessions(events: DataFrame, *, keys: list[str], at: str, gap: str, delay: str, aggregates: list) -> DataFrame:
     """One row a session, once the watermark has passed its end."""
     window = F.session_window(at, gap)
-    return events.withWatermark(at, delay).groupBy(*keys, window.alias("_w")).agg(*aggregates).select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[_name(a) for a in aggregates])
+    out = events.withWatermark(at, delay).groupBy(*keys, window.alias("_w")).agg(*aggregates)
+    return out.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[c for c in out.columns if c not in (*keys, "_w")])
 
 
-def _name(column) -> str:
-    return column._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
+Late = tuple[str, str] | None
 
 
-def _folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, dict], tuple[tuple, list[dict]]], start: tuple, output: str, state: str) -> DataFrame:
-    """Runs step over each key's rows in order within a batch, with state between batches."""
+def _folded(
+    rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, dict], tuple[tuple, list[dict]]], start: tuple, output: str, state: str, late: Late = None
+) -> DataFrame:
+    """Runs step over each key's rows in order, with state between batches."""
     names = [f.strip().split()[0].strip("`") for f in output.split(",")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,10 +48,30 @@ def _folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[
         held.update(acc)
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    def run_late(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        *acc, waiting = held.get if held.exists else (*start, "[]")
+        acc, known = tuple(acc), json.loads(waiting)
+        for part in parts:
+            known += json.loads(part.to_json(orient="records"))
+        passed = held.getCurrentWatermarkMs()
+        out = []
+        for row in sorted((r for r in known if r["_ms"] <= passed), key=lambda r: [r[c] for c in order]):
+            acc, made = step(acc, row)
+            out += [dict(zip(keys, key, strict=True)) | m for m in made]
+        rest = [r for r in known if r["_ms"] > passed]
+        held.update((*acc, json.dumps(rest)))
+        if rest:
+            held.setTimeoutTimestamp(max(passed + 1, min(r["_ms"] for r in rest)))
+        yield pd.DataFrame(out, columns=names)
+
+    if late is None:
+        return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    at, delay = late
+    timed = rows.withColumn("_ms", F.unix_millis(at)).withWatermark(at, delay).groupBy(*keys)
+    return timed.applyInPandasWithState(run_late, output, f"{state}, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cooled(spikes: DataFrame, cfg: AudioConfig) -> DataFrame:
+def cooled(spikes: DataFrame, cfg: AudioConfig, late: Late = None) -> DataFrame:
     """Loud windows (media_id, w, t, delta_db, rms_db) as spikes: more than the cooldown after the one before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -53,10 +80,10 @@ def cooled(spikes: DataFrame, cfg: AudioConfig) -> DataFrame:
             return acc, []
         return (int(row["w"]),), [{c: row[c] for c in ("w", "t", "delta_db", "rms_db")}]
 
-    return _folded(spikes, ["media_id"], ["w"], step, (None,), "media_id string, w long, t double, delta_db double, rms_db double", "last long")
+    return _folded(spikes, ["media_id"], ["w"], step, (None,), "media_id string, w long, t double, delta_db double, rms_db double", "last long", late)
 
 
-def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema: str) -> DataFrame:
+def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema: str, late: Late = None) -> DataFrame:
     """Events (keys, t) at least `within` after the one kept before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -65,10 +92,10 @@ def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema:
             return acc, []
         return (float(row["t"]),), [{"t": row["t"]}]
 
-    return _folded(events, keys, ["t"], step, (None,), f"{key_schema}, t double", "last double")
+    return _folded(events, keys, ["t"], step, (None,), f"{key_schema}, t double", "last double", late)
 
 
-def slew_limited(rows: DataFrame, step_size: float) -> DataFrame:
+def slew_limited(rows: DataFrame, step_size: float, late: Late = None) -> DataFrame:
     """(key, frame, value) with limited: at most step_size from the one before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -76,7 +103,7 @@ def slew_limited(rows: DataFrame, step_size: float) -> DataFrame:
         x = float(row["value"]) if last is None else last + max(-step_size, min(step_size, row["value"] - last))
         return (x,), [{"frame": row["frame"], "limited": x}]
 
-    return _folded(rows, ["key"], ["frame"], step, (None,), "key string, frame long, limited double", "last double")
+    return _folded(rows, ["key"], ["frame"], step, (None,), "key string, frame long, limited double", "last double", late)
 
 
 def _verdict(before: tuple[int, int], after: tuple[int, int]) -> str:
@@ -86,7 +113,7 @@ def _verdict(before: tuple[int, int], after: tuple[int, int]) -> str:
     return "valid" if sum(gained) == 1 else "suspicious"
 
 
-def score_changes(samples: DataFrame, cfg: ScoreConfig) -> DataFrame:
+def score_changes(samples: DataFrame, cfg: ScoreConfig, late: Late = None) -> DataFrame:
     """Readable samples (media_id, t, home, away) as changes and rejections, as they are confirmed."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -108,10 +135,10 @@ def score_changes(samples: DataFrame, cfg: ScoreConfig) -> DataFrame:
 
     output = "media_id string, before string, after string, change_t double, confirmed_t double, validation string"
     state = "home int, away int, times array<double>, homes array<int>, aways array<int>"
-    return _folded(samples, ["media_id"], ["t"], step, (None, None, [], [], []), output, state)
+    return _folded(samples, ["media_id"], ["t"], step, (None, None, [], [], []), output, state, late)
 
 
-def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int = 3, reads: int = 1) -> DataFrame:
+def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int = 3, reads: int = 1, late: Late = None) -> DataFrame:
     """(media_id, frame, difference) with should_read."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -123,4 +150,4 @@ def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int =
         burst = burst - 1 if in_burst else reads - 1 if read else burst
         return (frame if read else last, burst), [{"frame": frame, "should_read": read}]
 
-    return _folded(frames, ["media_id"], ["frame"], step, (None, 0), "media_id string, frame long, should_read boolean", "last long, burst int")
+    return _folded(frames, ["media_id"], ["frame"], step, (None, 0), "media_id string, frame long, should_read boolean", "last long, burst int", late)
