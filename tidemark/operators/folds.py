@@ -2,7 +2,7 @@
 
 A fold runs aggregate() over a group's rows sorted by time and ordinal. A group
 is one recording (or one key of it), so its rows fit in a task: about 5,400
-samples for a match. What a fold emits is collected in parts, so its time follows the rows. Sorting never relies on arrival order.
+samples for a match. What a fold emits is collected by segments, so its time follows the rows. Sorting never relies on arrival order.
 """
 
 from __future__ import annotations
@@ -24,26 +24,31 @@ def fold(rows: Column | str, start: Column, step: Callable[[Column, Column], Col
     return F.aggregate(rows, start, step, finish) if finish else F.aggregate(rows, start, step)
 
 
-#: Rows of a part of a growing array; an append copies a part, not the whole.
-_PART = 64
+#: Rows of a segment of a fold that emits rows.
+_SEGMENT = 256
 
 
-def collector(kind: str) -> Column:
-    """An empty growing array of structs of this kind, for the state of a fold."""
-    return F.struct(F.expr(f"cast(array() as array<array<{kind}>>)").alias("full"), F.expr(f"cast(array() as array<{kind}>)").alias("part"))
+def emitting(rows: Column | str, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The rows (structs of kind) that a fold emits, in order. step(state, row) gives the next state, whether a row is emitted, and that row.
 
+    An accumulator is copied at each step, and what was emitted with it. So the fold runs segment by segment: a step copies what its segment has
+    emitted, a segment what those before it have.
+    """
+    rows = F.col(rows) if isinstance(rows, str) else rows
+    nothing, none = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+    last = F.floor((F.size(rows) - 1) / _SEGMENT).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * _SEGMENT + 1, F.lit(_SEGMENT)))
 
-def collected(out: Column, row: Column) -> Column:
-    """out with row at its end; some _PART / 2 rows are copied, whatever out holds so far."""
-    ended = F.size(out["part"]) >= _PART
-    return F.struct(
-        F.when(ended, F.concat(out["full"], F.array(out["part"]))).otherwise(out["full"]).alias("full"),
-        F.when(ended, F.array(row)).otherwise(F.concat(out["part"], F.array(row))).alias("part"),
-    )
+    def one(acc: Column, row: Column) -> Column:
+        state, emits, row_out = step(acc["state"], row)
+        return F.struct(state.alias("state"), F.when(emits, F.concat(acc["out"], F.array(row_out))).otherwise(acc["out"]).alias("out"))
 
+    def segment(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), nothing.alias("out")), one)
+        # a variable of a lambda, so that the segment is folded once
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["full"], F.array(d["out"])).alias("full"))), F.lit(0))
 
-def collection(out: Column) -> Column:
-    return F.concat(F.flatten(out["full"]), out["part"])
+    return F.aggregate(segments, F.struct(start.alias("state"), none.alias("full")), segment, lambda a: F.flatten(a["full"]))
 
 
 def spaced(df: DataFrame, keys: list[str], order: list[str], at: str, gap: float, *, strict: bool, carry: list[str]) -> DataFrame:
@@ -52,16 +57,14 @@ def spaced(df: DataFrame, keys: list[str], order: list[str], at: str, gap: float
     A row earlier than the one kept before it isn't kept either.
     """
     rows = ordered_rows(df, keys, order, [at, *carry])
-    start = F.struct(F.lit(None).cast("double").alias("last"), collector(_element(rows)).alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("last"))
 
-    def step(acc: Column, row: Column) -> Column:
-        apart = row[at].cast("double") - acc["last"]
-        kept = acc["last"].isNull() | ((apart > gap) if strict else (apart >= gap))
-        return F.struct(
-            F.when(kept, row[at].cast("double")).otherwise(acc["last"]).alias("last"), F.when(kept, collected(acc["out"], row)).otherwise(acc["out"]).alias("out")
-        )
+    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
+        apart = row[at].cast("double") - state["last"]
+        kept = state["last"].isNull() | ((apart > gap) if strict else (apart >= gap))
+        return F.struct(F.when(kept, row[at].cast("double")).otherwise(state["last"]).alias("last")), kept, row
 
-    picked = rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r"))
+    picked = rows.select(*keys, F.explode(emitting("rows", start, _element(rows), step)).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}") for c in dict.fromkeys([*order, at, *carry])])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ScoreConfig
 from tidemark.functions.scalars import same_score, validate_transition
-from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
+from tidemark.operators.folds import emitting, fold, ordered_rows
 from tidemark.operators.ranges import range_join
 from tidemark.schemas import SCORE
 
@@ -142,18 +142,18 @@ def frames_to_read(frames: DataFrame, keys: list[str], *, threshold: float = 2.0
     """
     rows = ordered_rows(frames, keys, ["frame"], ["difference"])
     kind = "struct<frame: bigint, difference: double, should_read: boolean>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("burst"), collector(kind).alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("burst"))
 
-    def step(acc: Column, row: Column) -> Column:
-        fresh = acc["last"].isNull() | F.coalesce(row["difference"] >= threshold, F.lit(False))
-        due = F.coalesce(row["frame"] - acc["last"] >= refresh, F.lit(False))
-        burst = ~fresh & (acc["burst"] > 0)
+    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
+        fresh = state["last"].isNull() | F.coalesce(row["difference"] >= threshold, F.lit(False))
+        due = F.coalesce(row["frame"] - state["last"] >= refresh, F.lit(False))
+        burst = ~fresh & (state["burst"] > 0)
         read = fresh | burst | due
-        left = F.when(burst, acc["burst"] - 1).when(read, reads - 1).otherwise(acc["burst"]).cast("int")
+        left = F.when(burst, state["burst"] - 1).when(read, reads - 1).otherwise(state["burst"]).cast("int")
         shown = F.struct(row["frame"].cast("bigint").alias("frame"), row["difference"].cast("double").alias("difference"), read.alias("should_read"))
-        return F.struct(F.when(read, row["frame"].cast("bigint")).otherwise(acc["last"]).alias("last"), left.alias("burst"), collected(acc["out"], shown).alias("out"))
+        return F.struct(F.when(read, row["frame"].cast("bigint")).otherwise(state["last"]).alias("last"), left.alias("burst")), F.lit(True), shown
 
-    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.*")
+    return rows.select(*keys, F.explode(emitting("rows", start, kind, step)).alias("_r")).select(*keys, "_r.*")
 
 
 def reused(frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

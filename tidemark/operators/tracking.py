@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import edge_weight, iou
-from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
+from tidemark.operators.folds import emitting, fold, ordered_rows
 
 FRAME = ["media_id", "frame"]
 TARGET = "struct<x: double, y: double, width: double, height: double, confidence: double, kind: string>"
@@ -110,24 +110,20 @@ def followed(frames: DataFrame, keys: list[str], *, trust: float = 0.05, most: f
     """
     rows = ordered_rows(frames, keys, ["t"], ["balls", "cluster"])
     none = F.lit(None).cast(TARGET)
-    start = F.struct(
-        none.alias("ball"), F.lit(0).alias("streak"), none.alias("last"), F.lit(0).alias("lost"), collector(f"struct<t: double, target: {TARGET}>").alias("out")
-    )
+    start = F.struct(none.alias("ball"), F.lit(0).alias("streak"), none.alias("last"), F.lit(0).alias("lost"))
 
-    def step(acc: Column, row: Column) -> Column:
-        ball = linked_ball(row["balls"], acc["ball"], trust, most).cast(TARGET)
-        streak = F.when(ball.isNull(), 0).otherwise(acc["streak"] + 1)
-        anchor = F.when(acc["lost"] >= resync, none).otherwise(acc["last"])
+    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
+        ball = linked_ball(row["balls"], state["ball"], trust, most).cast(TARGET)
+        streak = F.when(ball.isNull(), 0).otherwise(state["streak"] + 1)
+        anchor = F.when(state["lost"] >= resync, none).otherwise(state["last"])
         cluster = row["cluster"].cast(TARGET)
         near = anchor.isNull() | F.coalesce(_jump(cluster, anchor["x"], anchor["y"]) <= 2 * most, F.lit(False))
         target = F.when(streak >= confirm, ball).when(cluster.isNotNull() & near, cluster)
-        return F.struct(
-            ball.alias("ball"), streak.alias("streak"), F.coalesce(target, anchor).alias("last"),
-            F.when(target.isNull(), acc["lost"] + 1).otherwise(0).alias("lost"),
-            collected(acc["out"], F.struct(row["t"].cast("double").alias("t"), target.alias("target"))).alias("out"),
-        )
+        after = F.struct(ball.alias("ball"), streak.alias("streak"), F.coalesce(target, anchor).alias("last"), F.when(target.isNull(), state["lost"] + 1).otherwise(0).alias("lost"))
+        return after, F.lit(True), F.struct(row["t"].cast("double").alias("t"), target.alias("target"))
 
-    return rows.select(*keys, F.explode(fold("rows", start, step, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.t", "_r.target")
+    picked = emitting("rows", start, f"struct<t: double, target: {TARGET}>", step)
+    return rows.select(*keys, F.explode(picked).alias("_r")).select(*keys, "_r.t", "_r.target")
 
 
 def paired_numbers(boxes: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import TrackConfig
 from tidemark.functions.scalars import clamp, half_up, smoothstep, upper_median_of
-from tidemark.operators.folds import collected, collection, collector, fold, ordered_rows
+from tidemark.operators.folds import emitting, ordered_rows
 
 
 def tolerance(sample_fps: float) -> float:
@@ -68,14 +68,14 @@ def slew_limited(frames: DataFrame, keys: list[str], *, value: str, step: float,
     """keys, order and limited: each value at most step from the limited one before it."""
     rows = ordered_rows(frames, keys, [order], [value])
     kind = frames.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"), collector(f"struct<`{order}`: {kind}, limited: double>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("last"))
 
-    def one(acc: Column, row: Column) -> Column:
+    def one(state: Column, row: Column) -> tuple[Column, Column, Column]:
         v = row[value].cast("double")
-        x = F.coalesce(acc["last"] + clamp(v - acc["last"], -step, step), v)
-        return F.struct(x.alias("last"), collected(acc["out"], F.struct(row[order].alias(order), x.alias("limited"))).alias("out"))
+        x = F.coalesce(state["last"] + clamp(v - state["last"], -step, step), v)
+        return F.struct(x.alias("last")), F.lit(True), F.struct(row[order].alias(order), x.alias("limited"))
 
-    return rows.select(*keys, F.explode(fold("rows", start, one, lambda a: collection(a["out"]))).alias("_r")).select(*keys, "_r.*")
+    return rows.select(*keys, F.explode(emitting("rows", start, f"struct<`{order}`: {kind}, limited: double>", one)).alias("_r")).select(*keys, "_r.*")
 
 
 def trajectories(clips: DataFrame, samples: DataFrame, *, width: int, height: int, fps: float, cfg: TrackConfig) -> DataFrame:
