@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,12 @@ class PieceCodec:
         return self.sp.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
+@cache
+def _codec(model: str) -> PieceCodec:
+    """One for each worker."""
+    return PieceCodec(model)
+
+
 def marked_words(text: str) -> list[str]:
     return _CHUNK.findall((" " + text).replace(" ", MARK)) if text else []
 
@@ -152,7 +159,7 @@ def answered(words: DataFrame, model: str) -> DataFrame:
     """block, shard, ids and counts (of ids of each word): each distinct word of a shard is segmented once."""
 
     def run(group: pa.Table) -> pa.Table:
-        codec = PieceCodec(model)
+        codec = _codec(model)
         known = WordTable(lambda w: codec.segment(w.decode()), limit=1 << 62)
         ids, counts = [], []
         for blob, lengths in zip(group.column("words").to_pylist(), group.column("lengths").to_pylist(), strict=True):
@@ -164,8 +171,10 @@ def answered(words: DataFrame, model: str) -> DataFrame:
     return words.groupBy("shard").applyInArrow(run, "of long, shard long, ids binary, counts binary")
 
 
-def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD_BYTES) -> DataFrame:
-    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers."""
+def encode_pieces(
+    docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD_BYTES, decode: bool = False
+) -> DataFrame:
+    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers; with decode, also decoded, as decode_pieces() gives it, by the same worker."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     codec = PieceCodec(model)
@@ -178,7 +187,8 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
                 ids = pa.array((own.encode(x.as_py()) for x in batch.column("_text")), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("_key"), ids], names=[key, "ids"])
 
-        return rows.mapInArrow(whole, f"`{key}` {kind}, ids binary")
+        encoded = rows.mapInArrow(whole, f"`{key}` {kind}, ids binary")
+        return decode_pieces(encoded, model, key=key) if decode else encoded
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     held = durable(blocks_of(rows, kind, block, max(1, -(-size // shard))), "piece-blocks")
     answers = answered(held.where("shard >= 0").select("block", "shard", "words", "lengths"), model)
@@ -197,10 +207,15 @@ def encode_pieces(docs: DataFrame, model: str, *, key: str = "doc_id", text: str
         for stop in stops:
             out.append(b"".join((ends[0], *map(by_place.__getitem__, at[start:stop].tolist()), ends[1])))
             start = stop
-        return pa.table({key: own.column("keys").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())})
+        made = {key: own.column("keys").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())}
+        if decode:
+            del by_shard, by_place, at
+            reader = _codec(model)
+            made["decoded"] = pa.array(map(reader.decode, out), pa.string())
+        return pa.table(made)
 
     both = held.where("shard = -1").select("block", "keys", "sizes", "places", "lengths").groupBy("block").cogroup(answers.groupBy("of"))
-    return both.applyInArrow(run, f"`{key}` {kind}, ids binary")
+    return both.applyInArrow(run, f"`{key}` {kind}, ids binary{', decoded string' if decode else ''}")
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -222,8 +237,7 @@ def op6_sentencepiece(spark, sf_dir: str, model: str | None = None) -> DataFrame
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(table(spark, sf_dir, "documents"), model)
-    return decode_pieces(encoded, model).select(
+    return encode_pieces(table(spark, sf_dir, "documents"), model, decode=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
