@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import durable
+from tidemark.llm._common import discard, durable
 
 #: Bits of the broadcast key filter: 8 MB, whatever the number of keys.
 FILTER_BITS = 1 << 26
@@ -66,7 +66,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, now = now, durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -131,7 +132,9 @@ def linked(
     )
     rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
     rest = durable(rest.join(star, ["a", "b"], "left_anti"), f"{name}-rest")
-    return first.unionByName(durable(verified(rest), f"{name}-edges"))
+    more = durable(verified(rest), f"{name}-edges")
+    discard(keys, shared, star, open_, nodes, others, held, rest)
+    return first.unionByName(more)
 
 
 def _crossing(labelled: DataFrame) -> DataFrame:
