@@ -172,9 +172,13 @@ def answered(words: DataFrame, model: str) -> DataFrame:
 
 
 def encode_pieces(
-    docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD_BYTES, decode: bool = False
+    docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, shard: int = SHARD_BYTES, decode: bool = False, hold: bool = True
 ) -> DataFrame:
-    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers; with decode, also decoded, as decode_pieces() gives it, by the same worker."""
+    """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers; with decode, also decoded, as decode_pieces() gives it, by the same worker.
+
+    The blocks are used twice, and so written first. hold=False makes them twice instead, which takes less disk and more time; only for rows that
+    come in the same order each time they are computed, as those of files do.
+    """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     codec = PieceCodec(model)
@@ -190,7 +194,8 @@ def encode_pieces(
         encoded = rows.mapInArrow(whole, f"`{key}` {kind}, ids binary")
         return decode_pieces(encoded, model, key=key) if decode else encoded
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    held = durable(blocks_of(rows, kind, block, max(1, -(-size // shard))), "piece-blocks")
+    held = blocks_of(rows, kind, block, max(1, -(-size // shard)))
+    held = durable(held, "piece-blocks") if hold else held
     answers = answered(held.where("shard >= 0").select("block", "shard", "words", "lengths"), model)
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
@@ -237,7 +242,7 @@ def op6_sentencepiece(spark, sf_dir: str, model: str | None = None) -> DataFrame
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_pieces(table(spark, sf_dir, "documents"), model, decode=True).select(
+    return encode_pieces(table(spark, sf_dir, "documents"), model, decode=True, hold=False).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
