@@ -20,6 +20,7 @@ _MODULES = {
     "op8_toxicity": "toxicity",
     "op9_chat_format": "chat_template",
     "op10_quality_rules": "quality_rules",
+    "op11_wavelet_tokens": "wavelet",
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -64,7 +65,8 @@ t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM t WHERE k > 1) GROUP BY 1),
 ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM ln GROUP BY 1),
-c AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+c AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.lines, 0) AS n_lines FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 j AS (SELECT *, {BASE} AS base_failed, {_ANY_RULE} AS broken FROM c),
 h AS (SELECT source, count(*) AS n, {_each("count(*) FILTER ({rule}) AS {f}")} FROM j GROUP BY 1),
