@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL.
 
-SQL expresses op4 (all pairs, which suits small tables), op9 and op10; the others are tested against plain versions.
+SQL expresses op4 (all pairs, which suits small tables), op9, op10 and op13; the others are tested against plain versions.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ _MODULES = {
     "op9_chat_format": "chat_template",
     "op10_quality_rules": "quality_rules",
     "op11_wavelet_tokens": "wavelet",
+    "op12_whitening": "whitening",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -79,10 +81,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   NOT (base_failed OR host_verdict = 'rejected' OR (host_verdict = 'suspect' AND broken)) AS kept FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
+_TRIE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS ts FROM t GROUP BY 1),
+k AS (SELECT conv_id, ts, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)) AS crc FROM o),
+h AS (SELECT conv_id, ts, xor(crc, 4294967295::BIGINT) % 6 AS h FROM k),
+r AS (SELECT h.conv_id, list_concat(coalesce(o.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT conv_id, d, ts[1:d] AS p, len(ts) = d AS here FROM (SELECT conv_id, ts, unnest(generate_series(0, len(ts))) AS d FROM r)),
+g AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (here), '')) AS ends_sha256 FROM n GROUP BY 1, 2),
+c AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(g.p[d].text) END AS saved FROM g LEFT JOIN c ON c.p = g.p),
+s AS (SELECT p[1:a] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT p, saved, n_children, unnest(generate_series(0, d)) AS a FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s ON s.p = w.p LEFT JOIN g q ON w.d > 0 AND q.p = w.p[1:w.d - 1] AND q.d = w.d - 1
+"""
+
 
 def queries() -> dict:
     return {name: getattr(import_module(f"tidemark.llm.{module}"), name) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": _JACCARD, "op9_chat_format": _CHAT, "op10_quality_rules": _QUALITY}
+    return {"op4_ngram_jaccard": _JACCARD, "op9_chat_format": _CHAT, "op10_quality_rules": _QUALITY, "op13_prefix_trie": _TRIE}
