@@ -19,6 +19,7 @@ part, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -41,7 +42,9 @@ from tidemark.llm._common import shared_folder, table
 MAGIC = b"TIDEWM01"
 MANIFEST = "_manifest.json"
 #: Bits of a block of a plane, ids after which a shard ends, and pieces a worker remembers.
-BLOCK, SHARD, PIECES = 1 << 15, 1 << 22, 1_000_000
+BLOCK, SHARD, PIECES = 1 << 15, 1 << 22, 500_000
+#: Bytes of text that a worker encodes at once.
+TEXTS = 1 << 20
 #: Bytes of ids of a batch that the reader returns.
 BATCH = 1 << 22
 
@@ -93,6 +96,7 @@ class TextEncoder:
     def __init__(self, path: str, limit: int = PIECES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         made = json.loads(self.tokenizer.to_str())
         form = made.get("pre_tokenizer") or {}
@@ -104,22 +108,24 @@ class TextEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+    def _pieces(self, text: str) -> list[bytes] | None:
+        """None of a text that the library has to cut itself."""
         if not self.by_pieces or _OTHER.search(text) or (self.added and self.added.search(text)):
-            return self._ids([text])[0]
+            return None
         data = text.encode()
         ends = piece_ends(data).tolist()
-        pieces = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = [x for x in set(pieces) if x not in self.known]
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
-            return b"".join(map(self.known.__getitem__, pieces))
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. What isn't remembered is given to the library in one batch."""
+        cut = [self._pieces(t) for t in texts]
+        met = set().union(*filter(None, cut))
+        if len(self.known) + len(met) > self.limit:
+            self.known.clear()
+        new = list(met.difference(self.known))
+        known = self.known if len(met) <= self.limit else {}
+        known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
+        return [self._ids([t])[0] if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, cut, strict=True)]
 
 
 @cache
@@ -136,8 +142,14 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(tokenizer)
         for batch in batches:
-            ids = pa.array((coder.encode(x.as_py() or "") + last for x in batch.column(1)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            first, texts, size = 0, [], 0
+            for i, x in enumerate(batch.column(1), 1):
+                texts.append(x.as_py() or "")
+                size += len(texts[-1])
+                if size >= TEXTS or i == batch.num_rows:
+                    ids = pa.array((x + last for x in coder.encode(texts)), pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids], names=[key, "ids"])
+                    first, texts, size = i, [], 0
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids binary")
 
@@ -165,7 +177,7 @@ def matrix_bytes(ids: np.ndarray, documents: pa.Table, start: int, block: int =
             places[level, i] = at
             at += len(body[-1])
         places[level, count] = at
-        seq = np.concatenate([seq[~on], seq[on]])
+        seq = np.concatenate([np.compress(~on, seq), np.compress(on, seq)])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, documents.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(documents)
@@ -286,8 +298,8 @@ class WaveletFile:
             blocks = [self._bits_of(planes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             on = np.concatenate(blocks)[: self.n].astype(bool) if blocks else np.empty(0, dtype=bool)
             above, zeros = np.empty_like(ids), int(self.zeros[level])
-            above[~on] = ids[:zeros]
-            above[on] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~on)] = ids[:zeros]
+            above[np.flatnonzero(on)] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - level))
             ids = above
         return ids.astype("<u4")
 
