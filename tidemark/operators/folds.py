@@ -1,14 +1,19 @@
-"""Ordered folds of groups, in the JVM.
+"""Ordered folds of groups.
 
-A fold runs aggregate() over a group's rows sorted by time and ordinal. A group
+A fold runs aggregate() over a group's rows sorted by time and ordinal, in the JVM. A group
 is one recording (or one key of it), so its rows fit in a task: about 5,400
 samples for a match. What a fold emits is collected by segments, so its time follows the rows. Sorting never relies on arrival order.
+
+Folds that carry a single number (cooldown, dedup, slew limit) don't need the whole group: segmented() deals a key's rows to segments, finds
+what each segment does to any number that enters it, and folds all segments at the same time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,21 +56,103 @@ def emitting(rows: Column | str, start: Column, kind: str, step: Callable[[Colum
     return F.aggregate(segments, F.struct(start.alias("state"), none.alias("full")), segment, lambda a: F.flatten(a["full"]))
 
 
-def spaced(df: DataFrame, keys: list[str], order: list[str], at: str, gap: float, *, strict: bool, carry: list[str]) -> DataFrame:
+def _fitting(gap: float, strict: bool) -> Callable:
+    return (lambda apart: apart > gap) if strict else (lambda apart: apart >= gap)
+
+
+def kept_function(at: np.ndarray, gap: float, strict: bool) -> list[tuple[float, float]]:
+    """What a segment does to the time kept before it, as (time, last time kept): the first time that fits decides.
+
+    Only rows that no row before them exceeds can be kept, so these are sorted. The row kept after each is found by binary
+    search, and the last of each chain by pointer doubling; chains that end alike are one entry.
+    """
+    at = at[~np.isnan(at)]
+    if not len(at):
+        return []
+    at = at[at >= np.maximum.accumulate(at)]
+    fits, n = _fitting(gap, strict), len(at)
+    follows = np.searchsorted(at, at + gap, side="right" if strict else "left")
+    while (early := (follows > 0) & fits(at[np.maximum(follows - 1, 0)] - at) & (follows - 1 > np.arange(n))).any():
+        follows[early] -= 1
+    follows = np.maximum(follows, np.arange(n) + 1)
+    while (late := (follows < n) & ~fits(at[np.minimum(follows, n - 1)] - at)).any():
+        follows[late] += 1
+    ends = np.where(follows < n, follows, np.arange(n))
+    while (ends[ends] != ends).any():
+        ends = ends[ends]
+    last = np.append(ends[1:] != ends[:-1], True)
+    return list(zip(at[last].tolist(), at[ends[last]].tolist(), strict=True))
+
+
+def spaced(
+    df: DataFrame, keys: list[str], order: list[str], at: str, gap: float, *, strict: bool, carry: list[str], segment: Column | None = None
+) -> DataFrame:
     """Rows that are at least gap (more than gap if strict) after the row kept before them, by key.
 
-    A row earlier than the one kept before it isn't kept either.
+    A row earlier than the one kept before it isn't kept either, nor is one without a time. segment: see segmented().
     """
-    rows = ordered_rows(df, keys, order, [at, *carry])
-    start = F.struct(F.lit(None).cast("double").alias("last"))
+    fits = _fitting(gap, strict)
 
-    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
-        apart = row[at].cast("double") - state["last"]
-        kept = state["last"].isNull() | ((apart > gap) if strict else (apart >= gap))
-        return F.struct(F.when(kept, row[at].cast("double")).otherwise(state["last"]).alias("last")), kept, row
+    @F.pandas_udf("array<struct<at: double, last: double>>")
+    def function(rows: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": a, "last": b} for a, b in kept_function(np.array(x, dtype=float), gap, strict)] for x in rows])
+
+    def leaves(last: Column, done: Column) -> Column:
+        fitting = F.filter(done, lambda k: last.isNull() | fits(k["at"] - last))
+        return F.coalesce(F.get(fitting, F.lit(0))["last"], last)
 
-    picked = rows.select(*keys, F.explode(emitting("rows", start, _element(rows), step)).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}") for c in dict.fromkeys([*order, at, *carry])])
+    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
+        time = row[at].cast("double")
+        kept = time.isNotNull() & (state["last"].isNull() | fits(time - state["last"]))
+        return F.struct(F.when(kept, time).otherwise(state["last"]).alias("last")), kept, row
+
+    segment = F.floor(F.col(order[0]) / max(_WIDTH, 64 * gap)) if segment is None else segment
+    fields = list(dict.fromkeys([*order, at, *carry]))
+    return segmented(df, keys, order, fields, segment.cast("bigint"), lambda rows: function(F.transform(rows, lambda r: r[at].cast("double"))), leaves, step)
+
+
+#: Units of the first order column in a segment, unless the caller knows better.
+_WIDTH = 4096.0
+
+
+def segmented(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    segment: Column,
+    function: Callable[[Column], Column],
+    leaves: Callable[[Column, Column], Column],
+    step: Callable[[Column, Column], tuple[Column, Column, Column]],
+    kind: str | None = None,
+) -> DataFrame:
+    """keys and the rows that a fold of one double ("last", null at first) emits, in parallel over segments of a key.
+
+    segment grows with order, so rows of a key are dealt to groups of bounded size. function(rows) says, for a whole segment, what becomes of any
+    number that enters it; leaves(number, function) applies it. One small fold by key runs over these functions, which gives each
+    segment the number that enters it, and then all segments are folded by step at the same time. Both uses of the segments
+    share one shuffle, by key and segment; a key's rows never stand in one array.
+    """
+    keyed = df.withColumn("_key", F.struct(*keys, segment.alias("_segment")))  # a struct, so that null keys meet as well
+    rows = ordered_rows(keyed, ["_key"], order, columns)
+    kind = kind or _element(rows)
+    own = [F.col(f"_key.{k}").alias(k) for k in keys]
+    done = rows.select(F.struct(*own).alias("_group"), F.struct("_key._segment", function(F.col("rows")).alias("_f")).alias("_d"))
+    listed = done.groupBy("_group").agg(F.array_sort(F.collect_list("_d")).alias("rows"))
+
+    def enter(state: Column, row: Column) -> tuple[Column, Column, Column]:
+        shown = F.struct(row["_segment"].alias("_segment"), state["last"].alias("_last"))
+        return F.struct(leaves(state["last"], row["_f"]).alias("last")), F.lit(True), shown
+
+    nothing = F.struct(F.lit(None).cast("double").alias("last"))
+    entries = listed.select("_group", F.explode(emitting("rows", nothing, "struct<_segment: bigint, _last: double>", enter)).alias("_e"))
+    entered = entries.select(F.struct(*[F.col(f"_group.{k}").alias(k) for k in keys], F.col("_e._segment").alias("_segment")).alias("_key"), "_e._last")
+    made = rows.join(entered, "_key").select(*own, F.explode(emitting("rows", F.struct(F.col("_last").alias("last")), kind, step)).alias("_r"))
+    return made.select(*keys, *[F.col(f"_r.{c}") for c in _names(made, keys)])
+
+
+def _names(made: DataFrame, keys: list[str]) -> list[str]:
+    return [f.name for f in made.schema["_r"].dataType.fields if f.name not in keys]
 
 
 def _element(rows: DataFrame) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TrackConfig
 from tidemark.functions.scalars import clamp, half_up, smoothstep, upper_median_of
-from tidemark.operators.folds import emitting, ordered_rows
+from tidemark.operators.folds import segmented
 
 
 def tolerance(sample_fps: float) -> float:
@@ -64,18 +67,61 @@ def smoothed(frames: DataFrame, keys: list[str], *, value: str, radius: int, ord
     return frames.withColumn(out, F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-radius, radius)))
 
 
-def slew_limited(frames: DataFrame, keys: list[str], *, value: str, step: float, order: str = "frame") -> DataFrame:
-    """keys, order and limited: each value at most step from the limited one before it."""
-    rows = ordered_rows(frames, keys, [order], [value])
+def slew_function(values: list[float | None], step: float) -> dict:
+    """What a segment does to the limited value before it.
+
+    A value moves the one before it toward itself by at most step, which is a continuous function of slopes 1, 0 and 1; so the segment's is piecewise
+    linear, of slopes 0 and 1, and is kept as its knots (x, y). Each value flattens what lies within step of it to one piece. After a missing
+    value nothing is left of the one before: then the knots are null, and last is what leaves. first: the value that starts a key.
+    """
+    xs: list[float] = []
+    ys: list[float] = []
+    fixed, last = False, None
+    for v in values:
+        if v is None or v != v:
+            fixed, last = True, None
+        elif fixed:
+            last = v if last is None else last + max(-step, min(step, v - last))
+        elif not xs:
+            xs, ys = [v - step, v + step], [v, v]
+        else:
+            low, high = v - step, v + step
+            i, j = bisect_left(ys, low), bisect_right(ys, high)
+            at = [_crossing(xs, ys, i, low), _crossing(xs, ys, j, high)]
+            xs, ys = [*xs[:i], *at, *xs[j:]], [*(y + step for y in ys[:i]), v, v, *(y - step for y in ys[j:])]
+    return {"first": values[0] if values else None, "fixed": fixed, "last": last, "x": None if fixed else xs, "y": None if fixed else ys}
+
+
+def _crossing(xs: list[float], ys: list[float], i: int, level: float) -> float:
+    """The x where the function reaches a level that lies between knots i - 1 and i."""
+    return xs[i - 1] + (level - ys[i - 1]) if i else xs[0] - (ys[0] - level)
+
+
+def slew_limited(frames: DataFrame, keys: list[str], *, value: str, step: float, order: str = "frame", segment: Column | None = None) -> DataFrame:
+    """keys, order and limited: each value at most step from the limited one before it; none of a missing value, after which the next starts anew. segment: see folds.segmented(); 4096 frames by default."""
     kind = frames.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"))
+    function_kind = "struct<first: double, fixed: boolean, last: double, x: array<double>, y: array<double>>"
+
+    @F.pandas_udf(function_kind)
+    def function(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([slew_function([None if v is None or v != v else float(v) for v in x], step) for x in rows], columns=["first", "fixed", "last", "x", "y"])
+
+    def leaves(last: Column, done: Column) -> Column:
+        x = F.coalesce(last, done["first"])
+        below = F.size(F.filter(done["x"], lambda k: k <= x))
+        at = lambda c, i: F.get(done[c], i)
+        risen = at("y", below - 1) + (x - at("x", below - 1))
+        inside = F.when(below == 0, at("y", F.lit(0)) - (at("x", F.lit(0)) - x)).when(below == F.size(done["x"]), risen).otherwise(F.least(risen, at("y", below)))
+        return F.when(done["fixed"], done["last"]).otherwise(inside)
 
     def one(state: Column, row: Column) -> tuple[Column, Column, Column]:
         v = row[value].cast("double")
-        x = F.coalesce(state["last"] + clamp(v - state["last"], -step, step), v)
+        x = F.when(v.isNotNull(), F.coalesce(state["last"] + clamp(v - state["last"], -step, step), v))
         return F.struct(x.alias("last")), F.lit(True), F.struct(row[order].alias(order), x.alias("limited"))
 
-    return rows.select(*keys, F.explode(emitting("rows", start, f"struct<`{order}`: {kind}, limited: double>", one)).alias("_r")).select(*keys, "_r.*")
+    segment = F.floor(F.col(order) / 4096) if segment is None else segment
+    values = lambda rows: function(F.transform(rows, lambda r: r[value].cast("double")))
+    return segmented(frames, keys, [order], [value], segment.cast("bigint"), values, leaves, one, f"struct<`{order}`: {kind}, limited: double>")
 
 
 def trajectories(clips: DataFrame, samples: DataFrame, *, width: int, height: int, fps: float, cfg: TrackConfig) -> DataFrame:

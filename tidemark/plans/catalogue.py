@@ -305,7 +305,7 @@ def q_hold(spark, sf_dir):
 def q_slew(spark, sf_dir):
     """Each user's values at most 10 from the limited one before."""
     rows = events(spark, sf_dir).withColumn("frame", F.struct("t", "event_id"))
-    out = trajectory.slew_limited(rows, ["user_id"], value="value", step=10.0)
+    out = trajectory.slew_limited(rows, ["user_id"], value="value", step=10.0, segment=F.floor(F.col("t") / _DAY))
     return out.select(F.col("frame.event_id").alias("event_id"), F.round("limited", 4).alias("limited"))
 
 
