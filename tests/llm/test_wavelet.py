@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm.wavelet import TextEncoder, WaveletFile, matrix_bytes, occurrences, op11_wavelet_tokens, read_tokens, token_counts, write_tokens
+from tidemark.llm.wavelet import TextEncoder, WaveletFile, WaveletSource, encode_texts, matrix_bytes, occurrences, op11_wavelet_tokens, read_tokens, token_counts, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN, CODER = Tokenizer.from_file(PATH), TextEncoder(PATH)
@@ -92,6 +92,14 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
         write_tokens(docs, PATH, path)
 
 
+def test_ids_that_are_given_are_written_as_they_are(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one")], "name string, text string").orderBy("name")
+    spark.dataSource.register(WaveletSource)
+    encode_texts(docs, PATH, key="name", end=None).write.format("wavelet").mode("append").save(f"{tmp_path}/given")
+    found = {r["name"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in read_tokens(spark, f"{tmp_path}/given").collect()}
+    assert found == {"a": plain_ids("one"), "b": plain_ids("two words")}
+
+
 def test_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     write_tokens(docs, PATH, str(tmp_path / "none"))

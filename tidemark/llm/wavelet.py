@@ -60,8 +60,8 @@ _CLASS[48:58] = _DIGIT
 _CLASS[[*range(9, 14), 32]] = _SPACE
 
 
-def piece_ends(data: bytes) -> np.ndarray:
-    """Where the pieces of a UTF-8 text end that byte-level BPE never merges across.
+def pieces_of(data: bytes) -> list[bytes]:
+    """The pieces of a UTF-8 text that byte-level BPE never merges across.
 
     A piece is a run of letters, digits or signs with the single space before it, or white space; the white space before a run keeps
     its last character apart; the endings 's 't 'm 'd 're 've 'll are pieces where an apostrophe begins one. For texts without characters of _OTHER.
@@ -69,15 +69,15 @@ def piece_ends(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, dtype=np.uint8)
     n = len(b)
     if not n:
-        return np.empty(0, dtype=np.int64)
+        return []
     kind = _CLASS[b]
     space = kind == _SPACE
     cut = np.zeros(n + 1, dtype=bool)  # a piece begins here
-    cut[0] = cut[n] = True
     cut[1:n] = kind[1:] != kind[:-1]
     before_run = np.flatnonzero(space[:-1] & ~space[1:])  # the last white space before a run
     cut[before_run] = True
     cut[before_run[b[before_run] == 32] + 1] = False
+    cut[0] = True
     mark = np.flatnonzero(b[:-1] == 39)
     mark = mark[(kind[mark + 1] == _LETTER) & cut[mark]]
     if len(mark):
@@ -87,7 +87,10 @@ def piece_ends(data: bytes) -> np.ndarray:
         cut[mark[short | pair] + 1] = False
         cut[mark[short] + 2] = True
         cut[mark[pair] + 3] = True
-    return np.flatnonzero(cut)[1:]
+    cut[0] = False
+    apart = np.zeros(n + int(np.count_nonzero(cut[:n])), dtype=np.uint8)  # a zero, which no text here has, before each piece but the first
+    apart[np.arange(n) + np.cumsum(cut[:n])] = b
+    return apart.tobytes().split(b"\0")
 
 
 class TextEncoder:
@@ -108,24 +111,28 @@ class TextEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[bytes] | None:
-        """None of a text that the library has to cut itself."""
-        if not self.by_pieces or _OTHER.search(text) or (self.added and self.added.search(text)):
-            return None
-        data = text.encode()
-        ends = piece_ends(data).tolist()
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. What isn't remembered is given to the library in one batch."""
-        cut = [self._pieces(t) for t in texts]
-        met = set().union(*filter(None, cut))
-        if len(self.known) + len(met) > self.limit:
-            self.known.clear()
-        new = list(met.difference(self.known))
-        known = self.known if len(met) <= self.limit else {}
-        known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
-        return [self._ids([t])[0] if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, cut, strict=True)]
+        if len(self.known) > self.limit:
+            self.known = {}
+        found: list[list[bytes | None]] = []
+        gaps: list[tuple[int, int, bytes]] = []
+        for text in texts:
+            if not self.by_pieces or _OTHER.search(text) or (self.added and self.added.search(text)):
+                found.append(self._ids([text]))
+                continue
+            pieces = pieces_of(text.encode())
+            ids = list(map(self.known.get, pieces))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((len(found), at, pieces[at]))
+            found.append(ids)
+        new = list({piece for *_, piece in gaps})
+        self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
+        for text, at, piece in gaps:
+            found[text][at] = self.known[piece]
+        return [b"".join(ids) for ids in found]
 
 
 @cache
@@ -134,24 +141,33 @@ def _encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int | None) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and ids of batches of (key, text), some bytes of text at a time; each text's ids end with the end id."""
+    coder, last = _encoder(tokenizer), b"" if end is None else np.array([end], dtype="<u4").tobytes()
+    for batch in batches:
+        first, texts, size = 0, [], 0
+        for i, x in enumerate(batch.column(1), 1):
+            texts.append(x.as_py() or "")
+            size += len(texts[-1])
+            if size >= TEXTS or i == batch.num_rows:
+                yield batch.column(0).slice(first, len(texts)), [x + last for x in coder.encode(texts)]
+                first, texts, size = i, [], 0
+
+
+def given_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and ids of batches of (key, ids)."""
+    for batch in batches:
+        yield batch.column(0), [x.as_py() or b"" for x in batch.column(1)]
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int | None = 0) -> DataFrame:
     """key and ids (binary, little-endian unsigned 32-bit integers): the ids of the whole text, then the end id."""
-    kind = docs.schema[key].dataType.simpleString()
-    last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(tokenizer)
-        for batch in batches:
-            first, texts, size = 0, [], 0
-            for i, x in enumerate(batch.column(1), 1):
-                texts.append(x.as_py() or "")
-                size += len(texts[-1])
-                if size >= TEXTS or i == batch.num_rows:
-                    ids = pa.array((x + last for x in coder.encode(texts)), pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids], names=[key, "ids"])
-                    first, texts, size = i, [], 0
+        for keys, ids in encoded(batches, tokenizer, end):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], names=[key, "ids"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 # ---- ids to a file and back
@@ -325,10 +341,10 @@ class Written(WriterCommitMessage):
 
 
 class WaveletWriter(DataSourceArrowWriter):
-    """Each task writes its rows, as they come, to files of its own attempt."""
+    """Each task writes its rows, as they come, to files of its own attempt. Texts are encoded here, so that ids need not travel."""
 
-    def __init__(self, path: str, key: str, kind: str, shard: int, overwrite: bool):
-        self.path, self.key, self.kind, self.shard = path, key, kind, shard
+    def __init__(self, path: str, key: str, kind: str, overwrite: bool, shard: int, tokenizer: str | None, end: int | None):
+        self.path, self.key, self.kind, self.shard, self.tokenizer, self.end = path, key, kind, shard, tokenizer, end
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
         if not overwrite and store.get_file_info(f"{folder}/{MANIFEST}").type != fs.FileType.NotFound:
@@ -347,17 +363,17 @@ class WaveletWriter(DataSourceArrowWriter):
                 out.write(made)
             done.shards, done.documents, done.tokens = done.shards + 1, done.documents + len(ids), done.tokens + held
 
-        for batch in iterator:
+        for part_keys, part_ids in encoded(iterator, self.tokenizer, self.end) if self.tokenizer else given_ids(iterator):
             begun = 0
-            for i, x in enumerate(batch.column(1)):
-                ids.append(x.as_py() or b"")
-                held += len(ids[-1]) // 4
+            for i, x in enumerate(part_ids):
+                ids.append(x)
+                held += len(x) // 4
                 if held >= self.shard:
-                    keys.append(batch.column(0).slice(begun, i + 1 - begun))
+                    keys.append(part_keys.slice(begun, i + 1 - begun))
                     close()
                     keys, ids, held, begun = [], [], 0, i + 1
-            if begun < batch.num_rows:
-                keys.append(batch.column(0).slice(begun))
+            if begun < len(part_ids):
+                keys.append(part_keys.slice(begun))
         if ids:
             close()
         return done
@@ -425,7 +441,7 @@ class WaveletReader(DataSourceReader):
 
 
 class WaveletSource(DataSource):
-    """Format "wavelet": writes (key, ids) as they are ordered; reads key, start, n_tokens and ids."""
+    """Format "wavelet": writes (key, ids), or with a tokenizer (key, text), as they are ordered; reads key, start, n_tokens and ids."""
 
     @classmethod
     def name(cls) -> str:
@@ -440,7 +456,10 @@ class WaveletSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> WaveletWriter:
         first = schema.fields[0]
-        return WaveletWriter(self.options["path"], first.name, first.dataType.simpleString(), int(self.options.get("shard", SHARD)), overwrite)
+        end = self.options.get("end")
+        return WaveletWriter(
+            self.options["path"], first.name, first.dataType.simpleString(), overwrite, int(self.options.get("shard", SHARD)), self.options.get("tokenizer"), None if end is None else int(end)
+        )
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, key: str = "doc_id", text: str = "text", end: int | None = 0, shard: int = SHARD) -> None:
@@ -452,7 +471,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, key: str = "doc_
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     order = [F.col("_key").asc_nulls_first(), F.xxhash64("_text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).toDF(key, "_text")
-    encode_texts(ordered, tokenizer, key=key, text="_text", end=end).write.format("wavelet").option("shard", shard).mode("append").save(path)
+    options = {"shard": shard, "tokenizer": tokenizer} | ({} if end is None else {"end": end})
+    ordered.write.format("wavelet").options(**options).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
