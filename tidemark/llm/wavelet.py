@@ -42,7 +42,7 @@ from tidemark.llm._common import shared_folder, table
 MAGIC = b"TIDEWM01"
 MANIFEST = "_manifest.json"
 #: Bits of a block of a plane, ids after which a shard ends, and pieces a worker remembers.
-BLOCK, SHARD, PIECES = 1 << 15, 1 << 22, 500_000
+BLOCK, SHARD, PIECES = 1 << 15, 1 << 22, 1_200_000
 #: Bytes of text that a worker encodes at once.
 TEXTS = 1 << 20
 #: Bytes of ids of a batch that the reader returns.
