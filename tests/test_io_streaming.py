@@ -1,5 +1,6 @@
 """Sources, sinks and the streaming forms."""
 
+import io
 import struct
 
 import pytest
@@ -10,6 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import audio, folds, scoreboard
 from tidemark.plans import catalogue
 from tidemark.sources import media as M
+from tidemark.sources.pcm import data_chunk
 from tidemark.streaming import stateful
 
 
@@ -26,7 +28,7 @@ def test_wav(spark, tmp_path):
     assert [r.sample_offset for r in got] == [0, 4, 8] and [x for r in got for x in r.samples] == list(range(10))
     for bad in (b"", b"RIFF0000WAVE", b"x" * 50):
         with pytest.raises(ValueError):
-            M.pcm_of_wav(bad)
+            data_chunk(io.BytesIO(bad), len(bad))
 
 
 def test_truth_and_listing(spark, tmp_path):

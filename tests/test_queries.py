@@ -5,10 +5,10 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import folds
-from tidemark.plans import catalogue, catalogue_more  # noqa: F401
+from tidemark.plans import catalogue, catalogue_more, catalogue_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["customer", "orders", "lineitem", "events", "embeddings"]
+TABLES = ["customer", "orders", "lineitem", "events", "embeddings", "documents"]
 
 
 @pytest.fixture(scope="module")

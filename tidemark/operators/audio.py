@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,14 @@ from tidemark.functions.scalars import decibels
 from tidemark.operators.folds import spaced
 
 
+def window_sums(offset: int, samples: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window, samples, sum of squares and peak of every window of n samples that a chunk meets."""
+    first = offset // n
+    starts = np.maximum(np.arange(first, (offset + len(samples) - 1) // n + 1) * n - offset, 0)
+    wide = samples.astype(np.int64)
+    return np.arange(first, first + len(starts)), np.diff(starts, append=len(samples)), np.add.reduceat(wide * wide, starts), np.maximum.reduceat(np.abs(wide), starts)
+
+
 def windows_of_chunks(chunks: DataFrame, cfg: AudioConfig) -> DataFrame:
     """media_id, w, t, rms, rms_db, peak_db of whole windows; a trailing part of one is dropped.
 
@@ -17,19 +29,18 @@ def windows_of_chunks(chunks: DataFrame, cfg: AudioConfig) -> DataFrame:
     samples are added up inside their chunk, and only (window, n, sum) rows are shuffled.
     """
     n = cfg.window_samples
-    first = F.floor(F.col("sample_offset") / n)
-    last = F.floor((F.col("sample_offset") + F.size("samples") - 1) / n)
-    parts = (
-        chunks.where(F.size("samples") > 0)
-        .select("media_id", "sample_offset", "samples", F.explode(F.sequence(first, last)).alias("w"))
-        .withColumn("_from", F.greatest(F.lit(0), F.col("w") * n - F.col("sample_offset")))
-        .withColumn("_to", F.least(F.size("samples"), (F.col("w") + 1) * n - F.col("sample_offset")))
-        .withColumn("_s", F.slice("samples", (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")))
-    )
-    square = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    peak = F.array_max(F.transform("_s", lambda x: F.abs(x.cast("int"))))
+    kind = chunks.schema["media_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for media, offset, samples in zip(*batch.columns, strict=True):
+                w, count, square, peak = window_sums(offset.as_py(), samples.values.to_numpy(zero_copy_only=False), n)
+                yield pa.RecordBatch.from_arrays([pa.array([media.as_py()] * len(w), batch.column(0).type), *map(pa.array, (w, count, square, peak))], names=["media_id", "w", "n", "sq", "peak"])
+
     sums = (
-        parts.select("media_id", "w", F.size("_s").alias("n"), square.alias("sq"), peak.alias("peak"))
+        chunks.where(F.size("samples") > 0)
+        .select("media_id", "sample_offset", F.col("samples").cast("array<smallint>").alias("samples"))
+        .mapInArrow(run, f"media_id {kind}, w bigint, n bigint, sq bigint, peak bigint")
         .groupBy("media_id", "w")
         .agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"), F.max("peak").alias("peak"))
         .where(F.col("n") == n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import upper_median_of
 from tidemark.operators.ranges import range_join
+from tidemark.operators.ranks import order_statistic
 
 
 def matched(detected: DataFrame, truth: DataFrame, *, keys: list[str], within: float, detected_order: list[str], truth_order: list[str], at: str = "t") -> DataFrame:
@@ -108,13 +109,13 @@ def summary(matches: DataFrame, truth: DataFrame, extra: DataFrame, *, keys: lis
     extra: keys, duplicates, clip_covered and vertical_ok of each recording; ratios over nothing are 0.
     """
     per = accuracy(matches, truth, keys=keys, at=at).join(extra, keys, "left").fillna(0)
-    error = matches.where("matched").agg(upper_median_of(f"abs({at} - truth_t)").alias("median"))
+    error = order_statistic(matches.where("matched"), [], F.abs(F.col(at) - F.col("truth_t")), out="median")
     sums = per.agg(F.count("*").alias("videos"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_detected", "n_matched", "n_truth", "duplicates", "clip_covered", "vertical_ok")])
 
     def share(part: str, whole: str):
         return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
-    flat = sums.crossJoin(error).select(  # one row by one row
+    flat = sums.join(error, F.lit(True), "left").select(  # one row by one row at most
         "videos", share("n_matched", "n_truth").alias("goal_recall"), share("n_matched", "n_detected").alias("goal_precision"), share("duplicates", "n_detected").alias("duplicate_rate"),
         F.coalesce("median", F.lit(0.0)).alias("median_timestamp_error_seconds"), share("clip_covered", "n_matched").alias("clip_coverage"), share("vertical_ok", "n_matched").alias("vertical_coverage"),
     )

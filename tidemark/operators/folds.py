@@ -10,7 +10,7 @@ what each segment does to any number that enters it, and folds all segments at t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,6 +56,32 @@ def emitting(rows: Column | str, start: Column, kind: str, step: Callable[[Colum
     return F.aggregate(segments, F.struct(start.alias("state"), none.alias("full")), segment, lambda a: F.flatten(a["full"]))
 
 
+def scanned(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], output: str) -> DataFrame:
+    """keys and what step(state, columns of a row) gives beside the next state, for every row in order.
+
+    A key's rows come sorted to one task and stream through it: only the state is held, however long the key is. output: the fields of what step gives.
+    """
+    names = [f.split()[0] for f in output.split(", ")]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    own, sort = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, start
+        for part in parts:
+            given = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in [*own, *(f"_c{i}" for i in range(len(columns)))]]
+            out = []
+            for row in zip(*given, strict=True):
+                key = row[: len(keys)]
+                if key != now:
+                    now, state = key, start
+                state, made = step(state, row[len(keys) :])
+                out.append((*key, *made))
+            yield pd.DataFrame(out, columns=[*keys, *names])
+
+    return rows.repartition(*own).sortWithinPartitions(*own, *sort).drop(*sort).mapInPandas(run, f"{kinds}, {output}")
+
+
 def _fitting(gap: float, strict: bool) -> Callable:
     return (lambda apart: apart > gap) if strict else (lambda apart: apart >= gap)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import read_score, score, score_only
+from tidemark.operators.folds import scanned
 from tidemark.operators.tracking import paired_numbers
 
 
@@ -69,3 +70,32 @@ def regions(videos: DataFrame, truth: DataFrame, default: str | None = None) ->
     region = F.coalesce("region", F.lit(default).cast("string"))
     checked = F.when(region.isNull(), F.raise_error(F.concat(F.lit("no region for "), "media_id")).cast("string")).otherwise(region)
     return both.select("media_id", F.when(F.col("_known"), checked).alias("region"), F.when(F.col("_known").isNull(), F.concat(F.lit("skipped "), "media_id", F.lit(": no truth"))).alias("warning"))
+
+
+def calibrated(frames: DataFrame, keys: list[str], order: list[str], *, carry: list[str], expires: int = 600, retry: int = 10) -> DataFrame:
+    """keys, carry and use ('crop' or 'layout'), ok, score, confidence: which of two readings of a frame counts.
+
+    frames: crop_ok, crop_score, crop_confidence of reading only where the score was last found, and layout_ok, layout_score, layout_confidence, layout_crops of
+    searching the whole region; layout_crops is how many places that search found (1 or 2 can be read alone). A search that finds them calibrates; then crops
+    are read until `expires` good readings, after which the region is searched again. A crop that can't be read stands as a failed reading, but
+    the first of every `retry` failures in a row searches. A failed search keeps the old places, a good one that finds none forgets them.
+    """
+    columns = ["crop_ok", "crop_score", "crop_confidence", "layout_ok", "layout_score", "layout_confidence", "layout_crops", *carry]
+    fields = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    output = ", ".join([*(f"{c} {fields[c]}" for c in carry), "use string", "ok boolean", f"score {fields['layout_score']}", "confidence double"])
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        places, reads, failures = state
+        crop_ok, crop_score, crop_confidence, layout_ok, layout_score, layout_confidence, found, *rest = row
+        if places in (1, 2) and reads < expires:
+            if crop_ok:
+                return (places, reads + 1, 0), (*rest, "crop", True, crop_score, crop_confidence)
+            failures += 1
+            if failures % retry != 1 % retry:
+                return (places, reads, failures), (*rest, "crop", False, None, 0.0)
+        if not layout_ok:
+            return (places, 0 if places else reads, failures), (*rest, "layout", False, None, layout_confidence)
+        state = (found, 0, 0) if found in (1, 2) else (0, reads, failures)
+        return state, (*rest, "layout", True, layout_score, layout_confidence)
+
+    return scanned(frames, keys, order, columns, (0, 0, 0), step, output)

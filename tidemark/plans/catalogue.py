@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AudioConfig, ClipConfig, EventConfig, ScoreConfig
 from tidemark.functions import scalars as S
-from tidemark.operators import audio, evaluate, folds, scoreboard, signals, tracking, trajectory
+from tidemark.operators import audio, evaluate, folds, ranks, scoreboard, signals, tracking, trajectory
 from tidemark.plans.detection import detect
 from tidemark.sources.media import synthetic_match
 
@@ -350,7 +350,7 @@ def q_totals(spark, sf_dir):
 
 @query("SELECT event_type, v[len(v) // 2 + 1] AS upper_median FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1)")
 def q_upper_median(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(S.upper_median_of("value").alias("upper_median"))
+    return ranks.order_statistic(events(spark, sf_dir), ["event_type"], "value", out="upper_median")
 
 
 @query("SELECT cast(user_id AS VARCHAR) AS user_id, coalesce(event_type, 'unknown') AS value, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,48 +5,20 @@ Decoding of video, text recognition and object detection stay outside: their row
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import frame_rate, media_clock
+from tidemark.operators.attempts import checked
 from tidemark.schemas import TABLES
+from tidemark.sources.pcm import CHUNK, read_pcm
 
-#: Samples of a chunk: a minute at 16 kHz.
-CHUNK = 960_000
 VIDEO = r"(?i)\.(mp4|mkv|mov)$"
 
 
-def pcm_of_wav(content: bytes) -> np.ndarray:
-    """16-bit samples of the first data chunk; chunks are padded to even lengths. Raises ValueError for other files."""
-    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    at = 12
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        body = content[at + 8 : at + 8 + size]
-        if name == b"data":
-            return np.frombuffer(body[: len(body) // 2 * 2], dtype="<i2")
-        at += 8 + size + size % 2
-    raise ValueError("a WAV file without data")
-
-
 def read_wav(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFrame:
-    """pcm_chunks of WAV files: a task reads a file at a time and yields its chunks."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                samples = pcm_of_wav(content)
-                for i, start in enumerate(range(0, len(samples), chunk)):
-                    yield pd.DataFrame({"media_id": [name], "chunk_idx": [i], "sample_offset": [start], "samples": [samples[start : start + chunk]]})
-
-    return files.mapInPandas(run, TABLES["pcm_chunks"])
+    """pcm_chunks of WAV files; a bad file is an error of the run. sources.pcm has other ways."""
+    return read_pcm(spark, path, chunk=chunk, mode="FAILFAST").select("media_id", "chunk_idx", "sample_offset", "samples")
 
 
 def list_videos(spark: SparkSession, path: str) -> DataFrame:
@@ -54,30 +26,51 @@ def list_videos(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(VIDEO)).select("path").orderBy("path")
 
 
-def probed(rows: DataFrame, json: str = "probe") -> DataFrame:
-    """media rows out of a prober's JSON (a column of text): the first video and audio stream; an error for a file without video or duration."""
+def probe_attempts(rows: DataFrame, json: str = "probe") -> DataFrame:
+    """rows with ok, error and result: a media row out of a prober's JSON (a column of text), of the first video and audio stream.
+
+    Text that is no JSON, a file without a video stream and one without a duration are errors.
+    """
     kind = "struct<format: struct<duration: string, format_name: string>, streams: array<struct<codec_type: string, codec_name: string, width: int, height: int, r_frame_rate: string>>>"
     p = F.from_json(json, kind)
     first = lambda name: F.get(F.filter(p["streams"], lambda s: s["codec_type"] == name), F.lit(0))
     video, audio, duration = first("video"), first("audio"), p["format"]["duration"].try_cast("double")
-    bad = F.when(video.isNull(), "no video stream").when(F.coalesce(duration, F.lit(0.0)) <= 0, "no duration")
-    checked = F.when(bad.isNotNull(), F.raise_error(F.concat_ws(": ", "path", bad)).cast("double")).otherwise(duration)
-    return rows.select(
-        F.col("path").alias("media_id"), "path", p["format"]["format_name"].alias("container"), checked.alias("duration_s"), video["width"].alias("width"),
+    unread = F.try_parse_json(json).isNull()
+    bad = F.when(unread, "not JSON").when(video.isNull(), "no video stream").when(F.coalesce(duration, F.lit(0.0)) <= 0, "no duration")
+    media = F.struct(
+        F.col("path").alias("media_id"), "path", p["format"]["format_name"].alias("container"), duration.alias("duration_s"), video["width"].alias("width"),
         video["height"].alias("height"), frame_rate(video["r_frame_rate"]).alias("fps"), video["codec_name"].alias("video_codec"), audio["codec_name"].alias("audio_codec"),
         video.isNotNull().alias("has_video"), audio.isNotNull().alias("has_audio"),
     )
+    return checked(rows, bad, media)
+
+
+def probed(rows: DataFrame, json: str = "probe") -> DataFrame:
+    """media rows out of a prober's JSON; one bad file is an error of the run. probe_attempts() keeps it as a row."""
+    found = probe_attempts(rows, json)
+    wrong = F.raise_error(F.concat_ws(": ", "path", "error")).cast(found.schema["result"].dataType)
+    return found.select(F.when(F.col("ok"), F.col("result")).otherwise(wrong).alias("r")).select("r.*")
+
+
+_TRUTH = "video string, duration_seconds double, roi struct<x: int, y: int, width: int, height: int>, events array<struct<type: string, timestamp: double, scoreboard_update: double, score_after: string>>"
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """truth rows of annotation files."""
-    kind = "video string, duration_seconds double, events array<struct<type: string, timestamp: double, scoreboard_update: double, score_after: string>>"
-    docs = spark.read.schema(kind).option("multiLine", "true").json(path)
+    docs = spark.read.schema(_TRUTH).option("multiLine", "true").json(path)
     return docs.select(F.col("video").alias("media_id"), F.posexplode("events").alias("idx", "e")).select(
         "media_id", "idx", "e.type", F.col("e.timestamp").alias("t"), "e.scoreboard_update", "e.score_after"
     )
 
 
+def read_regions(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """media_id and region ('x,y,width,height', null if the file names none) of each annotation file, or of each line, as recognition.regions() takes them."""
+    docs = spark.read.schema(_TRUTH).option("multiLine", not lines).json(path)
+    r = F.col("roi")
+    whole = F.concat_ws(",", *[r[c].cast("string") for c in ("x", "y", "width", "height")])
+    return docs.select(F.col("video").alias("media_id"), F.when(r.isNotNull(), whole).alias("region"))
+
+
 def without_truth(media: DataFrame, truth: DataFrame) -> DataFrame:
     return media.join(truth, "media_id", "left_anti")
 
@@ -128,6 +121,11 @@ def event_documents(events: DataFrame, keys: list[str], order: list[str]) -> Dat
     return events.groupBy(*keys).agg(F.to_json(F.struct(listed.alias("events"))).alias("document"))
 
 
+def error_lines(bad: DataFrame, name: str = "path") -> DataFrame:
+    """(t, message) of error rows, at time 0."""
+    return bad.select(F.lit(0.0).alias("t"), F.concat(F.lit("ERROR "), F.col(name), F.lit(": "), "error").alias("message"))
+
+
 def log_lines(rows: DataFrame) -> DataFrame:
     """'[MM:SS.mmm] message' of rows (t, message)."""
     return rows.select(F.concat(F.lit("["), media_clock("t"), F.lit("] "), "message").alias("value"))
