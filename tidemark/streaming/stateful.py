@@ -1,22 +1,23 @@
 """Streaming forms of the sessions and ordered folds.
 
-Sessions use session_window with a watermark. The folds keep their state by key
-with applyInPandasWithState: rows are sorted by time and fed to the same
+Sessions use session_window with a watermark. The folds keep their state by key: rows are sorted by time and fed to the same
 step; state is a few numbers, or the reads of the last seconds, however long the stream is.
 
-With late=(column, delay) rows may come out of order, across batches too: they wait in the state until the watermark of that
-timestamp column has passed them, and are then folded in order, on an event-time timer if no further row comes. Rows that
-come after that are dropped, as always beyond a watermark. Without it a batch's rows are folded as they come, sorted within the batch.
+With late=(column, delay) rows may come out of order, across batches too. They wait in a map state, by second, until the watermark of that
+timestamp column has passed their second; an event-time timer then folds them in order, whether or not a further row comes. Rows that
+come after that are dropped, as always beyond a watermark. idle ends the state of a key that long after its last row, so keys that
+have gone cost nothing; initial gives keys a state to start from. Without late a batch's rows are folded as they come, sorted within the batch.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import AudioConfig, ScoreConfig
@@ -30,12 +31,68 @@ def sessions(events: DataFrame, *, keys: list[str], at: str, gap: str, delay: st
 
 
 Late = tuple[str, str] | None
+Step = Callable[[tuple, dict], tuple[tuple, list[dict]]]
+
+
+class OrderedFold(StatefulProcessor):
+    """Folds a key's rows in order of time, once the watermark has passed them."""
+
+    def __init__(self, names: list[str], kinds: str, order: list[str], step: Step, start: tuple, state: str, keys: list[str], output: list[str], idle: timedelta | None):
+        self.names, self.kinds, self.order, self.step, self.start, self.state, self.keys = names, kinds, order, step, start, state, keys
+        self.output, self.idle_ms = Row(*output), idle and int(idle.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.acc = handle.getValueState("acc", self.state)
+        self.waiting = handle.getMapState("waiting", "second bigint", f"rows array<struct<{self.kinds}>>")
+        self.last = handle.getValueState("last", "ms bigint")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.acc.update(tuple(initialState)[len(self.keys) :])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        new: dict[int, list[tuple]] = {}
+        for row in rows:
+            if (second := row["_ms"] // 1000) * 1000 + 1000 > passed:
+                new.setdefault(second, []).append(tuple(row[c] for c in self.names))
+        for second, found in new.items():
+            known = self.waiting.getValue((second,))[0] if self.waiting.containsKey((second,)) else []
+            self.waiting.updateValue((second,), ([*map(tuple, known), *found],))
+            self.handle.registerTimer(second * 1000 + 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """All that is due, in order; the first timer that expires finds it, whichever that is."""
+        passed = timerValues.getCurrentWatermarkInMs()
+        seconds = [k[0] for k in self.waiting.keys()]
+        due = sorted(s for s in seconds if s * 1000 + 1000 <= passed)
+        if due:
+            rows = [dict(zip(self.names, r, strict=True)) for s in due for r in self.waiting.getValue((s,))[0]]
+            acc, out = tuple(self.acc.get()) if self.acc.exists() else self.start, []
+            for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
+                acc, made = self.step(acc, row)
+                out += [self.output(*key, *m.values()) for m in made]
+            self.acc.update(acc)
+            for s in due:
+                self.waiting.removeKey((s,))
+            if self.idle_ms:
+                self.last.update((due[-1] * 1000,))
+                self.handle.registerTimer(due[-1] * 1000 + self.idle_ms)
+            return iter(out)
+        if self.idle_ms and not seconds and self.last.exists() and self.last.get()[0] + self.idle_ms <= passed:
+            self.acc.clear()
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def _folded(
-    rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, dict], tuple[tuple, list[dict]]], start: tuple, output: str, state: str, late: Late = None
+    rows: DataFrame, keys: list[str], order: list[str], step: Step, start: tuple, output: str, state: str, late: Late = None, idle: timedelta | None = None, initial: DataFrame | None = None
 ) -> DataFrame:
-    """Runs step over each key's rows in order, with state between batches."""
+    """Runs step over each key's rows in order, with state between batches. initial: keys and the fields of state."""
     names = [f.strip().split()[0].strip("`") for f in output.split(",")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,30 +105,19 @@ def _folded(
         held.update(acc)
         yield pd.DataFrame(out, columns=names)
 
-    def run_late(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        *acc, waiting = held.get if held.exists else (*start, "[]")
-        acc, known = tuple(acc), json.loads(waiting)
-        for part in parts:
-            known += json.loads(part.to_json(orient="records"))
-        passed = held.getCurrentWatermarkMs()
-        out = []
-        for row in sorted((r for r in known if r["_ms"] <= passed), key=lambda r: [r[c] for c in order]):
-            acc, made = step(acc, row)
-            out += [dict(zip(keys, key, strict=True)) | m for m in made]
-        rest = [r for r in known if r["_ms"] > passed]
-        held.update((*acc, json.dumps(rest)))
-        if rest:
-            held.setTimeoutTimestamp(max(passed + 1, min(r["_ms"] for r in rest)))
-        yield pd.DataFrame(out, columns=names)
-
     if late is None:
+        if idle or initial is not None:
+            raise ValueError("idle and initial need a watermark: late")
         return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
     at, delay = late
+    own = [f for f in rows.schema.fields if f.name not in (*keys, at)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     timed = rows.withColumn("_ms", F.unix_millis(at)).withWatermark(at, delay).groupBy(*keys)
-    return timed.applyInPandasWithState(run_late, output, f"{state}, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    fold = OrderedFold([f.name for f in own], kinds, order, step, start, state, keys, names, idle)
+    return timed.transformWithState(fold, output, "Append", "EventTime", None if initial is None else initial.groupBy(*keys))
 
 
-def cooled(spikes: DataFrame, cfg: AudioConfig, late: Late = None) -> DataFrame:
+def cooled(spikes: DataFrame, cfg: AudioConfig, late: Late = None, **ends) -> DataFrame:
     """Loud windows (media_id, w, t, delta_db, rms_db) as spikes: more than the cooldown after the one before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -80,10 +126,10 @@ def cooled(spikes: DataFrame, cfg: AudioConfig, late: Late = None) -> DataFrame:
             return acc, []
         return (int(row["w"]),), [{c: row[c] for c in ("w", "t", "delta_db", "rms_db")}]
 
-    return _folded(spikes, ["media_id"], ["w"], step, (None,), "media_id string, w long, t double, delta_db double, rms_db double", "last long", late)
+    return _folded(spikes, ["media_id"], ["w"], step, (None,), "media_id string, w long, t double, delta_db double, rms_db double", "last long", late, **ends)
 
 
-def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema: str, late: Late = None) -> DataFrame:
+def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema: str, late: Late = None, **ends) -> DataFrame:
     """Events (keys, t) at least `within` after the one kept before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -92,10 +138,10 @@ def deduplicated(events: DataFrame, within: float, keys: list[str], key_schema:
             return acc, []
         return (float(row["t"]),), [{"t": row["t"]}]
 
-    return _folded(events, keys, ["t"], step, (None,), f"{key_schema}, t double", "last double", late)
+    return _folded(events, keys, ["t"], step, (None,), f"{key_schema}, t double", "last double", late, **ends)
 
 
-def slew_limited(rows: DataFrame, step_size: float, late: Late = None) -> DataFrame:
+def slew_limited(rows: DataFrame, step_size: float, late: Late = None, **ends) -> DataFrame:
     """(key, frame, value) with limited: at most step_size from the one before."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -103,7 +149,7 @@ def slew_limited(rows: DataFrame, step_size: float, late: Late = None) -> DataFr
         x = float(row["value"]) if last is None else last + max(-step_size, min(step_size, row["value"] - last))
         return (x,), [{"frame": row["frame"], "limited": x}]
 
-    return _folded(rows, ["key"], ["frame"], step, (None,), "key string, frame long, limited double", "last double", late)
+    return _folded(rows, ["key"], ["frame"], step, (None,), "key string, frame long, limited double", "last double", late, **ends)
 
 
 def _verdict(before: tuple[int, int], after: tuple[int, int]) -> str:
@@ -113,7 +159,7 @@ def _verdict(before: tuple[int, int], after: tuple[int, int]) -> str:
     return "valid" if sum(gained) == 1 else "suspicious"
 
 
-def score_changes(samples: DataFrame, cfg: ScoreConfig, late: Late = None) -> DataFrame:
+def score_changes(samples: DataFrame, cfg: ScoreConfig, late: Late = None, **ends) -> DataFrame:
     """Readable samples (media_id, t, home, away) as changes and rejections, as they are confirmed."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -135,10 +181,10 @@ def score_changes(samples: DataFrame, cfg: ScoreConfig, late: Late = None) -> Da
 
     output = "media_id string, before string, after string, change_t double, confirmed_t double, validation string"
     state = "home int, away int, times array<double>, homes array<int>, aways array<int>"
-    return _folded(samples, ["media_id"], ["t"], step, (None, None, [], [], []), output, state, late)
+    return _folded(samples, ["media_id"], ["t"], step, (None, None, [], [], []), output, state, late, **ends)
 
 
-def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int = 3, reads: int = 1, late: Late = None) -> DataFrame:
+def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int = 3, reads: int = 1, late: Late = None, **ends) -> DataFrame:
     """(media_id, frame, difference) with should_read."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
@@ -150,4 +196,4 @@ def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int =
         burst = burst - 1 if in_burst else reads - 1 if read else burst
         return (frame if read else last, burst), [{"frame": frame, "should_read": read}]
 
-    return _folded(frames, ["media_id"], ["frame"], step, (None, 0), "media_id string, frame long, should_read boolean", "last long, burst int", late)
+    return _folded(frames, ["media_id"], ["frame"], step, (None, 0), "media_id string, frame long, should_read boolean", "last long, burst int", late, **ends)
