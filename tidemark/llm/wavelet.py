@@ -53,28 +53,28 @@ BATCH = 1 << 22
 
 #: Characters whose class is the same in every version of Unicode: white space, printable ASCII, letters of Latin, Greek, Cyrillic, Han and Hangul.
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ӿ一-鿪가-힣]")
-_LETTER, _DIGIT, _SIGN, _SPACE = range(4)
+_LETTER, _DIGIT, _SIGN, _SPACE, _END = range(5)
 _CLASS = np.full(256, _SIGN, dtype=np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[[*range(9, 14), 32]] = _SPACE
+_CLASS[0] = _END
 
 
-def pieces_of(data: bytes) -> list[bytes]:
-    """The pieces of a UTF-8 text that byte-level BPE never merges across.
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """The pieces of UTF-8 texts that byte-level BPE never merges across, and where in their list each text's end.
 
     A piece is a run of letters, digits or signs with the single space before it, or white space; the white space before a run keeps
     its last character apart; the endings 's 't 'm 'd 're 've 'll are pieces where an apostrophe begins one. For texts without characters of _OTHER.
+    All texts are cut at once, with a zero, which none holds, after each: a zero ends all runs, and white space before it is one piece.
     """
-    b = np.frombuffer(data, dtype=np.uint8)
+    b = np.frombuffer(b"".join(x + b"\0" for x in texts), dtype=np.uint8)
     n = len(b)
-    if not n:
-        return []
     kind = _CLASS[b]
     space = kind == _SPACE
-    cut = np.zeros(n + 1, dtype=bool)  # a piece begins here
+    cut = np.zeros(n + 2, dtype=bool)  # a piece begins here
     cut[1:n] = kind[1:] != kind[:-1]
-    before_run = np.flatnonzero(space[:-1] & ~space[1:])  # the last white space before a run
+    before_run = np.flatnonzero(space[:-1] & (kind[1:] < _SPACE))  # the last white space before a run
     cut[before_run] = True
     cut[before_run[b[before_run] == 32] + 1] = False
     cut[0] = True
@@ -83,14 +83,19 @@ def pieces_of(data: bytes) -> list[bytes]:
     if len(mark):
         one, two = b[mark + 1], b[np.minimum(mark + 2, n - 1)]
         short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
-        pair = (mark + 2 < n) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
         cut[mark[short | pair] + 1] = False
         cut[mark[short] + 2] = True
         cut[mark[pair] + 3] = True
-    cut[0] = False
-    apart = np.zeros(n + int(np.count_nonzero(cut[:n])), dtype=np.uint8)  # a zero, which no text here has, before each piece but the first
-    apart[np.arange(n) + np.cumsum(cut[:n])] = b
-    return apart.tobytes().split(b"\0")
+    ends = np.flatnonzero(kind == _END)
+    cut[ends] = False
+    cut[ends + 1] = cut[0] = False
+    # a zero before each piece but a text's first
+    before = np.cumsum(cut[:n])
+    apart = np.zeros(n + (int(before[-1]) if n else 0), dtype=np.uint8)
+    apart[np.arange(n) + before] = b
+    stops = (before[ends] + np.arange(1, len(ends) + 1)).tolist()
+    return apart.tobytes().split(b"\0")[:-1], stops
 
 
 class TextEncoder:
@@ -115,24 +120,16 @@ class TextEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers. What isn't remembered is given to the library in one batch."""
         if len(self.known) > self.limit:
             self.known = {}
-        found: list[list[bytes | None]] = []
-        gaps: list[tuple[int, int, bytes]] = []
-        for text in texts:
-            if not self.by_pieces or _OTHER.search(text) or (self.added and self.added.search(text)):
-                found.append(self._ids([text]))
-                continue
-            pieces = pieces_of(text.encode())
-            ids = list(map(self.known.get, pieces))
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((len(found), at, pieces[at]))
-            found.append(ids)
-        new = list({piece for *_, piece in gaps})
+        whole = [not self.by_pieces or bool(_OTHER.search(t)) or bool(self.added and self.added.search(t)) for t in texts]
+        pieces, stops = pieces_of([t.encode() for t, w in zip(texts, whole, strict=True) if not w])
+        ids = list(map(self.known.get, pieces))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        new = list({pieces[i] for i in gaps})
         self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
-        for text, at, piece in gaps:
-            found[text][at] = self.known[piece]
-        return [b"".join(ids) for ids in found]
+        for i in gaps:
+            ids[i] = self.known[pieces[i]]
+        parts = iter(zip([0, *stops], stops, strict=False))
+        return [self._ids([t])[0] if w else b"".join(ids[slice(*next(parts))]) for t, w in zip(texts, whole, strict=True)]
 
 
 @cache
