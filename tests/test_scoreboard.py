@@ -68,7 +68,7 @@ def test_transition(spark, before, after, verdict):
 
 def plain_machine(rows, cfg):
     """The same rules over a Python list."""
-    from tidemark.streaming.stateful import _verdict
+    from tidemark.operators.steps import verdict
 
     current, recent, out = None, [], []
     for _, t, ok, score in sorted((r for r in rows if r[2]), key=lambda r: r[1]):
@@ -78,7 +78,7 @@ def plain_machine(rows, cfg):
             recent = []
         elif len(alike) >= cfg.reads:
             if current is not None:
-                v = _verdict(current, score)
+                v = verdict(current, score)
                 out.append((v, alike[0][0], t))
                 score = current if v == "invalid" else score
             current, recent = score, []

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,30 +57,34 @@ def emitting(rows: Column | str, start: Column, kind: str, step: Callable[[Colum
     return F.aggregate(segments, F.struct(start.alias("state"), none.alias("full")), segment, lambda a: F.flatten(a["full"]))
 
 
-def scanned(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], output: str) -> DataFrame:
-    """keys and what step(state, columns of a row) gives beside the next state, for every row in order.
+def scanned(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: object, step: Callable[[object, tuple], tuple[object, list[tuple]]], output: str) -> DataFrame:
+    """keys and the rows that step(state, columns of a row) gives beside the next state, over all rows in order.
 
-    A key's rows come sorted to one task and stream through it: only the state is held, however long the key is. output: the fields of what step gives.
+    A key's rows come sorted to one task and stream through it in Arrow batches: only the state is held, however long the key is. Structs are dicts, arrays
+    lists. output: the fields of the rows that step gives.
     """
-    names = [f.split()[0] for f in output.split(", ")]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    own, sort = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, start
-        for part in parts:
-            given = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in [*own, *(f"_c{i}" for i in range(len(columns)))]]
-            out = []
-            for row in zip(*given, strict=True):
+    own, given, sort = ([f"_{c}{i}" for i in range(len(names))] for c, names in (("k", keys), ("c", columns), ("o", order)))
+    rows = df.select(*[F.col(c).alias(n) for names, cs in ((own, keys), (given, columns), (sort, order)) for n, c in zip(names, cs, strict=True)])
+    schema = df.sparkSession.createDataFrame([], f"{kinds}, {output}").toArrow().schema
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, start, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = row[: len(keys)]
                 if key != now:
                     now, state = key, start
-                state, made = step(state, row[len(keys) :])
-                out.append((*key, *made))
-            yield pd.DataFrame(out, columns=[*keys, *names])
+                state, found = step(state, row[len(keys) :])
+                out += [(*key, *r) for r in found]
+            if out:
+                yield made(out)
+                out = []
 
-    return rows.repartition(*own).sortWithinPartitions(*own, *sort).drop(*sort).mapInPandas(run, f"{kinds}, {output}")
+    return rows.repartition(*own).sortWithinPartitions(*own, *sort).drop(*sort).mapInArrow(run, f"{kinds}, {output}")
 
 
 def _fitting(gap: float, strict: bool) -> Callable:

@@ -84,18 +84,18 @@ def calibrated(frames: DataFrame, keys: list[str], order: list[str], *, carry: l
     fields = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     output = ", ".join([*(f"{c} {fields[c]}" for c in carry), "use string", "ok boolean", f"score {fields['layout_score']}", "confidence double"])
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         places, reads, failures = state
         crop_ok, crop_score, crop_confidence, layout_ok, layout_score, layout_confidence, found, *rest = row
         if places in (1, 2) and reads < expires:
             if crop_ok:
-                return (places, reads + 1, 0), (*rest, "crop", True, crop_score, crop_confidence)
+                return (places, reads + 1, 0), [(*rest, "crop", True, crop_score, crop_confidence)]
             failures += 1
             if failures % retry != 1 % retry:
-                return (places, reads, failures), (*rest, "crop", False, None, 0.0)
+                return (places, reads, failures), [(*rest, "crop", False, None, 0.0)]
         if not layout_ok:
-            return (places, 0 if places else reads, failures), (*rest, "layout", False, None, layout_confidence)
+            return (places, 0 if places else reads, failures), [(*rest, "layout", False, None, layout_confidence)]
         state = (found, 0, 0) if found in (1, 2) else (0, reads, failures)
-        return state, (*rest, "layout", True, layout_score, layout_confidence)
+        return state, [(*rest, "layout", True, layout_score, layout_confidence)]
 
     return scanned(frames, keys, order, columns, (0, 0, 0), step, output)

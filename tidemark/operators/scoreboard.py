@@ -6,60 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ScoreConfig
-from tidemark.functions.scalars import same_score, validate_transition
-from tidemark.operators.folds import emitting, fold, ordered_rows
+from tidemark.functions.scalars import same_score
+from tidemark.operators.folds import scanned
 from tidemark.operators.ranges import range_join
+from tidemark.operators.steps import read_step, score_step
 from tidemark.schemas import SCORE
 
-CHANGE = f"struct<before: {SCORE}, after: {SCORE}, change_t: double, confirmed_t: double, validation: string>"
-_READ = f"struct<t: double, score: {SCORE}>"
-
-
 def readable(samples: DataFrame) -> DataFrame:
     return samples.where("ok AND score IS NOT NULL")
 
 
-def _start(baseline: Column, first_t: Column) -> Column:
-    return F.struct(
-        baseline.alias("baseline"),
-        F.when(baseline.isNotNull(), first_t).alias("baseline_t"),
-        baseline.alias("current"),
-        F.expr(f"cast(array() as array<{_READ}>)").alias("recent"),
-        F.expr(f"cast(array() as array<{CHANGE}>)").alias("changes"),
-        F.expr(f"cast(array() as array<{CHANGE}>)").alias("rejected"),
-    )
-
-
-def _step(cfg: ScoreConfig):
-    nothing = F.expr(f"cast(array() as array<{_READ}>)")
-
-    def step(acc: Column, row: Column) -> Column:
-        read = F.struct(row["t"].cast("double").alias("t"), row["score"].alias("score"))
-        recent = F.concat(F.filter(acc["recent"], lambda r: row["t"] - r["t"] <= cfg.window_s), F.array(read))
-        alike = F.filter(recent, lambda r: r["score"] == row["score"])
-        enough = F.size(alike) >= cfg.reads
-        first = alike[0]["t"]
-        fresh = acc["baseline"].isNull()
-        settles = fresh & enough
-        quiet = ~fresh & same_score(row["score"], acc["current"])
-        moves = ~fresh & ~quiet & enough
-        verdict = validate_transition(acc["current"], row["score"])
-        adopted = moves & (verdict != "invalid")
-        change = F.array(
-            F.struct(acc["current"].alias("before"), row["score"].alias("after"), first.alias("change_t"), row["t"].cast("double").alias("confirmed_t"), verdict.alias("validation"))
-        )
-        return F.struct(
-            F.when(settles, row["score"]).otherwise(acc["baseline"]).alias("baseline"),
-            F.when(settles, first).otherwise(acc["baseline_t"]).alias("baseline_t"),
-            F.when(settles | adopted, row["score"]).otherwise(acc["current"]).alias("current"),
-            F.when(settles | quiet | moves, nothing).otherwise(recent).alias("recent"),
-            F.when(adopted, F.concat(acc["changes"], change)).otherwise(acc["changes"]).alias("changes"),
-            F.when(moves & ~adopted, F.concat(acc["rejected"], change)).otherwise(acc["rejected"]).alias("rejected"),
-        )
-
-    return step
-
-
 def score_states(samples: DataFrame, cfg: ScoreConfig, *, keys: list[str] | None = None, initial: str | None = None, ordinal: str | None = None) -> DataFrame:
     """keys, baseline, baseline_t, changes and rejected of each recording.
 
@@ -67,11 +23,34 @@ def score_states(samples: DataFrame, cfg: ScoreConfig, *, keys: list[str] | None
     rejected if no match could go that way, and then the old score stays. initial: a column with the score to start from.
     """
     keys = keys or ["media_id"]
-    own = [*keys, initial] if initial else keys
-    rows = ordered_rows(readable(samples), own, ["t", *([ordinal] if ordinal else [])], ["score"])
-    base = F.col(initial) if initial else F.lit(None).cast(SCORE)
-    state = fold("rows", _start(base, F.get("rows", F.lit(0))["t"]), _step(cfg))
-    return rows.select(*keys, state.alias("_s")).select(*keys, *[F.col(f"_s.{c}") for c in ("baseline", "baseline_t", "changes", "rejected")])
+    columns = ["t", "score", *([initial] if initial else [])]
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        t, score, *given = row
+        made = []
+        if state is None:  # a row for every key, and its score to start from
+            base = given[0] if given else None
+            state = base and (base["home"], base["away"]), [], 1
+            made.append((0, "first", None, base, t, None, None))
+        current, reads, n = state
+        current, reads, found = score_step(cfg, current, reads, t, (score["home"], score["away"]))
+        if found:
+            kind, before, after, change_t, confirmed_t, validation = found
+            made.append((n, kind, before and dict(zip(("home", "away"), before, strict=True)), dict(zip(("home", "away"), after, strict=True)), change_t, confirmed_t, validation))
+            n += 1
+        return (current, reads, n), made
+
+    rows = readable(samples).withColumn("t", F.col("t").cast("double")).withColumn("score", F.col("score").cast(SCORE))
+    output = f"n int, kind string, before {SCORE}, after {SCORE}, change_t double, confirmed_t double, validation string"
+    found = scanned(rows, keys, ["t", *([ordinal] if ordinal else []), "score"], columns, None, step, output)
+    change = F.struct("before", "after", "change_t", "confirmed_t", "validation")
+    states = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "kind", change.alias("change")))).alias("_e"))
+    of = lambda kind: F.transform(F.filter("_e", lambda e: e["kind"] == kind), lambda e: e["change"])
+    first, settled = F.get(of("first"), F.lit(0)), F.get(of("baseline"), F.lit(0))
+    return states.select(
+        *keys, F.coalesce(first["after"], settled["after"]).alias("baseline"), F.when(first["after"].isNotNull(), first["change_t"]).otherwise(settled["change_t"]).alias("baseline_t"),
+        of("change").alias("changes"), of("rejection").alias("rejected"),
+    )
 
 
 def _listed(states: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -135,25 +114,21 @@ def signature_difference(frames: DataFrame, keys: list[str]) -> DataFrame:
     return frames.withColumn("_before", before).withColumn("difference", away / F.size("signature")).drop("_before")
 
 
-def frames_to_read(frames: DataFrame, keys: list[str], *, threshold: float = 2.0, refresh: int = 3, reads: int = 1) -> DataFrame:
-    """keys, frame, difference, should_read: the first frame, a changed one, one of the burst after a read, or one that is due again.
+def frames_to_read(frames: DataFrame, keys: list[str], *, threshold: float = 2.0, refresh: int = 3, reads: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """keys, frame, difference, should_read and carry: the first frame, a changed one, one of the burst after a read, or one that is due again.
 
     A read arms a burst of reads - 1 more, unless it is itself of a burst.
     """
-    rows = ordered_rows(frames, keys, ["frame"], ["difference"])
-    kind = "struct<frame: bigint, difference: double, should_read: boolean>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("burst"))
-
-    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
-        fresh = state["last"].isNull() | F.coalesce(row["difference"] >= threshold, F.lit(False))
-        due = F.coalesce(row["frame"] - state["last"] >= refresh, F.lit(False))
-        burst = ~fresh & (state["burst"] > 0)
-        read = fresh | burst | due
-        left = F.when(burst, state["burst"] - 1).when(read, reads - 1).otherwise(state["burst"]).cast("int")
-        shown = F.struct(row["frame"].cast("bigint").alias("frame"), row["difference"].cast("double").alias("difference"), read.alias("should_read"))
-        return F.struct(F.when(read, row["frame"].cast("bigint")).otherwise(state["last"]).alias("last"), left.alias("burst")), F.lit(True), shown
-
-    return rows.select(*keys, F.explode(emitting("rows", start, kind, step)).alias("_r")).select(*keys, "_r.*")
+    carry = carry or []
+    kinds = [f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in carry]
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        frame, difference, *rest = row
+        last, burst, read = read_step(*state, frame, difference, threshold, refresh, reads)
+        return (last, burst), [(frame, difference, read, *rest)]
+
+    rows = frames.withColumns({"frame": F.col("frame").cast("bigint"), "difference": F.col("difference").cast("double")})
+    return scanned(rows, keys, ["frame", *carry], ["frame", "difference", *carry], (None, 0), step, ", ".join(["frame bigint, difference double, should_read boolean", *kinds]))
 
 
 def reused(frames: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -193,8 +193,11 @@ def _machine_sql(rows: str, keys: str, order: str, reads: int, window: float, in
 @query(f"""SELECT user_id, kind, cast(row_number() OVER (PARTITION BY user_id, kind ORDER BY rn) - 1 AS INT) AS seq, ph || ':' || pa AS score_before, nh || ':' || na AS score_after,
   round(change_t, 3) AS change_t, round(confirmed_t, 3) AS confirmed_t, validation FROM ({_machine_sql(_SCORES, "user_id", "t, event_id", 3, 3 * _DAY)}) WHERE kind IS NOT NULL""")
 def q_score_changes(spark, sf_dir):
-    """The score state machine over each user's running score: 3 readings within 3 days."""
-    states = scoreboard.score_states(_scores(spark, sf_dir), ScoreConfig(3, 3 * _DAY), keys=["user_id"], ordinal="event_id")
+    """The score state machine over each user's running score: 3 readings within 3 days. Between them lie readings that failed, which don't count."""
+    read = _scores(spark, sf_dir)
+    failed = read.withColumns({"ok": F.lit(False), "score": F.when(F.col("event_id") % 2 == 0, F.col("score"))})
+    unread = read.withColumn("score", F.lit(None).cast(read.schema["score"].dataType))
+    states = scoreboard.score_states(read.union(failed).union(unread), ScoreConfig(3, 3 * _DAY), keys=["user_id"], ordinal="event_id")
     rows = scoreboard.score_changes(states, ["user_id"]).withColumn("kind", F.lit("change")).drop("refined").unionByName(
         scoreboard.score_rejections(states, ["user_id"]).withColumn("kind", F.lit("rejection"))
     )
@@ -486,8 +489,7 @@ def q_change_detector(spark, sf_dir):
     """Which rows of a user differ enough, follow such a row, or are due."""
     by = Window.partitionBy("user_id").orderBy("t", "event_id")
     rows = events(spark, sf_dir).withColumns({"frame": (F.row_number().over(by) - 1).cast("long"), "difference": F.abs(F.col("value") - F.lag("value").over(by))})
-    read = scoreboard.frames_to_read(rows, ["user_id"], threshold=100.0, refresh=4, reads=2)
-    return rows.select("user_id", "frame", "event_id").join(read, ["user_id", "frame"]).select("event_id", "should_read")
+    return scoreboard.frames_to_read(rows, ["user_id"], threshold=100.0, refresh=4, reads=2, carry=["event_id"]).select("event_id", "should_read")
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BUILTIN, Config
@@ -30,7 +30,7 @@ def detect(samples: DataFrame, windows: DataFrame | None, media: DataFrame, cfg:
     if fine is not None:
         ranges = scoreboard.fine_windows(changes, media, cfg.score)
         chains = scoreboard.resolved(ranges, fine, cfg.score)
-        by_step = chains.withColumn("seq", F.col("seq") * 1000 + F.col("step")).drop("step")
+        by_step = chains.withColumn("seq", F.row_number().over(Window.partitionBy("media_id").orderBy("seq", "step")) - 1).drop("step")
         changes = scoreboard.refined(by_step, scoreboard.fine_windows(by_step, media, cfg.score), fine, cfg.score)
     if windows is None:
         windows = media.sparkSession.createDataFrame([], "media_id string, w bigint, t double, rms double")

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import AudioConfig, ScoreConfig
+from tidemark.operators.steps import read_step, score_step
 
 
 def sessions(events: DataFrame, *, keys: list[str], at: str, gap: str, delay: str, aggregates: list) -> DataFrame:
@@ -152,32 +153,18 @@ def slew_limited(rows: DataFrame, step_size: float, late: Late = None, **ends) -
     return _folded(rows, ["key"], ["frame"], step, (None,), "key string, frame long, limited double", "last double", late, **ends)
 
 
-def _verdict(before: tuple[int, int], after: tuple[int, int]) -> str:
-    gained = after[0] - before[0], after[1] - before[1]
-    if min(gained) < 0 or max(gained) == 0 or min(gained) > 0 or sum(gained) > 3:
-        return "invalid"
-    return "valid" if sum(gained) == 1 else "suspicious"
-
-
 def score_changes(samples: DataFrame, cfg: ScoreConfig, late: Late = None, **ends) -> DataFrame:
     """Readable samples (media_id, t, home, away) as changes and rejections, as they are confirmed."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
         home, away, times, homes, aways = acc
-        t, now = float(row["t"]), (int(row["home"]), int(row["away"]))
-        reads = [r for r in zip(times, homes, aways, strict=True) if t - r[0] <= cfg.window_s] + [(t, *now)]
-        alike = [r[0] for r in reads if r[1:] == now]
-        made, current = [], None if home is None else (home, away)
-        if current == now:
-            reads = []
-        elif len(alike) >= cfg.reads:
-            if current is not None:
-                verdict = _verdict(current, now)
-                made.append({"before": f"{current[0]}:{current[1]}", "after": f"{now[0]}:{now[1]}", "change_t": alike[0], "confirmed_t": t, "validation": verdict})
-                now = current if verdict == "invalid" else now
-            current, reads = now, []
-        home, away = current if current is not None else (None, None)
-        return (home, away, *([r[i] for r in reads] for i in range(3))), made
+        current, reads = None if home is None else (home, away), [(t, (h, a)) for t, h, a in zip(times, homes, aways, strict=True)]
+        current, reads, found = score_step(cfg, current, reads, float(row["t"]), (int(row["home"]), int(row["away"])))
+        state = (*(current or (None, None)), [r[0] for r in reads], [r[1][0] for r in reads], [r[1][1] for r in reads])
+        if not found or found[0] == "baseline":
+            return state, []
+        _, before, after, change_t, confirmed_t, validation = found
+        return state, [{"before": "%d:%d" % before, "after": "%d:%d" % after, "change_t": change_t, "confirmed_t": confirmed_t, "validation": validation}]
 
     output = "media_id string, before string, after string, change_t double, confirmed_t double, validation string"
     state = "home int, away int, times array<double>, homes array<int>, aways array<int>"
@@ -188,12 +175,9 @@ def frames_to_read(frames: DataFrame, *, threshold: float = 2.0, refresh: int =
     """(media_id, frame, difference) with should_read."""
 
     def step(acc: tuple, row: dict) -> tuple[tuple, list[dict]]:
-        last, burst = acc
         frame, difference = int(row["frame"]), row["difference"]
-        fresh = last is None or (difference is not None and difference >= threshold)
-        in_burst = not fresh and burst > 0
-        read = fresh or in_burst or frame - last >= refresh
-        burst = burst - 1 if in_burst else reads - 1 if read else burst
-        return (frame if read else last, burst), [{"frame": frame, "should_read": read}]
+        difference = None if difference is None or difference != difference else difference
+        last, burst, read = read_step(*acc, frame, difference, threshold, refresh, reads)
+        return (last, burst), [{"frame": frame, "should_read": read}]
 
     return _folded(frames, ["media_id"], ["frame"], step, (None, 0), "media_id string, frame long, should_read boolean", "last long, burst int", late, **ends)
