@@ -129,14 +129,16 @@ def blocks_of(rows: DataFrame, kind: str, size: int, shards: int) -> DataFrame:
             met, starts = np.unique(shard[order], return_index=True)
             parts = np.split(order, starts[1:]) if len(met) else []
             n, none = len(met), [None] * len(met)
+            check = xxhash.xxh64_intdigest(b"\n".join(words), seed=n) >> 1
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([block] * (n + 1), pa.int64()), pa.array([-1, *met.tolist()], pa.int64()), pa.array([keys, *none], pa.list_(batch.schema.field("_key").type)),
                     pa.array([np.array(sizes, dtype="<i8").tobytes(), *none], pa.binary()), pa.array([_planes(place[found]), *none], pa.binary()),
                     pa.array([None, *(b"".join([words[i] for i in p.tolist()]) for p in parts)], pa.binary()),
                     pa.array([_planes(shard), *(_planes(np.array([len(words[i]) for i in p.tolist()])) for p in parts)], pa.binary()),
+                    pa.array([check] * (n + 1), pa.int64()),
                 ],
-                names=["block", "shard", "keys", "sizes", "places", "words", "lengths"],
+                names=["block", "shard", "keys", "sizes", "places", "words", "lengths", "check"],
             )
 
         for batch in batches:
@@ -152,11 +154,11 @@ def blocks_of(rows: DataFrame, kind: str, size: int, shards: int) -> DataFrame:
         if keys:
             yield made()
 
-    return rows.mapInArrow(run, f"block long, shard long, keys array<{kind}>, sizes binary, places binary, words binary, lengths binary")
+    return rows.mapInArrow(run, f"block long, shard long, keys array<{kind}>, sizes binary, places binary, words binary, lengths binary, check long")
 
 
 def answered(words: DataFrame, model: str) -> DataFrame:
-    """block, shard, ids and counts (of ids of each word): each distinct word of a shard is segmented once."""
+    """block, shard, check, ids and counts (of ids of each word): each distinct word of a shard is segmented once."""
 
     def run(group: pa.Table) -> pa.Table:
         codec = _codec(model)
@@ -166,9 +168,9 @@ def answered(words: DataFrame, model: str) -> DataFrame:
             found = [known[w] for w in _cut(blob, _numbers(lengths))]
             ids.append(np.frombuffer(b"".join(found), dtype="<u4").astype(codec.kind).tobytes())
             counts.append(_planes(np.array([len(x) // 4 for x in found])))
-        return pa.table({"of": group.column("block"), "shard": group.column("shard"), "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"of": group.column("block"), "shard": group.column("shard"), "of_check": group.column("check"), "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    return words.groupBy("shard").applyInArrow(run, "of long, shard long, ids binary, counts binary")
+    return words.groupBy("shard").applyInArrow(run, "of long, shard long, of_check long, ids binary, counts binary")
 
 
 def encode_pieces(
@@ -177,7 +179,7 @@ def encode_pieces(
     """key and ids: binary, the ids with begin and end as little-endian unsigned 32-bit integers; with decode, also decoded, as decode_pieces() gives it, by the same worker.
 
     The blocks are used twice, and so written first. hold=False makes them twice instead, which takes less disk and more time; only for rows that
-    come in the same order each time they are computed, as those of files do.
+    come in the same order each time they are computed, as those of files do. Both times a block has a checksum of its words; where they differ, the task fails.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -196,9 +198,11 @@ def encode_pieces(
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     held = blocks_of(rows, kind, block, max(1, -(-size // shard)))
     held = durable(held, "piece-blocks") if hold else held
-    answers = answered(held.where("shard >= 0").select("block", "shard", "words", "lengths"), model)
+    answers = answered(held.where("shard >= 0").select("block", "shard", "words", "lengths", "check"), model)
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        if {*own.column("check").to_pylist(), *found.column("of_check").to_pylist()} != {own.column("check")[0].as_py()}:
+            raise ValueError("a block's words differ from those that were answered: its rows came in another order the second time")
         found = found.sort_by("shard")
         by_shard: list[bytes] = []
         for ids, counts in zip(found.column("ids").to_pylist(), found.column("counts").to_pylist(), strict=True):
@@ -219,7 +223,7 @@ def encode_pieces(
             made["decoded"] = pa.array(map(reader.decode, out), pa.string())
         return pa.table(made)
 
-    both = held.where("shard = -1").select("block", "keys", "sizes", "places", "lengths").groupBy("block").cogroup(answers.groupBy("of"))
+    both = held.where("shard = -1").select("block", "keys", "sizes", "places", "lengths", "check").groupBy("block").cogroup(answers.groupBy("of"))
     return both.applyInArrow(run, f"`{key}` {kind}, ids binary{', decoded string' if decode else ''}")
 
 
