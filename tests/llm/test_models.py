@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -308,3 +309,22 @@ def test_rare_ngrams_are_held(spark):
     assert pair > apart + 1 and apart > unseen + 0.1  # by the pair, by the words alone
     few = {r.doc_id: r.score for r in bloom_lm.score_documents(df, words=1 << 16, pairs=1 << 16).collect()}
     assert all(few[i] == pytest.approx(r.score, rel=0.02) for i, r in got.items())
+
+
+def test_blocks_made_in_another_order_fail(spark):
+    """Ids are joined by place, so a block whose rows came otherwise the second time must not pass in silence."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"word{i} and {i * 7}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert piece_codec.encode_pieces(docs, model, hold=False).count() == 60
+
+    def other_each_time(parts):
+        for part in parts:
+            yield part.sample(frac=1.0, random_state=time.time_ns() % 2**32)
+
+    mixed = docs.mapInPandas(other_each_time, docs.schema)
+    with pytest.raises(Exception, match="another order"):
+        piece_codec.encode_pieces(mixed, model, hold=False).collect()
+    found = {r["doc_id"]: r["decoded"] for r in piece_codec.encode_pieces(mixed, model, decode=True).collect()}  # written first, it may
+    assert found == {i: f"word{i} and {i * 7}" for i in range(60)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,20 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker keeps in a word table before it starts a new one; bounds a worker's memory.
-WORD_TABLE = 400_000
+from tidemark.sources.storage import shared_folder
 
+__all__ = ["WordTable", "discard", "durable", "hash_table", "mixed", "shared_folder", "shingle_hashes", "signed", "table", "text_bytes", "word_hashes"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-            own = spark.sparkContext.getCheckpointDir()
-        folder = own
-    return folder.rstrip("/")
+#: Entries a worker keeps in a word table before it starts a new one; bounds a worker's memory.
+WORD_TABLE = 400_000
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

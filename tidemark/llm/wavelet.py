@@ -38,6 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from tidemark.llm._common import shared_folder, table
+from tidemark.sources.storage import store_of
 
 MAGIC = b"TIDEWM01"
 MANIFEST = "_manifest.json"
@@ -320,14 +321,6 @@ class WaveletFile:
 # ---- the data source
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     part: int
@@ -342,13 +335,13 @@ class WaveletWriter(DataSourceArrowWriter):
 
     def __init__(self, path: str, key: str, kind: str, overwrite: bool, shard: int, tokenizer: str | None, end: int | None):
         self.path, self.key, self.kind, self.shard, self.tokenizer, self.end = path, key, kind, shard, tokenizer, end
-        store, folder = _store(path)
+        store, folder = store_of(path)
         store.create_dir(folder, recursive=True)
         if not overwrite and store.get_file_info(f"{folder}/{MANIFEST}").type != fs.FileType.NotFound:
             raise FileExistsError(path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         part = TaskContext.get().partitionId()
         done = Written(part, f"part-{part:06d}-{uuid.uuid4().hex}", 0, 0, 0)
         keys, ids, held = [], [], 0
@@ -376,14 +369,14 @@ class WaveletWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         lines = [{"key": self.key, "kind": self.kind}, *(vars(m) for m in sorted(filter(None, messages), key=lambda m: m.part) if m.shards)]
         with store.open_output_stream(f"{folder}/.{MANIFEST}") as out:
             out.write("\n".join(map(json.dumps, lines)).encode())
         store.move(f"{folder}/.{MANIFEST}", f"{folder}/{MANIFEST}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         for m in filter(None, messages):
             for i in range(m.shards):
                 store.delete_file(f"{folder}/{m.name}-{i:05d}.wm")
@@ -397,7 +390,7 @@ class Shard(InputPartition):
 
 def read_manifest(path: str) -> tuple[dict, list[Shard]]:
     """Key and its type; each shard's file, and the ids before its part."""
-    store, folder = _store(path)
+    store, folder = store_of(path)
     with store.open_input_stream(f"{folder}/{MANIFEST}") as file:
         lines = [json.loads(x) for x in file.read().decode().splitlines()]
     shards, start = [], 0
@@ -417,7 +410,7 @@ class WaveletReader(DataSourceReader):
     def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         with store.open_input_file(f"{folder}/{partition.file}") as file:
             shard = WaveletFile(file)
             documents, ids = shard.documents().combine_chunks(), shard.ids()
@@ -487,7 +480,7 @@ def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame
     """token and n, its occurrences in all shards, by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 with store.open_input_file(f"{folder}/{name}") as file:
@@ -502,7 +495,7 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     head, _ = read_manifest(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with store.open_input_file(f"{folder}/{name}") as file:
