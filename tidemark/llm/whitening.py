@@ -92,7 +92,7 @@ def fit_whitening(distinct: DataFrame, size: int, components: int) -> Whitening
     found = own.selectExpr("count(*) as n", *(f"sum(cast(x[{i}] as decimal(28,0))) as sum_{i}" for i in range(size)), *each).first()
     of = lambda f: [int(found[f"{f}_{i}"]) for i in range(size)]
     made = Whitening(size, found["n"], of("sum"), of("min"), of("max"), np.empty(0), np.empty((size, 0)), 0.0)
-    wide = own.selectExpr(*(f"{made.centred(i)} as c{i}" for i in range(size)))
+    wide = own.selectExpr(*(f"coalesce({made.centred(i)}, 0D) as c{i}" for i in range(size)))  # never null, which spares each sum its test for nulls
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     covariance = np.zeros((size, size))
     for first in range(0, len(pairs), PAIRS):
