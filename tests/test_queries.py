@@ -8,7 +8,7 @@ from tidemark.operators import folds
 from tidemark.plans import catalogue, catalogue_more, catalogue_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["customer", "orders", "lineitem", "events", "embeddings", "documents"]
+TABLES = ["customer", "orders", "lineitem", "events", "embeddings", "documents", "supplier"]
 
 
 @pytest.fixture(scope="module")

@@ -46,3 +46,24 @@ def read_step(last: int | None, burst: int, frame: int, difference: float | None
     in_burst = not fresh and burst > 0
     read = fresh or in_burst or frame - last >= refresh
     return (frame if read else last), (burst - 1 if in_burst else reads - 1 if read else burst), read
+
+
+def _apart(a: dict, b: dict) -> float:
+    return abs(a["x"] - b["x"]) + abs(a["y"] - b["y"])
+
+
+def follow_step(state: tuple, balls: list[dict], cluster: dict | None, trust: float, most: float, confirm: int, resync: int) -> tuple[tuple, dict | None]:
+    """What is followed in a frame, null if lost. balls: most confident first. State: the ball linked, for how many frames, what was followed last, frames lost since.
+
+    The first trusted ball near the one linked before (any, without one) is linked, and followed once it is so in `confirm` frames running. Else the cluster is, if within
+    twice `most` of what was followed last; after `resync` frames without a target any will do.
+    """
+    linked, streak, last, lost = state
+    ball = next((b for b in balls if b["confidence"] >= trust and (linked is None or _apart(b, linked) <= most)), None)
+    streak = streak + 1 if ball else 0
+    anchor = None if lost >= resync else last
+    if streak >= confirm:
+        target = ball
+    else:
+        target = cluster if cluster and (anchor is None or _apart(cluster, anchor) <= 2 * most) else None
+    return (ball, streak, target or anchor, 0 if target else lost + 1), target

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import edge_weight, iou
-from tidemark.operators.folds import emitting, fold, ordered_rows
+from tidemark.operators.folds import fold, ordered_rows, scanned
+from tidemark.operators.steps import follow_step
 
 FRAME = ["media_id", "frame"]
 TARGET = "struct<x: double, y: double, width: double, height: double, confidence: double, kind: string>"
@@ -87,13 +88,6 @@ def _jump(a: Column, x: Column, y: Column) -> Column:
     return F.abs(a["x"] - x) + F.abs(a["y"] - y)
 
 
-def linked_ball(balls: Column, last: Column, trust: float, most: Column | float) -> Column:
-    """The first trusted ball near the last one; any trusted one if there is no last; null without one. balls: most confident first."""
-    trusted = F.filter(balls, lambda b: b["confidence"] >= trust)
-    near = F.filter(trusted, lambda b: last.isNull() | (_jump(b, last["x"], last["y"]) <= most))
-    return F.get(near, F.lit(0))
-
-
 def action_target(balls: Column, cluster: Column, last: Column, trust: float, most: Column | float) -> Column:
     """What to follow in a frame: at the start the cluster, else the best ball; later the best trusted ball if near, else the cluster within twice that."""
     ball = F.get(F.filter(balls, lambda b: b["confidence"] >= trust), F.lit(0))
@@ -108,22 +102,14 @@ def followed(frames: DataFrame, keys: list[str], *, trust: float = 0.05, most: f
     A ball counts once it was linked in `confirm` frames running; a frame without one starts anew. Else the cluster is followed, if within twice the
     gate of what was followed last; after `resync` frames without a target any cluster will do.
     """
-    rows = ordered_rows(frames, keys, ["t"], ["balls", "cluster"])
-    none = F.lit(None).cast(TARGET)
-    start = F.struct(none.alias("ball"), F.lit(0).alias("streak"), none.alias("last"), F.lit(0).alias("lost"))
-
-    def step(state: Column, row: Column) -> tuple[Column, Column, Column]:
-        ball = linked_ball(row["balls"], state["ball"], trust, most).cast(TARGET)
-        streak = F.when(ball.isNull(), 0).otherwise(state["streak"] + 1)
-        anchor = F.when(state["lost"] >= resync, none).otherwise(state["last"])
-        cluster = row["cluster"].cast(TARGET)
-        near = anchor.isNull() | F.coalesce(_jump(cluster, anchor["x"], anchor["y"]) <= 2 * most, F.lit(False))
-        target = F.when(streak >= confirm, ball).when(cluster.isNotNull() & near, cluster)
-        after = F.struct(ball.alias("ball"), streak.alias("streak"), F.coalesce(target, anchor).alias("last"), F.when(target.isNull(), state["lost"] + 1).otherwise(0).alias("lost"))
-        return after, F.lit(True), F.struct(row["t"].cast("double").alias("t"), target.alias("target"))
-
-    picked = emitting("rows", start, f"struct<t: double, target: {TARGET}>", step)
-    return rows.select(*keys, F.explode(picked).alias("_r")).select(*keys, "_r.t", "_r.target")
+    rows = frames.withColumns({"t": F.col("t").cast("double"), "balls": F.col("balls").cast(f"array<{TARGET}>"), "cluster": F.col("cluster").cast(TARGET)})
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        t, balls, cluster = row
+        state, target = follow_step(state, balls or [], cluster, trust, most, confirm, resync)
+        return state, [(t, target)]
+
+    return scanned(rows, keys, ["t"], ["t", "balls", "cluster"], (None, 0, None, 0), step, f"t double, target {TARGET}")
 
 
 def paired_numbers(boxes: DataFrame, keys: list[str]) -> DataFrame:

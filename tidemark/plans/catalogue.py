@@ -424,13 +424,15 @@ def q_person_clusters(spark, sf_dir):
 
 
 @query("""
-  WITH f AS (SELECT * FROM (VALUES (1280, 720), (1920, 1080), (640, 360), (961, 541)) v(frame_width, frame_height)),
-  x AS (SELECT DISTINCT frame_width, frame_height, greatest(0, least(i * 320, frame_width - 640)) AS tile_x FROM f, generate_series(0, 20) g(i) WHERE i < greatest(1, ceil((frame_width - 640) / 320) + 1)),
-  y AS (SELECT DISTINCT frame_width, frame_height, greatest(0, least(i * 180, frame_height - 360)) AS tile_y FROM f, generate_series(0, 20) g(i) WHERE i < greatest(1, ceil((frame_height - 360) / 180) + 1))
-  SELECT frame_width, frame_height, cast(tile_x AS INT) AS tile_x, cast(tile_y AS INT) AS tile_y FROM x JOIN y USING (frame_width, frame_height)""")
+  WITH f AS (SELECT o_orderkey, 320 + o_orderkey % 1601 AS w, 240 + o_orderkey % 841 AS h FROM orders),
+  x AS (SELECT DISTINCT o_orderkey, greatest(0, least(i * 320, w - 640)) AS tile_x FROM f, generate_series(0, 20) g(i) WHERE i < greatest(1, ceil((w - 640) / 320) + 1)),
+  y AS (SELECT DISTINCT o_orderkey, greatest(0, least(i * 180, h - 360)) AS tile_y FROM f, generate_series(0, 20) g(i) WHERE i < greatest(1, ceil((h - 360) / 180) + 1))
+  SELECT o_orderkey, cast(tile_x AS INT) AS tile_x, cast(tile_y AS INT) AS tile_y FROM x JOIN y USING (o_orderkey)""")
 def q_tiles(spark, sf_dir):
-    frames = spark.createDataFrame([(1280, 720), (1920, 1080), (640, 360), (961, 541)], "frame_width int, frame_height int")
-    return tracking.tiles(frames, width=640, height=360, overlap=0.5).select("frame_width", "frame_height", "tile_x", "tile_y")
+    """Half-overlapping tiles of frames of many sizes, smaller than a tile also."""
+    k = F.col("o_orderkey")
+    frames = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, (320 + k % 1601).cast("int").alias("frame_width"), (240 + k % 841).cast("int").alias("frame_height"))
+    return tracking.tiles(frames, width=640, height=360, overlap=0.5).select("o_orderkey", "tile_x", "tile_y")
 
 
 @query("""
@@ -526,12 +528,16 @@ def q_letterbox(spark, sf_dir):
     return o.select("o_orderkey", S.letterbox("w", "h").alias("l"), S.crop_width("w", "h").alias("crop")).select("o_orderkey", F.round("l.scale", 9).alias("scale"), "l.pad_x", "l.pad_y", "crop")
 
 
-@query("SELECT 'synthetic' AS media_id, * FROM (VALUES ('event_0001', 80.0, 83.0, '0:0', '1:0', 0.9), ('event_0002', 200.0, 203.0, '1:0', '1:1', 0.9), ('event_0003', 300.0, 304.0, '1:1', '2:1', 0.9)) v(event_id, event_t, change_t, score_before, score_after, confidence)".replace(".0,", ".0::DOUBLE,").replace("0.9)", "0.9::DOUBLE)"))
+@query("""
+  SELECT 'm' || s_suppkey AS media_id, event_id, event_t + s_suppkey % 20 AS event_t, change_t + s_suppkey % 20 AS change_t, score_before, score_after, 0.9::DOUBLE AS confidence FROM supplier,
+    (VALUES ('event_0001', 80::DOUBLE, 83::DOUBLE, '0:0', '1:0'), ('event_0002', 200, 203, '1:0', '1:1'), ('event_0003', 300, 304, '1:1', '2:1')) v(event_id, event_t, change_t, score_before, score_after)""")
 def q_synthetic_goals(spark, sf_dir):
-    """Goals of a scripted match, end to end."""
-    samples, windows, _ = synthetic_match(spark)
-    media = spark.createDataFrame([("synthetic", 330.0)], "media_id string, duration_s double")
-    return detect(samples, windows, media).events.select("media_id", "event_id", "event_t", "change_t", "score_before", "score_after", "confidence")
+    """Goals of a scripted match for each supplier, each begun at another second, end to end."""
+    k = F.col("s_suppkey")
+    matches = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("m"), k.cast("string")).alias("media_id"), (k % 20).cast("double").alias("shift"))
+    samples, windows, _ = synthetic_match(spark, matches=matches)
+    found = detect(samples, windows, matches.select("media_id", F.lit(360.0).alias("duration_s"))).events
+    return found.select("media_id", "event_id", "event_t", "change_t", "score_before", "score_after", "confidence")
 
 
 _FOLLOW = f"""

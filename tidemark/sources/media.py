@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import frame_rate, media_clock
 from tidemark.operators.attempts import checked
-from tidemark.schemas import TABLES
 from tidemark.sources.pcm import CHUNK, read_pcm
 
 VIDEO = r"(?i)\.(mp4|mkv|mov)$"
@@ -88,21 +87,27 @@ def listed_frames(frames: DataFrame, files: DataFrame) -> DataFrame:
     return frames.join(files.select("path", "content"), "path", "left").withColumn("ok", F.col("content").isNotNull())
 
 
-def synthetic_match(spark: SparkSession, media_id: str = "synthetic", seconds: int = 330) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Readings each second, loudness windows each 200 ms and the truth of a scripted match with three goals."""
+def synthetic_match(spark: SparkSession, media_id: str = "synthetic", seconds: int = 330, *, matches: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Readings each second, loudness windows each 200 ms and the truth of a scripted match with three goals; or of matches (media_id, shift), each later by its shift."""
+    matches = (spark.createDataFrame([(media_id, 0.0)], "media_id string, shift double") if matches is None else matches).select("media_id", "shift")
     goals = [(80.0, 83.0, 1, 0), (200.0, 203.0, 1, 1), (300.0, 304.0, 2, 1)]
     home, away = F.lit(0), F.lit(0)
     loud = F.lit(False)
+    at = F.col("t") - F.col("shift")
     for goal, shown, h, a in goals:
-        home, away = F.when(F.col("t") >= shown, h).otherwise(home), F.when(F.col("t") >= shown, a).otherwise(away)
-        loud = loud | F.col("t").between(goal, goal + 4.5)
-    samples = spark.range(seconds).select(F.lit(media_id).alias("media_id"), F.col("id").cast("double").alias("t")).select(
+        home, away = F.when(at >= shown, h).otherwise(home), F.when(at >= shown, a).otherwise(away)
+        loud = loud | at.between(goal, goal + 4.5)
+    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    samples = matches.withColumn("t", steps(seconds)).withColumn("t", F.col("t").cast("double")).select(
         "media_id", "t", F.lit(True).alias("ok"), F.struct(home.cast("int").alias("home"), away.cast("int").alias("away")).alias("score"), F.lit(0.9).alias("confidence")
     )
-    windows = spark.range(seconds * 5).select(F.lit(media_id).alias("media_id"), F.col("id").alias("w"), (F.col("id") / 5).alias("t")).withColumn(
-        "rms", (F.lit(0.06) + F.when(loud, 0.55).otherwise(0.0)) * 32767 / F.sqrt(F.lit(2.0))
+    windows = matches.withColumn("w", steps(seconds * 5)).withColumn("t", F.col("w") / 5).select(
+        "media_id", "w", "t", ((F.lit(0.06) + F.when(loud, 0.55).otherwise(0.0)) * 32767 / F.sqrt(F.lit(2.0))).alias("rms")
+    )
+    script = F.array(*[F.struct(F.lit("GOAL").alias("type"), F.lit(g).alias("t"), F.lit(s).alias("scoreboard_update"), F.lit(f"{h}:{a}").alias("score_after")) for g, s, h, a in goals])
+    truth = matches.select("media_id", "shift", F.posexplode(script).alias("idx", "e")).select(
+        "media_id", "idx", "e.type", (F.col("e.t") + F.col("shift")).alias("t"), (F.col("e.scoreboard_update") + F.col("shift")).alias("scoreboard_update"), "e.score_after"
     )
-    truth = spark.createDataFrame([(media_id, i, "GOAL", g, s, f"{h}:{a}") for i, (g, s, h, a) in enumerate(goals)], TABLES["truth"])
     return samples, windows, truth
 
 
