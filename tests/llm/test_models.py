@@ -293,7 +293,7 @@ def test_chat_edges(spark):
 
 
 def test_all_registered(spark):
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 def test_rare_ngrams_are_held(spark):
