@@ -26,11 +26,11 @@ def q_pcm_ranges(spark, sf_dir):
     """RMS windows of 5 samples of WAV files, which are written first: read in ranges of 60 samples and rows of 12, which windows span."""
     n = F.row_number().over(Window.partitionBy("media_id").orderBy("event_id")) - 1
     named = events(spark, sf_dir).withColumn("media_id", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))).withColumn("n", n)
-    rows = named.select("media_id", "n", F.floor(F.col("value") * 60).cast("smallint").alias("v"))
+    rows = named.select("media_id", "n", F.floor(F.col("value") * 60).cast("int").alias("v"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"])
     path = _folder(spark, "wav")
-    pcm.write_wav(rows.groupBy("media_id", (F.floor(F.col("n") / 7) * 7).alias("sample_offset")).agg(listed.alias("samples")), path)
-    out = audio.windows_of_chunks(pcm.read_pcm(spark, path, range=60, chunk=12, mode="FAILFAST"), AudioConfig(rate=1000, window_ms=5))
+    pcm.write_wav(rows.groupBy("media_id", (F.floor(F.col("n") / 7) * 7).alias("sample_offset")).agg(listed.alias("samples")), path, bits=32)
+    out = audio.windows_of_chunks(pcm.read_pcm(spark, path, range=60, chunk=12, mode="FAILFAST", wide="true"), AudioConfig(rate=1000, window_ms=5))
     name = F.regexp_extract("media_id", r"([^/]+)\.wav$", 1)
     return out.select(name.alias("media_id"), "w", *[F.round(c, 6).alias(c) for c in ("rms", "rms_db", "peak_db")])
 
