@@ -174,3 +174,36 @@ def test_regions_of_truth_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"video": "a.mp4", "roi": {"x": 1, "y": 2, "width": 30, "height": 4}, "events": []}')
     (tmp_path / "b.json").write_text('{"video": "b.mp4", "events": [{"type": "GOAL", "timestamp": 3}]}')
     assert {r.media_id: r.region for r in M.read_regions(spark, str(tmp_path)).collect()} == {"a.mp4": "1,2,30,4", "b.mp4": None}
+
+
+@pytest.mark.parametrize("name", ["q_pcm_windows", "q_pcm_ranges"])
+def test_samples_beyond_16_bits(spark, tmp_path, name):
+    from tidemark.plans import catalogue_more, catalogue_sources  # noqa: F401
+    from tidemark.plans.catalogue import QUERIES
+
+    rows = spark.range(12).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "40L AS user_id", "CASE WHEN id = 3 THEN 560.21D ELSE 1D END AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.w: (r.rms, r.peak_db) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {0: (round(math.sqrt((4 * 3600 + 33612**2) / 5), 6), round(20 * math.log10(33612), 6)), 1: (60.0, round(20 * math.log10(60), 6))}
+
+
+def test_wide_files(spark, tmp_path):
+    rows = [("x", 0, [1, -(1 << 31), (1 << 31) - 1]), ("x", 3, [40_000])]
+    df = spark.createDataFrame(rows, "media_id string, sample_offset bigint, samples array<int>")
+    write_wav(df, f"{tmp_path}/w", bits=32).collect()
+    (tmp_path / "w" / "y.wav").write_bytes(wav([5, -6]))
+    got = by_file(read_pcm(spark, f"{tmp_path}/w", chunk=3, wide="true").collect(), tmp_path / "w")
+    assert got == {"x": [1, -(1 << 31), (1 << 31) - 1, 40_000], "y": [5, -6]}
+    narrow = read_pcm(spark, f"{tmp_path}/w").collect()
+    assert {r.error for r in narrow if not r.ok} == {"ValueError: 32 bits a sample, and the option wide isn't set"} and by_file([r for r in narrow if r.ok], tmp_path / "w") == {"y": [5, -6]}
+    w = audio.windows_of_chunks(df, AudioConfig(rate=1000, window_ms=2)).collect()
+    assert {r.w: r.rms for r in w} == {0: pytest.approx(2**31 / math.sqrt(2)), 1: pytest.approx(2**31 / math.sqrt(2))}
+
+
+def test_many_ranges_are_few_partitions(spark, tmp_path, monkeypatch):
+    from tidemark.sources import pcm
+
+    monkeypatch.setattr(pcm, "MOST", 8)
+    (tmp_path / "a.wav").write_bytes(wav(list(range(1000))))
+    parts = pcm.PcmReader(str(tmp_path), ["samples"], 5, 5, "FAILFAST").partitions()
+    assert len(parts) <= 9 and [(r.first, r.stop) for p in parts for r in p.ranges][-1][1] == 1000 and sum(r.stop - r.first for p in parts for r in p.ranges) == 1000

@@ -23,7 +23,7 @@ def _numbered(spark, sf_dir):
   FROM s GROUP BY 1, 2 HAVING count(*) = 5""")
 def q_pcm_windows(spark, sf_dir):
     """RMS windows of 5 samples over PCM chunks of 7: windows span chunks, a trailing part is dropped."""
-    rows = _numbered(spark, sf_dir).select(F.col("user_id").cast("string").alias("media_id"), "n", F.floor(F.col("value") * 60).cast("smallint").alias("v"))
+    rows = _numbered(spark, sf_dir).select(F.col("user_id").cast("string").alias("media_id"), "n", F.floor(F.col("value") * 60).cast("int").alias("v"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"])
     chunks = rows.groupBy("media_id", F.floor(F.col("n") / 7).alias("chunk_idx")).agg(listed.alias("samples")).withColumn("sample_offset", F.col("chunk_idx") * 7)
     out = audio.windows_of_chunks(chunks, AudioConfig(rate=1000, window_ms=5))

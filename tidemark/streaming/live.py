@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ByteType, ShortType
 
 from tidemark.config import AudioConfig, EventConfig
 from tidemark.functions.scalars import decibels, fallback_time
@@ -17,17 +18,18 @@ from tidemark.operators.audio import window_sums
 class WindowSums(StatefulProcessor):
     """Windows of a recording whose samples have all come. What has come of the others waits by window, for ttl_ms after its last piece at most."""
 
-    def __init__(self, samples: int, ttl_ms: int | None):
+    def __init__(self, samples: int, ttl_ms: int | None, narrow: bool = True):
         self.samples, self.ttl_ms, self.output = samples, ttl_ms, Row("media_id", "w", "sq", "peak")
+        self.kind, self.squares = (np.int16, "bigint") if narrow else (np.int32, "double")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "w bigint", "n bigint, sq bigint, peak bigint", self.ttl_ms)
+        self.parts = handle.getMapState("parts", "w bigint", f"n bigint, sq {self.squares}, peak bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         met: dict[int, tuple[int, int, int]] = {}
         for row in rows:
             if row["samples"]:
-                for w, n, sq, peak in zip(*(x.tolist() for x in window_sums(row["sample_offset"], np.array(row["samples"], dtype=np.int16), self.samples)), strict=True):
+                for w, n, sq, peak in zip(*(x.tolist() for x in window_sums(row["sample_offset"], np.array(row["samples"], dtype=self.kind), self.samples)), strict=True):
                     a = met.get(w, (0, 0, 0))
                     met[w] = a[0] + n, a[1] + sq, max(a[2], peak)
         for w, (n, sq, peak) in sorted(met.items()):
@@ -51,9 +53,10 @@ def windows_of_chunks(chunks: DataFrame, cfg: AudioConfig, *, ttl_ms: int | None
     """
     n = cfg.window_samples
     kind = chunks.schema["media_id"].dataType.simpleString()
-    given = chunks.select("media_id", "sample_offset", F.col("samples").cast("array<smallint>").alias("samples"))
+    narrow = isinstance(chunks.schema["samples"].dataType.elementType, (ByteType, ShortType))
+    given = chunks.select("media_id", "sample_offset", F.col("samples").cast("array<smallint>" if narrow else "array<int>").alias("samples"))
     sums = given.groupBy("media_id").transformWithState(
-        WindowSums(n, ttl_ms), f"media_id {kind}, w bigint, sq bigint, peak bigint", "Append", "ProcessingTime" if ttl_ms else "None"
+        WindowSums(n, ttl_ms, narrow), f"media_id {kind}, w bigint, sq {'bigint' if narrow else 'double'}, peak bigint", "Append", "ProcessingTime" if ttl_ms else "None"
     )
     scale = 32768.0 if cfg.normalize_pcm else 1.0
     rms = F.sqrt(F.col("sq") / n) / scale
