@@ -85,3 +85,16 @@ def test_no_array_holds_a_whole_key(spark):
     assert sorted(r.w for r in out.collect()) == list(range(0, 30_000, 9))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 1
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import folds, ranges
+
+    few = spark.range(2).selectExpr("id AS m")
+    many = few.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("t", F.col("t").cast("double"))
+    joined = ranges.range_join(few, many, ["m"], F.lit(3.0), F.lit(5.0), "t", 10.0)
+    kept = folds.spaced(many, ["m"], ["t"], "t", 10.0, strict=False, carry=[])
+    for df, n in ((joined, 6), (kept, 20)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == n

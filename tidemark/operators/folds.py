@@ -178,7 +178,8 @@ def segmented(
     nothing = F.struct(F.lit(None).cast("double").alias("last"))
     entries = listed.select("_group", F.explode(emitting("rows", nothing, "struct<_segment: bigint, _last: double>", enter)).alias("_e"))
     entered = entries.select(F.struct(*[F.col(f"_group.{k}").alias(k) for k in keys], F.col("_e._segment").alias("_segment")).alias("_key"), "_e._last")
-    made = rows.join(entered, "_key").select(*own, F.explode(emitting("rows", F.struct(F.col("_last").alias("last")), kind, step)).alias("_r"))
+    # a row for each segment, which estimates of exploded rows take for few: never broadcast
+    made = rows.join(entered.hint("merge"), "_key").select(*own, F.explode(emitting("rows", F.struct(F.col("_last").alias("last")), kind, step)).alias("_r"))
     return made.select(*keys, *[F.col(f"_r.{c}") for c in _names(made, keys)])
 
 

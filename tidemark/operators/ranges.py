@@ -16,4 +16,5 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], low: Column,
     ranged = left.withColumns({"_low": low, "_high": high}).where("_low <= _high")
     dealt = ranged.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
     points = right.withColumn("_bucket", F.floor(F.col(at) / width))
-    return dealt.join(points, [*keys, "_bucket"]).where(F.col(at).between(F.col("_low"), F.col("_high"))).drop("_bucket", "_low", "_high")
+    # sizes of exploded rows are underestimated, so neither side may be broadcast
+    return dealt.join(points.hint("merge"), [*keys, "_bucket"]).where(F.col(at).between(F.col("_low"), F.col("_high"))).drop("_bucket", "_low", "_high")
