@@ -150,3 +150,15 @@ def test_order_statistics_of_any_group(spark, share):
     everything = sorted(v for vs in groups.values() for v in vs)
     assert ranks.order_statistic(df, [], F.col("v"), share=share).collect() == [(everything[min(int(len(everything) * share), len(everything) - 1)],)]
     assert ranks.order_statistic(df.limit(0), [], "v").collect() == []
+
+
+def test_keywords_leave_far_words_out(monkeypatch):
+    seen = []
+    monkeypatch.setattr(K, "_HELD", 50)
+    found = K.Automaton(WORDS)
+    alone = found._differences
+    monkeypatch.setattr(found, "_differences", lambda w: seen.append(w) or alone(w))
+    text = " ".join([*(f"word{i % 40}" for i in range(400)), "bramka"])
+    assert found.hits(text) == plain_hits(text, WORDS) and found.counted_hits(text)[1] == 401 and len(seen) == 41
+    other = " ".join(f"other{i}" for i in range(90))
+    assert found.hits(other) == [] and found.hits(text) == plain_hits(text, WORDS) and len(found.known) <= 132
