@@ -79,10 +79,15 @@ def fine_samples(windows: DataFrame, fine: DataFrame, bucket: float = 10.0) -> D
     return range_join(windows, fine.select("media_id", "t", "ok", "score"), ["media_id"], F.col("lo"), F.col("hi"), "t", bucket)
 
 
+def _bucket(cfg: ScoreConfig) -> float:
+    """About the longest range of fine_windows(), so a change stands in two buckets or so, however long ranges are; never under ten seconds."""
+    return max(10.0, 2 * cfg.fine_margin_s + cfg.window_s)
+
+
 def resolved(windows: DataFrame, fine: DataFrame, cfg: ScoreConfig) -> DataFrame:
     """Suspicious changes as the chain of changes that the fine readings show; others, and those without a chain, as they are."""
     doubtful = windows.where("validation = 'suspicious'")
-    states = score_states(fine_samples(doubtful, fine), cfg, keys=["media_id", "seq"], initial="before")
+    states = score_states(fine_samples(doubtful, fine, _bucket(cfg)), cfg, keys=["media_id", "seq"], initial="before")
     chain = states.where(F.size("changes") > 0).select("media_id", "seq", F.posexplode("changes").alias("step", "_c"))
     chain = chain.select("media_id", "seq", "step", "_c.*", F.lit(True).alias("refined"))
     with_chain = chain.select("media_id", "seq").distinct()
@@ -101,7 +106,7 @@ def first_run(samples: DataFrame, cfg: ScoreConfig, *, keys: list[str], target:
 
 def refined(changes: DataFrame, windows: DataFrame, fine: DataFrame, cfg: ScoreConfig) -> DataFrame:
     """Valid changes moved to the start of their first confirmed run."""
-    runs = first_run(readable(fine_samples(windows.where("validation = 'valid'"), fine)), cfg, keys=["media_id", "seq"])
+    runs = first_run(readable(fine_samples(windows.where("validation = 'valid'"), fine, _bucket(cfg))), cfg, keys=["media_id", "seq"])
     out = changes.join(runs, ["media_id", "seq"], "left")
     better = (F.col("validation") == "valid") & F.col("refined_t").isNotNull()
     return out.withColumns({"change_t": F.when(better, F.col("refined_t")).otherwise(F.col("change_t")), "refined": F.col("refined") | better}).drop("refined_t")
