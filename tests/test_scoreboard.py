@@ -127,3 +127,21 @@ def test_refinement(spark):
     assert [(tuple(r.before), tuple(r.after), r.validation) for r in chain] == [((0, 0), (1, 0), "valid"), ((1, 0), (2, 0), "valid"), ((2, 0), (2, 1), "valid")]
     moved = {r.seq: r.change_t for r in B.refined(changes, windows, fine, CFG).collect()}
     assert moved == {0: 10.0, 1: 29.0}
+
+
+def test_long_ranges_stand_in_few_buckets(spark, monkeypatch):
+    from tidemark.config import ScoreConfig
+    from tidemark.operators import scoreboard as B
+
+    cfg, widths, join = ScoreConfig(1, 3 * 86400.0, fine_margin_s=21600.0), [], B.range_join
+    monkeypatch.setattr(B, "range_join", lambda *a: widths.append(a[-1]) or join(*a))
+    score = "struct<home: int, away: int>"
+    change = spark.createDataFrame(
+        [("a", i, (0, 0), (2, 0) if i else (1, 0), 1e6, 1e6 + 86400, "suspicious" if i else "valid", False, 1e6 - 21600, 1e6 + 108000) for i in range(2)],
+        f"media_id string, seq int, before {score}, after {score}, change_t double, confirmed_t double, validation string, refined boolean, lo double, hi double",
+    )
+    fine = spark.createDataFrame([("a", 1e6 - 9000 + 600 * i, True, (1 + (i > 9), 0)) for i in range(40)], f"media_id string, t double, ok boolean, score {score}")
+    chain = [(r.seq, r.step, r.after.home, r.refined) for r in B.resolved(change, fine, cfg).orderBy("seq", "step").collect()]
+    moved = {r.seq: (r.change_t, r.refined) for r in B.refined(change.drop("lo", "hi"), change, fine, cfg).collect()}
+    assert chain == [(0, 0, 1, False), (1, 0, 1, True), (1, 1, 2, True)] and moved == {0: (1e6 - 9000, True), 1: (1e6, False)}
+    assert len(widths) == 2 and all(129600 / w <= 2 for w in widths)
