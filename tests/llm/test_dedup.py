@@ -292,3 +292,77 @@ def test_linked_lines_are_similar(spark):
         if len(texts) > 1:
             for t in texts:
                 assert any(o is not t and distance(t, o) <= 0.1 * max(len(t), len(o)) for o in texts)
+
+
+def test_crowded_keys_lose_no_pair(spark):
+    """Pairs of all lines that share a block and are near, whatever number shares it, against a plain search of every key."""
+    rng = random.Random(9)
+    words = "one two three four five six seven eight nine ten of and the to".split()
+    made = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 14))) for _ in range(150)]
+    rows = [(i, x) for i, x in enumerate(made + [f"chapter {i}" for i in range(80)])]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    known = line_dedup.durable(line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")), "known")
+    norm = {r.line: r.norm for r in line_dedup.lines_of(docs, "doc_id", "text").select("line", "norm").distinct().collect()}
+    by_key, want = {}, set()
+    for r in known.collect():
+        for k in {r[k] for k in line_dedup._KEYS} - {None}:
+            by_key.setdefault(k, []).append(r)
+    for held in by_key.values():
+        for i, a in enumerate(held):
+            for b in held[:i]:
+                if ((a.sketch ^ b.sketch) & ((1 << 64) - 1)).bit_count() <= line_dedup.APART:
+                    want.add((min(a.line, b.line), max(a.line, b.line)))
+
+    def similar(pairs):
+        texts = spark.createDataFrame([(a, b, norm[a], norm[b]) for a, b in pairs], "a long, b long, ta string, tb string")
+        return {(r.a, r.b) for r in texts.where("levenshtein(ta, tb) <= floor(greatest(length(ta), length(tb)) * 0.1D + 1e-9)").collect()}
+
+    want = similar(want)
+    assert max(map(len, by_key.values())) > 30 and len(want) > 50
+    for sizes in ({}, {"crowd": 3}, {"crowd": 3, "cell": 7}):
+        got = [tuple(sorted(p)) for p in line_dedup.candidate_pairs(known, **sizes).collect()]
+        assert len(got) == len(set(got)) and similar(got) == want, sizes
+
+
+def test_letters_spare_no_similar_pair(spark):
+    """An edit changes the parities of two letters and four pairs at most, whatever the letters."""
+    rng = random.Random(3)
+    letters = "abcdefghij é中\U0001f600"
+    lines = ["".join(rng.choice(letters[:10]) for _ in range(20)) for _ in range(40)]
+    other = [x[:4] + rng.choice(letters[10:]) + x[5:12] + rng.choice(letters[10:]) + x[13:] for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines + other)), "doc_id long, text string")
+    held = {r.doc: r.letters for r in line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")).collect()}
+    low = (1 << line_dedup.LETTER_BITS) - 1
+    odd = [(held[i] ^ held[i + 40]) & ((1 << 64) - 1) for i in range(40)]
+    assert len(held) == 80 and all((x & low).bit_count() <= 4 and (x & ~low).bit_count() <= 8 for x in odd)
+
+
+def test_lines_of_one_crowded_block_are_linked(spark):
+    """Two similar lines that agree on a block of 60 lines and on no other: the smallest line of the block is like neither."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfghjklm") for _ in range(5)) for _ in range(400)]
+    rows = [(i, "the " + " ".join(rng.sample(words, 12))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = line_dedup.durable(line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")).where("kind = 0"), "known")
+    # all lines share one block; two have sketches that are near, each line a block more of its own
+    first, *rest = [r.asDict() for r in sorted(known.collect(), key=lambda r: r.line)]
+    rows = []
+    for i, r in enumerate([first, *rest]):
+        near = i in (20, 40)
+        rows.append({**r, "length": 70, "letters": None, "sketch": 0x00FF if near else (-1 if i == 0 else 0x5A5A5A5A00000000 ^ rng.getrandbits(62)), "k0": 7, **{f"k{b}": 1000 * i + b for b in range(1, 8)}})
+    changed = spark.createDataFrame(rows, known.schema)
+    got = {tuple(sorted(p)) for p in line_dedup.candidate_pairs(changed).collect()}
+    assert (rows[20]["line"], rows[40]["line"]) in got
+
+
+def test_rounds_link_the_same_lines(spark, monkeypatch):
+    rows = [(i, f"chapter number {i // 3}\nthe same long line of words in document {i}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def groups():
+        return sorted(tuple(r) for r in line_dedup.line_groups(docs, line_dedup.lines_of(docs, "doc_id", "text"), "doc_id", "text").collect())
+
+    once = groups()
+    monkeypatch.setattr(line_dedup, "ROUND", 60)
+    monkeypatch.setattr(line_dedup, "ROUND_A_LINE", 0)
+    assert len({r[1] for r in once}) < len(once) and groups() == once
