@@ -1,14 +1,17 @@
 """Line dedup and the Jaccard join against plain versions."""
 
+import glob
 import os
 import random
+import tempfile
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _graph, line_dedup, ngram_jaccard
+from tidemark.llm import _common, _graph, line_dedup, ngram_jaccard
 
 SF = "/root/testdata/sf0.001"
 
@@ -366,3 +369,16 @@ def test_rounds_link_the_same_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "ROUND", 60)
     monkeypatch.setattr(line_dedup, "ROUND_A_LINE", 0)
     assert len({r[1] for r in once}) < len(once) and groups() == once
+
+
+def test_durable_leaves_no_shuffle(spark):
+    """The shuffle of a written step goes with the write, and the session's setting is as before."""
+    local = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()
+    held = lambda: {f for d in local.split(",") for f in glob.glob(f"{d}/**/blockmgr-*/*/shuffle_*", recursive=True)}
+    before, setting = held(), spark.conf.get(_common.CLEANUP)
+    written = _common.durable(spark.range(10_000).groupBy("id").count(), "counted")
+    for _ in range(20):
+        if not held() - before:
+            break
+        time.sleep(0.5)
+    assert not held() - before and written.count() == 10_000 and spark.conf.get(_common.CLEANUP) == setting
