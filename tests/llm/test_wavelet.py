@@ -33,6 +33,16 @@ def test_pieces_of_endings_and_special_tokens(text):
     assert np.frombuffer(CODER.encode([text])[0], dtype="<u4").tolist() == plain_ids(text)
 
 
+def test_new_pieces_go_to_the_model_alone(monkeypatch):
+    """No cutting and no result object for each new piece; every byte but zero stands for itself."""
+    coder = TextEncoder(PATH)
+    monkeypatch.setattr(coder, "_ids", lambda texts: 1 / 0)
+    text = "".join(map(chr, [*range(9, 14), *range(32, 127)])) + " na\u00efve \u0416\u0443\u043a \u4e2d\u6587 \ud55c\uae00"
+    assert np.frombuffer(coder.encode([text])[0], dtype="<u4").tolist() == plain_ids(text)
+    pieces = [bytes([b]) for b in range(1, 256)]
+    assert [len(x) for x in coder._piece_ids(pieces)] == [4] * 255 and coder._piece_ids([]) == []
+
+
 def test_few_remembered_pieces_give_the_same_ids():
     small, text = TextEncoder(PATH, limit=3), "one two three four five one two six"
     assert small.encode([text, "", text]) == CODER.encode([text, "", text])

@@ -25,6 +25,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from itertools import accumulate, chain, compress, count, repeat
+from operator import is_
 from typing import BinaryIO
 
 import numpy as np
@@ -92,13 +94,32 @@ def pieces_of(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
     cut[ends] = False
     cut[ends + 1] = cut[0] = False
     # a zero before each piece but a text's first
-    before = np.cumsum(cut[:n])
-    apart = np.zeros(n + (int(before[-1]) if n else 0), dtype=np.uint8)
-    apart[np.arange(n) + before] = b
-    stops = (before[ends] + np.arange(1, len(ends) + 1)).tolist()
+    cuts = np.flatnonzero(cut[:n])
+    given = np.ones(n + len(cuts), dtype=bool)
+    given[cuts + np.arange(len(cuts))] = False
+    apart = np.zeros(n + len(cuts), dtype=np.uint8)
+    apart[given] = b
+    stops = (np.searchsorted(cuts, ends, side="right") + np.arange(1, len(ends) + 1)).tolist()
     return apart.tobytes().split(b"\0")[:-1], stops
 
 
+def _signs() -> dict[int, int]:
+    """Byte-level BPE writes a byte as one printable sign: itself, or one past 255, in order. No piece holds a zero."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others) if b}
+
+
+_SIGNS = _signs()
+
+
+def _apart(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit integers."""
+    ends = [4 * x for x in accumulate(map(len, ids))]
+    flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class TextEncoder:
     """Encodes with one tokenizer file; each distinct piece once, as long as it is remembered."""
 
@@ -115,7 +136,12 @@ class TextEncoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return _apart([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The model alone: a piece needs no cutting, and stands in the model's table by the signs of its bytes."""
+        split = self.tokenizer.model.tokenize
+        return _apart([[x.id for x in split(p)] for p in b"\0".join(pieces).decode("latin-1").translate(_SIGNS).split("\0")] if pieces else [])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. What isn't remembered is given to the library in one batch."""
@@ -124,9 +150,9 @@ class TextEncoder:
         whole = [not self.by_pieces or bool(_OTHER.search(t)) or bool(self.added and self.added.search(t)) for t in texts]
         pieces, stops = pieces_of([t.encode() for t, w in zip(texts, whole, strict=True) if not w])
         ids = list(map(self.known.get, pieces))
-        gaps = [i for i, x in enumerate(ids) if x is None]
+        gaps = list(compress(count(), map(is_, ids, repeat(None))))
         new = list({pieces[i] for i in gaps})
-        self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
+        self.known.update(zip(new, self._piece_ids(new), strict=True))
         for i in gaps:
             ids[i] = self.known[pieces[i]]
         parts = iter(zip([0, *stops], stops, strict=False))
@@ -179,7 +205,7 @@ def matrix_bytes(ids: np.ndarray, documents: pa.Table, start: int, block: int =
     press = zstandard.ZstdCompressor(level=1)
     ranks, places, body, at = np.zeros((bits, count + 1), dtype="<u8"), np.zeros((bits, count + 1), dtype="<u8"), [], 0
     for level in range(bits):
-        on = (seq >> (bits - 1 - level)) & 1 != 0
+        on = (seq & seq.dtype.type(1 << (bits - 1 - level))).astype(bool)
         plane = np.zeros(count * block // 8, dtype=np.uint8)
         packed = np.packbits(on, bitorder="little")
         plane[: len(packed)] = packed
