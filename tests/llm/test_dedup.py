@@ -382,3 +382,19 @@ def test_durable_leaves_no_shuffle(spark):
             break
         time.sleep(0.5)
     assert not held() - before and written.count() == 10_000 and spark.conf.get(_common.CLEANUP) == setting
+
+
+def test_postings_are_thinned_before_they_are_shuffled(spark, monkeypatch):
+    """No anti join with the large keys, which the optimiser puts below the filter, where all postings are shuffled."""
+    plans = {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return _common.durable(df, name)
+
+    rows = [(i, f"chapter number {i // 3}\nthe same long line of words in document {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = _common.durable(line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")), "known")
+    monkeypatch.setattr(line_dedup, "durable", written)
+    pairs, crowded = line_dedup.first_pairs(known)
+    assert pairs.count() > 0 and crowded.count() > 0 and "LeftAnti" not in plans["line-pairs"]
