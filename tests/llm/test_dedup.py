@@ -398,3 +398,44 @@ def test_postings_are_thinned_before_they_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "durable", written)
     pairs, crowded = line_dedup.first_pairs(known)
     assert pairs.count() > 0 and crowded.count() > 0 and "LeftAnti" not in plans["line-pairs"]
+
+
+def test_signatures_lose_no_similar_pair(spark):
+    """Lines within their edits stay, whatever the edits and letters; of unlike lines of the same syllables most go."""
+    rng = random.Random(17)
+    syllables = "th an in er on re ed nd ha en to or ti hi as te et ng of al de se le sa si ar ve ra ld ur".split()
+
+    def made(size):
+        return "".join(rng.choice(syllables) + (" " if rng.random() < 0.3 else "") for _ in range(size))[:size]
+
+    rows, pairs, near = [], [], set()
+    for i, size in enumerate([61, 64, 65, 80, 128, 200, 257, 400, 513, 900, 1025, 3000] * 6):
+        a = made(size)
+        other, edits = list(a), int(size * 0.09)
+        for _ in range(edits):
+            at = rng.randrange(len(other))
+            kind = rng.randrange(3)
+            other[at : at + 1] = [] if kind == 0 else [other[at], rng.choice("ab c")] if kind == 1 else [rng.choice("xyz é\U0001f600" if i % 4 == 0 else "xyz é")]
+        rows += [(3 * i, a), (3 * i + 1, "".join(other)), (3 * i + 2, made(size))]
+        for j in (1, 2):
+            pair = sorted((3 * i, 3 * i + j), key=lambda r: (len(rows[r][1]), r), reverse=True)
+            pairs.append(tuple(pair))
+            near |= {tuple(pair)} if j == 1 else set()
+    texts = spark.createDataFrame(rows, "line long, norm string")
+    got = {(r.a, r.b) for r in line_dedup.allowed(spark.createDataFrame(pairs, "a long, b long"), texts, len(rows), 0.9).collect()}
+    assert near <= got and len(got - near) < len(near) / 3, (len(near - got), len(got - near))
+
+
+def test_crowded_keys_in_rounds_give_the_same_pairs(spark, monkeypatch):
+    """Keys are taken in rounds, each written by itself."""
+    rows = [(i, f"chapter number {i // 3}\nthe same line of words in a document of number {i}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = line_dedup.durable(line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text")), "known")
+
+    def found():
+        return {tuple(r) for r in line_dedup.candidate_pairs(known, crowd=3).collect()}
+
+    once, written = found(), []
+    monkeypatch.setattr(line_dedup, "durable", lambda df, name: written.append(name) or _common.durable(df, name))
+    monkeypatch.setattr(line_dedup, "ROUND_POSTINGS", 60)
+    assert found() == once and written.count("line-others") > 1
