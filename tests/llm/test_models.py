@@ -125,6 +125,47 @@ def test_instances_bring_patterns(spark):
     assert {r.doc_id: len(r.spans) for r in got} == {i: 1 for i, _ in rows}
 
 
+def test_texts_are_scanned_for_what_is_new(spark, monkeypatch):
+    """Growths count a pattern once and look its places up once; what was found before still counts."""
+    counted, located, count, look = [], [], pii.pattern_counts, pii.places
+
+    def counts(docs, text, patterns):
+        counted.extend(r.pattern for r in patterns.select("pattern").distinct().collect())
+        return count(docs, text, patterns)
+
+    def places(docs, text, patterns, instances=None):
+        located.extend(r.pattern for r in patterns.collect() if instances is None)
+        return look(docs, text, patterns, instances)
+
+    monkeypatch.setattr(pii, "pattern_counts", counts)
+    monkeypatch.setattr(pii, "places", places)
+    test_instances_bring_patterns(spark)
+    assert len(set(counted)) == len(counted) > 2 and len(set(located)) == len(located) > 2
+
+
+def test_words_are_hashed_by_the_chunk(monkeypatch):
+    """Hashes of a chunk's words agree just where words do, whatever their length and neighbours; patterns know no neighbour in another text."""
+    rnd = np.random.default_rng(5)
+    texts = ["", " ", "...", '="', 'a="b" A="7', "x" * 64, "x" * 65, "\x0b\x0c", "a\xa0b c", "\u0391\u03a3' (\u0391\u03a3)"] + ["".join(rnd.choice(list(' .,ab1\n="\u00e9\U0001f600'), size=n)) for n in rnd.integers(1, 150, 400)]
+    edge = ".,;:!?\"'()[]{}*$%&#<>|"
+    for form, of in ((pii.plain, lambda w: re.sub("[0-9]", "9", w.lower())), (pii.as_it_is, lambda w: w)):
+        hashes, bounds = pii.words_of(texts, form)
+        known = {}
+        for i, t in enumerate(texts):
+            words = re.findall(r"[^ \t\n\v\f\r]+", t.replace('="', '= "'))
+            assert bounds[i + 1] - bounds[i] == len(words)
+            for w, h in zip(words, hashes[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+                assert known.setdefault(of(w.strip(edge) or w), h) == h
+        assert len(set(known.values())) == len(known) > 300
+    alone = [pii.places_of([t])[0] for t in texts]
+    together, bounds = pii.places_of(texts)
+    assert (np.concatenate(alone, axis=1) == together).all()
+    monkeypatch.setattr(pii, "CHUNK", 200)
+    assert [t for c in pii.chunks(texts) for t in c] == texts and len(list(pii.chunks(texts))) > 50
+    own = pii.instance_hashes(["(ab1)", "ab1", "49 (30) 1"]).view(np.uint64)
+    assert own[0] == own[1] == pii.words_of(["x ab1."], pii.as_it_is)[0][1] and len(set(own.tolist())) == 2
+
+
 def test_spans_are_added_on_the_tables(spark):
     """Secrets in forms that are no seed (in capitals, cut by marks) are found by context; nothing else is."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
