@@ -439,3 +439,32 @@ def test_crowded_keys_in_rounds_give_the_same_pairs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "durable", lambda df, name: written.append(name) or _common.durable(df, name))
     monkeypatch.setattr(line_dedup, "ROUND_POSTINGS", 60)
     assert found() == once and written.count("line-others") > 1
+
+
+def test_blocks_of_parts_equal_a_plain_count(spark):
+    """Parts, blocks and their majorities of many hashes, cut out of one sorted array, against each hash put in its place by itself."""
+    rng = random.Random(23)
+    rows = [(i, 3, level, sorted({rng.getrandbits(64) - (1 << 63) for _ in range(n)})) for i, (level, n) in enumerate([(0, 1), (0, 12), (0, 90), (1, 16), (1, 150), (2, 37), (3, 64), (4, 130), (5, 256), (7, 1100)])]
+    df = spark.createDataFrame(rows, "line long, kind int, level int, h array<long>")
+    got = line_dedup._voted(line_dedup._dealt(df)).collect()
+    want = {}
+    for i, kind, level, hashes in rows:
+        for h in hashes:
+            part = (h >> 20) & ((1 << level) - 1)
+            want.setdefault((i, (1 << level) + part + 2 if level else kind, (h >> 61) + 4), []).append(h)
+    found = {(r.line, r.kind, r.block): r for r in got if r["size"]}
+    assert found.keys() == want.keys() and [sum(r.lead for r in got if r.line == i) for i, *_ in rows] == [1] * len(rows)
+    assert {len(h) for h in want.values()} >= {1, 2, 3, 4, 5, 6, 7} and max(map(len, want.values())) > 7
+    for k, hashes in want.items():
+        n, m = len(hashes), 0
+        for b in range(64):
+            ones = sum(h >> b & 1 for h in hashes)
+            m |= (hashes[-(b % 2)] >> b & 1 if 2 * ones == n else int(2 * ones > n)) << b
+        assert (found[k]["size"], found[k].m & ((1 << 64) - 1)) == (n, m), k
+
+
+def test_features_are_hashed_once(spark):
+    """A line's runs are hashed in one place of the plan, not in each place that asks for their number; and no filter sorts them once more."""
+    docs = spark.createDataFrame([(1, "a line of words")], "doc_id long, text string")
+    plan = line_dedup.known_lines(line_dedup.lines_of(docs, "doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("array_distinct(") <= 4 and plan.count("sort_array(") == 1
